@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcloom.llm import bpe_automaton, language_id, packing, token_counts
+from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, packing, token_counts
 from arcloom.session import ship
 
 CAPACITY, END, TOKEN_LIMIT = 2048, 0, 4096
@@ -25,10 +25,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), CAPACITY, END)
 
@@ -42,4 +50,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": exact_dedup.ORACLE}
