@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, packing, token_counts
+from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, packing, token_counts, warc
 from arcloom.session import ship
 
 CAPACITY, END, TOKEN_LIMIT = 2048, 0, 4096
@@ -33,6 +33,11 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+    return archive.records().drop("url")
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_likeness(documents(spark, sf_dir))
 
@@ -50,4 +55,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
