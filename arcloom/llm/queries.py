@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, packing, token_counts, warc
+from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, packing, simhash, token_counts, warc
 from arcloom.session import ship
 
 CAPACITY, END, TOKEN_LIMIT = 2048, 0, 4096
@@ -21,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
