@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, packing, simhash, suffix_dedup, token_counts, warc
+from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, line_dedup, packing, simhash, suffix_dedup, token_counts, warc
 from arcloom.session import ship
 
 CAPACITY, END, TOKEN_LIMIT = 2048, 0, 4096
@@ -29,6 +29,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(documents(spark, sf_dir))
 

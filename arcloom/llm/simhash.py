@@ -137,7 +137,7 @@ def blocks_for(n: int, radius: int) -> int:
     more copies of each, but longer keys and so smaller shards."""
 
     def work(b: int) -> float:
-        return comb(b, radius) * (10 * n + n * n / 2 ** (BITS * (b - radius) / b))
+        return comb(b, radius) * (40 * n + n * n / 2 ** (BITS * (b - radius) / b))
 
     return min(range(radius + 1, radius + 6), key=work)
 
@@ -150,21 +150,22 @@ def masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in every]
 
 
-def cells(fps: DataFrame, radius: int, n: int) -> DataFrame:
-    """Rows (fp, shard, key, a, b): fp with its cells.  All fingerprints within
-    the radius share a cell, of 2 * TREE fingerprints or about."""
+def cells(fps: DataFrame, radius: int, n: int, *more: str) -> DataFrame:
+    """Rows (fp, shard, key, a, b) and the columns ``more``: fp with its cells.  All
+    fingerprints within the radius share a cell, of about 2 * TREE rows."""
     sharded = fps.select(
         "fp",
+        *more,
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks_for(n, radius), radius)])).alias("shard", "key"),
     )
     full = sharded.groupBy("shard", "key").count().filter(F.col("count") > TREE)
     trees = F.coalesce(F.ceil(F.col("count") / TREE), F.lit(1)).cast("int")
-    tree: Column = F.pmod(F.xxhash64("fp", "shard"), F.col("trees")).cast("int")
+    tree: Column = F.pmod(F.xxhash64("fp", "shard", *more), F.col("trees")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: (t != F.col("tree")) | (F.col("trees") == 1))
     return (
         sharded.join(full, ["shard", "key"], "left").withColumn("trees", trees).withColumn("tree", tree)
         .withColumn("other", F.explode(others))
-        .select("fp", "shard", "key", F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
+        .select("fp", *more, "shard", "key", F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
     )
 
 
@@ -174,7 +175,7 @@ def grouped(batches, key_columns: int):
     for b in batches:
         if not b.num_rows:
             continue
-        columns = [c.to_pylist() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns]
+        columns = [c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else c.to_pylist() for c in b.columns]
         keys = columns[-key_columns:]
         change = np.zeros(b.num_rows, bool)
         for k in keys:
