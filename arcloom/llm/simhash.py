@@ -245,3 +245,147 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(named.join(least, "root").select("fp", "component_id"))
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by set similarity.  Two texts that share four fifths of their
+# shingles differ in some ten bits of 64, too many for blocks of the
+# fingerprint, so here the shards are bands of MinHash values.
+
+#: bands of ROWS MinHash values each: texts with a similarity of 0.8 share a band
+#: with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, with 0.9 but for 3e-5
+BANDS, ROWS = 8, 3
+NEAR = 14
+_SPREAD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(BANDS * ROWS)], np.uint64)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS numbers of a shingle set, equal with the chance that ROWS MinHash values are."""
+    if not len(hashes):
+        return np.zeros(BANDS, np.int64)
+    least = np.array([((h := hashes * m) ^ (h >> np.uint64(32))).min() for m in _SPREAD]).reshape(BANDS, ROWS)
+    out = least[:, 0]
+    for i in range(1, ROWS):
+        out = (out ^ (out >> np.uint64(29))) * _SPREAD[i] + least[:, i]
+    return out.view(np.int64)
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp, same (a 128-bit digest of the shingle set) and bands."""
+
+    def run(batches):
+        for b in batches:
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            fps, same, keys = [], [], []
+            for lo in range(0, len(texts), 128):
+                hashes = [shingle_hashes(t, size) for t in texts[lo : lo + 128]]
+                fps.append(signatures(hashes))
+                sets = [np.unique(h) for h in hashes]
+                same += [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
+                keys += [bands(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [ids.cast(pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                if texts
+                else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "same", "bands"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _band_cells(rows: DataFrame, *more: str) -> DataFrame:
+    """Cells of the shards that bands make, as ``cells`` of those that blocks make."""
+    sharded = rows.select("doc_id", "fp", *more, F.posexplode("bands").alias("shard", "key"))
+    counts = sharded.groupBy("shard", "key").count().filter("count > 1")
+    trees = F.ceil(F.col("count") / TREE).cast("int")
+    tree = F.pmod(F.xxhash64("doc_id", "shard"), F.col("trees")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: (t != F.col("tree")) | (F.col("trees") == 1))
+    return (
+        sharded.join(counts, ["shard", "key"]).withColumn("trees", trees).withColumn("tree", tree)
+        .withColumn("other", F.explode(others))
+        .select("doc_id", "fp", *more, "shard", "key", F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
+    )
+
+
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = NEAR) -> DataFrame:
+    """doc_id and component_id of the documents that have a copy or near copy.
+
+    Links join texts with equal shingle sets, and texts whose sets have a
+    Jaccard similarity of ``least`` or more, as verified on the whole sets;
+    pairs are found by BK-trees of SimHashes in the shards that bands make.
+    component_id is the smallest doc_id that links lead to.  Rows with a null
+    doc_id take no part; a null text has no shingles.
+    """
+    own = cut(sketches(docs.filter("doc_id is not null"), size))
+    groups = cut(own.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    of_one = own.join(groups.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    single = cut(of_one.select("doc_id", "fp", "bands"))
+    key = ["shard", "key", "a", "b"]
+    whole = (1 << BITS) - 1
+
+    def meet(batches):
+        for group in grouped(batches, 4):
+            ids, fps = np.concatenate([p[0] for p in group]), np.concatenate([p[1] for p in group])
+            tree, near = BKTree(), set()
+            for i, value in enumerate(fps.tolist()):
+                if found := tree.within(value & whole, radius):
+                    near |= {i, *found}
+                tree.add(value & whole)
+            if near:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[sorted(near)])], names=["doc_id"])
+
+    def dealt(rows):
+        return rows.repartition(*key).sortWithinPartitions(*key)
+
+    candidates = cut(dealt(_band_cells(single)).mapInArrow(meet, "doc_id long").distinct())
+
+    def sets(batches):
+        for b in batches:
+            ids, fps, keys, texts = (b.column(i) for i in range(4))
+            data = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, fps, keys, pa.array(data, pa.binary())], names=["doc_id", "fp", "bands", "set"])
+
+    texts = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    full = single.join(texts, "doc_id").select("doc_id", "fp", "bands", "text")
+    full = full.mapInArrow(sets, "doc_id long, fp long, bands array<long>, set binary").withColumn("own", F.col("bands"))
+
+    def link(batches):
+        for group in grouped(batches, 4):
+            ids, fps = np.concatenate([p[0] for p in group]), np.concatenate([p[1] for p in group])
+            data = [np.frombuffer(x, np.uint64) for p in group for x in p[2]]
+            keys = np.array([k for p in group for k in p[3]])
+            shard = int(group[0][4][0])
+            order = np.argsort(ids, kind="stable").tolist()
+            tree, forest = BKTree(), Forest(len(order))
+            for i, at in enumerate(order):
+                value = int(fps[at]) & whole
+                for j in tree.within(value, radius):
+                    other = order[j]
+                    if forest.root(i) == forest.root(j) or (keys[at, :shard] == keys[other, :shard]).any():
+                        continue  # known, or for an earlier shard
+                    x, y = sorted((len(data[at]), len(data[other])))
+                    if x >= least * y and similarity(data[at], data[other]) >= least:
+                        forest.join(i, j)
+                tree.add(value)
+            found = [(ids[order[i]], ids[order[r]]) for i in range(len(order)) if (r := forest.root(i)) != i]
+            if found:
+                us, vs = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    rows = _band_cells(full, "set", "own").select("doc_id", "fp", "set", "own", F.col("shard").alias("s"), *key)
+    roots = components(dealt(rows).mapInArrow(link, "u long, v long"))
+    named = groups.join(roots, groups["first"] == roots["node"], "left").select("same", "n", F.coalesce("root", "first").alias("component_id"))
+    named = cut(named.filter("n > 1").union(named.join(roots.select("root"), F.col("component_id") == F.col("root"), "left_semi")).distinct())
+    return own.join(named, "same").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` without the copies and near copies of a document with a smaller
+    doc_id.  Of rows that repeat a doc_id all stay if one does."""
+    gone = near_copies(docs, size, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(cut(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
