@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import cut, shuffle_partitions
+from arcloom.llm.common import cut, release, shuffle_partitions
 
 WINDOW = 50
 GRAM = 20
@@ -387,18 +387,10 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int) -> list[DataFrame]
         sent = texts.mapInArrow(collect(bucket), BLOB).repartition("kind", "part").sortWithinPartitions("kind", "part")
         out.append(cut(sent.mapInArrow(compare, BLOB)))
         del sent
-        _release(docs.sparkSession)
+        release(docs.sparkSession)
     return out
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of the bucket that is done."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataFrame:
     """``finish(columns, rows)`` over groups of documents: columns maps names to
     lists, rows gives each document's runs (lo, hi) of removed bytes."""
