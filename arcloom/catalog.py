@@ -6,12 +6,14 @@ whole paths instead, so the two share no algorithm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arcloom.operators import confusion, distance, filters, normalise, paths
+from arcloom.functions.text import tokenize
+from arcloom.lattice import with_fields
+from arcloom.operators import automata, confusion, distance, filters, normalise, paths, structure
 from arcloom.session import ship
-from arcloom.sources import derive
+from arcloom.sources import derive, text_lattices
 
 DIGITS = 6
 QUERIES: dict = {}
@@ -284,3 +286,137 @@ SELECT lattice_id, count(*) AS n_arcs, CAST(max(position) + 1 AS INT) AS states
 def c2(spark, d):
     made = confusion.confusion_network(lattice(spark, d))
     return made.rows.select("lattice_id", F.size("arcs").cast("long").alias("n_arcs"), F.size("finals").alias("states"))
+
+
+def _named(lattices):
+    """Labels as symbols: w<label>_<label mod 3>."""
+    from dataclasses import replace
+
+    labels = lattices.arcs.select("lattice_id", F.col("olabel").alias("label")).distinct()
+    word = F.concat(F.lit("w"), F.col("label").cast("string"), F.lit("_"), (F.col("label") % 3).cast("string"))
+    symbols = labels.select("lattice_id", F.lit("i").alias("side"), "label", word.alias("symbol"))
+    swapped = lattices.map_arcs(lambda a: with_fields(a, ilabel=a["olabel"]))
+    return replace(swapped, symbols=symbols)
+
+
+_READ_BACK = f"SELECT lattice_id, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, 'w' || olabel || '_' || (olabel % 3) AS word, {r('weight')} AS weight FROM arcs"
+
+
+def _read_back(parsed) -> DataFrame:
+    words = parsed.symbols.filter("side = 'i'").select("lattice_id", F.col("label").alias("ilabel"), F.col("symbol").alias("word"))
+    found = parsed.arcs.join(words, ["lattice_id", "ilabel"])
+    return rounded(found.select("lattice_id", "src", "dst", "word", "weight"), "weight")
+
+
+@query("s1_o1_htk_round_trip", LATTICE + _READ_BACK)
+def s1(spark, d):
+    """Printed as lattice files and read again."""
+    return _read_back(text_lattices.parse_htk(text_lattices.to_htk_text(_named(lattice(spark, d)))))
+
+
+@query("s5_o2_thot_round_trip", LATTICE + _READ_BACK)
+def s5(spark, d):
+    return _read_back(text_lattices.parse_thot(text_lattices.to_thot_text(_named(lattice(spark, d)))))
+
+
+@query("t1_split_symbols", LATTICE + f"""SELECT lattice_id, m.n AS paths, {r('-ln(m.m)')} AS mass, count(*) FILTER (WHERE true) AS n_arcs FROM (
+  SELECT lattice_id, src, olabel, 0 AS k, -1 AS dst FROM arcs GROUP BY ALL UNION ALL SELECT lattice_id, src, olabel, 1 AS k, dst FROM arcs) JOIN mass m USING (lattice_id) GROUP BY ALL""")
+def t1(spark, d):
+    made = paths.summary(structure.split_symbols(_named(lattice(spark, d))))
+    return rounded(made.select("lattice_id", "paths", "mass", F.col("n_arcs").cast("long").alias("n_arcs")), "mass")
+
+
+@query("t2_reverse", LATTICE + f"SELECT lattice_id, n AS paths, {r('-ln(m)')} AS mass, CAST(state + 2 AS INT) AS states FROM mass JOIN fin USING (lattice_id)")
+def t2(spark, d):
+    return rounded(paths.summary(structure.reverse(lattice(spark, d))).drop("n_arcs"), "mass")
+
+
+@query("t7_decode_encode", LATTICE + "SELECT DISTINCT lattice_id, string_agg('w' || olabel || '_' || (olabel % 3), ' ' ORDER BY arc_id) AS text FROM arcs WHERE src = 0 AND dst = 1 GROUP BY 1")
+def t7(spark, d):
+    """Labels to words, words to labels and back again."""
+    named = _named(lattice(spark, d))
+    firsts = named.rows.select("lattice_id", F.transform(F.filter("arcs", lambda a: (a["src"] == 0) & (a["dst"] == 1)), lambda a: a["ilabel"]).alias("labels"))
+    texts = structure.decode_symbols(firsts, named.symbols)
+    return structure.decode_symbols(structure.encode_symbols(texts, named.symbols), named.symbols)
+
+
+@query("t8_output_symbols", LATTICE + "SELECT lattice_id, CAST(ilabel - 1 AS INT) AS position, count(DISTINCT olabel) AS n, sum(DISTINCT olabel) AS total FROM arcs GROUP BY 1, 2")
+def t8(spark, d):
+    found = structure.output_symbols(lattice(spark, d))
+    total = F.aggregate("labels", F.lit(0).cast("long"), lambda t, x: t + x)
+    return found.select("lattice_id", "position", F.size("labels").cast("long").alias("n"), total.cast("double").alias("total"))
+
+
+@query("t10_sequence_length", LATTICE + "SELECT lattice_id, CAST(CASE WHEN min(len(ids)) = max(len(ids)) AND max(len(ids)) < 2 THEN min(len(ids)) ELSE -1 END AS INT) AS length FROM paths GROUP BY 1")
+def t10(spark, d):
+    return paths.sequence_length(lattice(spark, d))
+
+
+@query("o3_add_start_end", LATTICE + f"SELECT lattice_id, n AS paths, {r('-ln(m)')} AS mass, CAST(state + 3 AS INT) AS states FROM mass JOIN fin USING (lattice_id)")
+def o3(spark, d):
+    return rounded(paths.summary(structure.add_start_end(lattice(spark, d), 98, 99)).drop("n_arcs"), "mass")
+
+
+@query("f3_constraints", LATTICE + f""", want AS (SELECT lattice_id, max(olabel) AS m FROM arcs WHERE src = 0 GROUP BY 1)
+SELECT p.lattice_id, count(*) AS paths, {r('-ln(sum(exp(-w)))')} AS mass FROM paths p JOIN want USING (lattice_id)
+WHERE NOT EXISTS (SELECT 1 FROM arcs a WHERE a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) AND a.ilabel = 1 AND a.olabel <> want.m)
+AND NOT EXISTS (SELECT 1 FROM arcs a WHERE a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) AND a.ilabel = 2 AND a.olabel IN (7, 8, 9)) GROUP BY 1""")
+def f3(spark, d):
+    base = lattice(spark, d)
+    first = base.arcs.filter("src = 0").groupBy("lattice_id").agg(F.max("olabel").alias("match"))
+    none = F.array().cast("array<int>")
+    wanted = first.select("lattice_id", F.lit(0).alias("position"), "match", none.alias("exclude")).union(
+        first.select("lattice_id", F.lit(1), F.lit(None).cast("int"), F.array(F.lit(7), F.lit(8), F.lit(9)))
+    )
+    kept = filters.rm_arc(filters.with_constraints(base, wanted), filters.constrained())
+    return rounded(paths.summary(kept).select("lattice_id", "paths", "mass"), "mass")
+
+
+@query("w11_power_scale", LATTICE + f"SELECT lattice_id, {r('-ln(sum(exp(-0.5 * w)))')} AS mass FROM paths GROUP BY 1")
+def w11(spark, d):
+    return rounded(distance.mass(normalise.scale_weights(lattice(spark, d), 0.5)), "mass")
+
+
+@query("u1_tokenize", "SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ ,.]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL")
+def u1(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("text is not null")
+    return docs.select("doc_id", F.size(tokenize(F.col("text"), " ,.")).cast("long").alias("n"))
+
+
+@query("d11_edit_distance", """WITH s AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS text FROM conversations WHERE text IS NOT NULL),
+t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS next FROM s)
+SELECT conv_id, turn, levenshtein(text, next) AS distance FROM t WHERE next IS NOT NULL""")
+def d11(spark, d):
+    """Between the openings of a turn and the next one."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").filter("text is not null")
+    turns = turns.withColumn("text", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200))
+    turns = turns.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))).filter("next is not null")
+    return turns.select("conv_id", "turn", F.levenshtein("text", "next").cast("long").alias("distance"))
+
+
+@query("n4_determinize_weights_normalize", LATTICE + f""", words AS (SELECT p.lattice_id, p.w, string_agg(a.ilabel || ':' || a.olabel, ' ' ORDER BY a.arc_id) AS label
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY p.lattice_id, p.w, p.ids),
+one AS (SELECT lattice_id, label, sum(exp(-w)) AS e FROM words GROUP BY 1, 2)
+SELECT lattice_id, count(*) AS paths, {r('0.0')} AS mass, {r('max(e) / sum(e)')} AS best FROM one GROUP BY 1""")
+def n4(spark, d):
+    made = automata.determinize_weights_and_normalize(lattice(spark, d))
+    best = paths.shortest_path(made, include_final=True).select("lattice_id", F.exp("logprob").alias("best"))
+    return rounded(paths.summary(made).select("lattice_id", "paths", "mass").join(best, "lattice_id"), "mass", "best")
+
+
+@query("n6_determinize_normalize", LATTICE + """, words AS (SELECT DISTINCT p.lattice_id, string_agg(a.ilabel || ':' || a.olabel, ' ' ORDER BY a.arc_id) AS label
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY p.lattice_id, p.ids)
+SELECT lattice_id, count(*) AS paths, true AS ok FROM words GROUP BY 1""")
+def n6(spark, d):
+    made = automata.determinize_and_normalize(lattice(spark, d))
+    return paths.summary(made).select("lattice_id", "paths").join(normalise.is_probabilistic(_open(made), 1e-6), "lattice_id")
+
+
+def _open(lattices):
+    """Only states with arcs: final weights are not part of what sums to 1."""
+    from dataclasses import replace
+
+    rows = lattices.rows.withColumn(
+        "finals", F.transform("finals", lambda f, s: F.when(F.exists("arcs", lambda a: a["src"] == s), F.lit(float("inf"))).otherwise(F.lit(0.0)))
+    )
+    return replace(lattices, rows=rows)

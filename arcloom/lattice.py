@@ -56,6 +56,7 @@ def with_fields(a: Column, **fields: Column) -> Column:
 class Lattices:
     rows: DataFrame
     symbols: DataFrame | None = None
+    meta: DataFrame | None = None
 
     @property
     def arcs(self) -> DataFrame:

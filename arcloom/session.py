@@ -1,4 +1,4 @@
-"""Making this package known to a session's Python workers."""
+"""What concerns a session: its Python workers, and the folder its executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -24,3 +24,25 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(package.parent))
         sc.addPyFile(str(target))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset a temporary folder is taken, in local mode only.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="arcloom-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
