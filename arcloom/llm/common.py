@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 from collections.abc import Iterator
 
@@ -11,29 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ASCII_SPACE = "[\\x20\\x09-\\x0D]"
-
+from arcloom.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+__all__ = ["columns", "components", "cut", "release", "shared_dir", "shuffle_partitions"]
 
-    Where it is unset a temporary folder is taken, in local mode only.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="arcloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def release(spark: SparkSession) -> None:
