@@ -264,9 +264,11 @@ def _part(values: np.ndarray, parts: int) -> np.ndarray:
 
 def _packed(kind: int, values: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """The values as compressed rows, one for each part."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     values, part = values[order], part[order]
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for lo, hi in zip(first, [*first[1:], len(part)], strict=True):
         yield kind, int(part[lo]), squeeze(b"".join(values[n][lo:hi].tobytes() for n in values.dtype.names))
