@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.text import tokenize
 from arcloom.lattice import with_fields
-from arcloom.operators import automata, confusion, distance, filters, normalise, paths, structure
+from arcloom.operators import automata, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
 from arcloom.session import ship
 from arcloom.sources import derive, text_lattices
 
@@ -420,3 +420,37 @@ def _open(lattices):
         "finals", F.transform("finals", lambda f, s: F.when(F.exists("arcs", lambda a: a["src"] == s), F.lit(float("inf"))).otherwise(F.lit(0.0)))
     )
     return replace(lattices, rows=rows)
+
+
+@query("e_edit_distance", LATTICE + """, label AS (SELECT s.lattice_id, s.ids, coalesce(string_agg(chr(64 + a.olabel), '' ORDER BY a.arc_id), '') AS text
+  FROM steps s LEFT JOIN arcs a ON a.lattice_id = s.lattice_id AND list_contains(s.ids, a.arc_id) GROUP BY s.lattice_id, s.ids),
+want AS (SELECT lattice_id, chr(64 + min(olabel)) || chr(64 + 7) || chr(64 + 3) AS prefix FROM arcs WHERE src = 0 GROUP BY 1)
+SELECT lattice_id, CAST(min(levenshtein(text, prefix)) AS DOUBLE) AS cost FROM label JOIN want USING (lattice_id) GROUP BY 1""")
+def e(spark, d):
+    """The least number of edits between a prefix and the beginnings of paths."""
+    base = lattice(spark, d)
+    first = F.array_min(F.transform(F.filter("arcs", lambda a: a["src"] == 0), lambda a: a["olabel"]))
+    prefixes = base.rows.select("lattice_id", F.array(first, F.lit(7), F.lit(3)).alias("prefix"))
+    return edit_distance.edit_distance_features(base, prefixes).groupBy("lattice_id").agg(F.min("cost").alias("cost"))
+
+
+def _references(base) -> DataFrame:
+    """At each position the largest label that the lattice has there."""
+    top = base.arcs.groupBy("lattice_id", "ilabel").agg(F.max("olabel").alias("m"))
+    return top.groupBy("lattice_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ilabel", "m"))), lambda s: s["m"]).alias("ref"))
+
+
+@query("a_labelling_left_to_right", SLOTS + """, top AS (SELECT lattice_id, ilabel, max(olabel) AS ref, max(p) AS best FROM norm GROUP BY 1, 2),
+tie AS (SELECT n.lattice_id, n.ilabel, max(t.ref) AS ref, min(n.olabel) AS hyp FROM norm n JOIN top t USING (lattice_id, ilabel) WHERE n.p >= t.best - 1e-9 GROUP BY 1, 2),
+wrong AS (SELECT *, hyp <> ref AS w FROM tie)
+SELECT lattice_id, max(ilabel) FILTER (WHERE w) AS asked, count(*) FILTER (WHERE w) AS corrected FROM wrong GROUP BY 1 HAVING count(*) FILTER (WHERE w) > 0""")
+def a_left(spark, d):
+    base = sausage(spark, d)
+    asked = labelling.simulate(base, _references(base), "sequential-hamming")
+    return asked.groupBy("lattice_id").agg(F.count("*").alias("asked"), F.count_if("corrected").alias("corrected"))
+
+
+@query("a_labelling_active")
+def a_active(spark, d):
+    base = sausage(spark, d)
+    return rounded(labelling.simulate(base, _references(base), "active-label-mutual-information-global"), "score", "order_1", "order_2")
