@@ -36,6 +36,8 @@ CHUNK_BITS = 21
 PERIOD, COVER = 7, (0, 1, 3)
 #: bytes of text that a task holds records of
 FLUSH = 16_000_000
+#: spans that a task gathers before it deals them out by document
+HELD_SPANS = 2_000_000
 
 _P = 0x9E3779B185EBCA87
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -338,7 +340,7 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 BLOB = "kind int, part long, blob binary"
 
 
-def repeated_spans(docs: DataFrame, buckets: int, parts: int) -> list[DataFrame]:
+def repeated_spans(docs: DataFrame, buckets: int, parts: int, doc_parts: int) -> list[DataFrame]:
     """Rows (kind, part, blob) of spans, part by doc_id: one table for each bucket,
     written before the next bucket is begun."""
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
@@ -360,16 +362,16 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int) -> list[DataFrame]
         def emit(ids, held):
             records, spans = local_records(ids, held, bucket, buckets)
             yield _blobs([*_packed(RECORDS, records, _part(records["key"] >> np.uint64(20), parts))])
-            yield _blobs([*_packed(SPANS, spans, _part(spans["doc"], parts))])
+            yield _blobs([*_packed(SPANS, spans, _part(spans["doc"], doc_parts))])
 
         return run
 
     def compare(batches):
-        part, held = None, []
+        part, held, found, n = None, [], [], 0
 
-        def close():
-            spans = repeats(_unpacked(held, RECORD))
-            return _blobs([*_packed(SPANS, spans, _part(spans["doc"], parts))])
+        def spread():
+            spans = np.concatenate(found) if found else np.zeros(0, SPAN)
+            return _blobs([*_packed(SPANS, spans, _part(spans["doc"], doc_parts))])
 
         for b in batches:
             for k, p, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -377,12 +379,16 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int) -> list[DataFrame]
                     yield _blobs([(k, p, blob)])
                     continue
                 if held and p != part:
-                    yield close()
-                    held = []
+                    found.append(repeats(_unpacked(held, RECORD)))
+                    held, n = [], n + len(found[-1])
+                    if n > HELD_SPANS:
+                        yield spread()
+                        found, n = [], 0
                 part = p
                 held.append(blob)
         if held:
-            yield close()
+            found.append(repeats(_unpacked(held, RECORD)))
+        yield spread()
 
     out = []
     for bucket in range(buckets):
@@ -396,8 +402,9 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int) -> list[DataFrame]
 def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataFrame:
     """``finish(columns, rows)`` over groups of documents: columns maps names to
     lists, rows gives each document's runs (lo, hi) of removed bytes."""
-    parts = 4 * shuffle_partitions(docs.sparkSession)
-    spans = repeated_spans(docs, buckets, parts)
+    parts = shuffle_partitions(docs.sparkSession)
+    # records take more room than texts, so they come in smaller groups
+    spans = repeated_spans(docs, buckets, 4 * parts, parts)
     names = docs.columns
 
     def tag(batches):
