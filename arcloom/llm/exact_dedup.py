@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "doc_id",
         "keep_id",
         "group_size",
-        ((F.col("doc_id") == F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))).alias("kept"),
         "text_sha256",
     )
 

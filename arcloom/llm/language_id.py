@@ -107,15 +107,16 @@ def train(
     return langs, table
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred and score: the language whose corrected share of
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *added: str) -> DataFrame:
+    """``docs`` with lang_pred and score (or the two names ``added``): the language whose corrected share of
     the text's n-grams is largest (the first by name of equals), and that share.
     A text that is null or has no letter is ``und`` with score 0."""
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
     bits = len(table).bit_length() - 1
-    names = [*docs.columns, "lang_pred", "score"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
+    lang_name, score_name = added or ("lang_pred", "score")
+    names = [*docs.columns, lang_name, score_name]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{lang_name} string", f"{score_name} double"])
     chance = [float(((table >> table.dtype.type(l)) & table.dtype.type(1)).mean()) ** HASHES for l in range(len(langs))]
 
     def run(batches):
@@ -147,8 +148,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
 
 def held_out(doc_id):
-    """True for the fifth of the documents that no model learns from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """False for a null doc_id; true for the fifth of the documents that no model learns from."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def identify(docs: DataFrame, **training) -> DataFrame:

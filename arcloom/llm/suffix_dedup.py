@@ -412,11 +412,11 @@ def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataF
             at = names.index("doc_id")
             ids = b.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             part = _part(ids, parts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*names, "part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*names, "__part"])
 
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", part long"
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __part long"
     tagged = docs.mapInArrow(tag, typed)
-    rows = tagged.select(F.lit(TEXT).alias("kind"), "part", F.lit(None).cast("binary").alias("blob"), F.struct(*names).alias("row"))
+    rows = tagged.select(F.lit(TEXT).alias("kind"), F.col("__part").alias("part"), F.lit(None).cast("binary").alias("blob"), F.struct(*names).alias("row"))
     for s in spans:
         rows = rows.unionByName(s, allowMissingColumns=True)
 

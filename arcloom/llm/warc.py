@@ -67,7 +67,7 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{"" if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
@@ -92,8 +92,9 @@ def parse(member: bytes) -> dict:
     return {"headers": headers, "http": dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), "payload": payload}
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    number = urn.removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if number else None
 
 
 class Reader:
@@ -204,7 +205,8 @@ def write_archive(pages: DataFrame, root: str | None = None) -> Archive:
     Of equal payloads of 100 bytes or more the one with the smallest page_id is
     a response, the others are revisits of it (rows that repeat that page_id
     are responses too).  A null html is an empty payload, a null url has no
-    target; other columns are ignored.
+    target, a null page_id gives a response without a number; other columns are
+    ignored.
     """
     spark = pages.sparkSession
     root = root or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
