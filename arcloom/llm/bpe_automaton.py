@@ -22,6 +22,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from arcloom.llm.common import small
 from arcloom.llm.pretokens import Cache, byte_letters, plain
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -161,19 +162,17 @@ def encode_decode(docs: DataFrame, tokenizer: str, cache_size: int = 800_000) ->
 
     def run(batches):
         encode = _tokenizer(tokenizer, cache_size)
-        for b in batches:
-            for i in range(0, b.num_rows, 256):  # ids and labels are some times as long as the text
-                part = b.slice(i, 256)
-                found = [encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([f[1] for f in found], pa.string()),
-                        pa.array([f[2] for f in found], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for b in small(batches, 256):
+            found = [encode(t or "") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).cast(pa.int64()),
+                    pa.array([f[0] for f in found], pa.int64()),
+                    pa.array([f[1] for f in found], pa.string()),
+                    pa.array([f[2] for f in found], pa.string()),
+                ],
+                names=["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")
 
@@ -183,7 +182,7 @@ def digests(docs: DataFrame, tokenizer: str, cache_size: int = 800_000) -> DataF
 
     def run(batches):
         encode = _tokenizer(tokenizer, cache_size)
-        for b in batches:
+        for b in small(batches, 256):
             found = [encode(t or "") for t in b.column(1).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.int64())]
             columns += [pa.array([hashlib.sha256(f[k].encode()).hexdigest() for f in found]) for k in (1, 2)]

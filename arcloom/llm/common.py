@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from arcloom.session import cut, shared_dir
 
-__all__ = ["columns", "components", "cut", "release", "shared_dir", "shuffle_partitions"]
+__all__ = ["components", "cut", "release", "shared_dir", "shuffle_partitions", "small"]
 
-ASCII_SPACE = "[\\x20\\x09-\\x0D]"
 
 
 def release(spark: SparkSession) -> None:
@@ -32,11 +31,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def columns(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """The named columns of each Arrow batch as Python lists."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that few texts are Python objects at a time."""
     for b in batches:
-        if b.num_rows:
-            yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcloom.llm.common import small
+
 GRAM = 4
 HASHES = 2
 MAX_LANGUAGES = 64
@@ -122,7 +124,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *added: str) -
     def run(batches):
         table = shared.value
         one = table.dtype.type(1)
-        for b in batches:
+        for b in small(batches):
             texts = b.column(names.index("text")).to_pylist()
             preds, scores = [], []
             for lo, hi in _slices(texts, 1_000_000):

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import cut, shuffle_partitions
+from arcloom.llm.common import cut, shuffle_partitions, small
 from arcloom.llm.pretokens import Cache, byte_letters, plain, words_after_spaces
 
 GROUPS = 256
@@ -59,14 +59,14 @@ def _encoder(tokenizer: str, bound: int):
     return encode
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, cache_size: int = 1_000_000) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, cache_size: int = 500_000) -> DataFrame:
     """Tokenise and cut: only documents over ``capacity`` are cut, and all their
     pieces but the first are full."""
     end_id = np.array([end], "<u4").tobytes()
 
     def cut_up(batches):
         encode = _encoder(tokenizer, cache_size)
-        for b in batches:
+        for b in small(batches):
             out = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end_id

@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import components, cut
+from arcloom.llm.common import components, cut, small
 
 SEED = 42
 BITS = 64
 #: most fingerprints of one tree
 TREE = 1000
+#: up to so many shards with several trees, these are broadcast; more are joined by a shuffle
+FEW_FULL = 10_000
 
 
 class BKTree:
@@ -90,17 +92,45 @@ def signatures(hashes: list[np.ndarray]) -> np.ndarray:
     half of them have it set."""
     counts = np.array([len(h) for h in hashes])
     ones = np.zeros((len(hashes), BITS), np.int64)
-    if counts.sum():
-        every = np.concatenate(hashes)
-        owner = np.repeat(np.arange(len(hashes)), counts)
-        for lo in range(0, len(every), 1 << 17):
-            part, own = every[lo : lo + (1 << 17)], owner[lo : lo + (1 << 17)]
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    starts = np.cumsum(counts) - counts
+    # the longest ones by themselves: side by side they would stand alone
+    few = counts <= np.sort(counts)[-min(len(counts), ALONE)] if len(counts) else counts == 0
+    if few.any():
+        ones[few] = _sliced_counts(every, starts[few], counts[few])
+    for i in np.flatnonzero(~few):
+        for lo in range(0, counts[i], 1 << 16):
+            part = hashes[i][lo : lo + (1 << 16)]
+            ones[i] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+#: so many of the longest arrays are not counted side by side with the others
+ALONE = 32
+
+
+def _sliced_counts(every: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each array's hashes set each bit.  Word p of an array's counter
+    holds bit p of its 64 counts, so that one step adds a hash to all of them."""
+    order = np.argsort(-counts, kind="stable")
+    starts, sizes = starts[order], counts[order]
+    most = int(sizes[0]) if len(sizes) else 0
+    slices = np.zeros((max(1, most.bit_length()), len(sizes)), np.uint64)
+    left = len(sizes) - np.searchsorted(sizes[::-1], np.arange(most), side="right")  # arrays with more than k hashes
+    for k in range(most):
+        m = int(left[k])
+        carry = every[starts[:m] + k]
+        for p in range((k + 1).bit_length()):
+            word = slices[p, :m]
+            both = word & carry
+            word ^= carry
+            carry = both
+    out = np.zeros((len(sizes), BITS), np.int64)
+    for p in range(len(slices)):
+        out[order] += np.unpackbits(slices[p].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64) << p
+    return out
+
+
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
@@ -120,12 +150,9 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     shingle, one without words has 0."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 128):
             ids, texts = b.column(0), b.column(1).to_pylist()
-            out = []
-            for lo in range(0, len(texts), 128):
-                out.append(signatures([shingle_hashes(t, size) for t in texts[lo : lo + 128]]))
-            fps = np.concatenate(out) if out else np.zeros(0, np.uint64)
+            fps = signatures([shingle_hashes(t, size) for t in texts])
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -158,7 +185,9 @@ def cells(fps: DataFrame, radius: int, n: int, *more: str) -> DataFrame:
         *more,
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks_for(n, radius), radius)])).alias("shard", "key"),
     )
-    full = sharded.groupBy("shard", "key").count().filter(F.col("count") > TREE)
+    full = cut(sharded.groupBy("shard", "key").count().filter(F.col("count") > TREE))
+    if full.count() <= FEW_FULL:
+        full = F.broadcast(full)
     trees = F.coalesce(F.ceil(F.col("count") / TREE), F.lit(1)).cast("int")
     tree: Column = F.pmod(F.xxhash64("fp", "shard", *more), F.col("trees")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: (t != F.col("tree")) | (F.col("trees") == 1))
@@ -273,19 +302,14 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, fp, same (a 128-bit digest of the shingle set) and bands."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 128):
             ids, texts = b.column(0), b.column(1).to_pylist()
-            fps, same, keys = [], [], []
-            for lo in range(0, len(texts), 128):
-                hashes = [shingle_hashes(t, size) for t in texts[lo : lo + 128]]
-                fps.append(signatures(hashes))
-                sets = [np.unique(h) for h in hashes]
-                same += [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
-                keys += [bands(s) for s in sets]
+            hashes = [shingle_hashes(t, size) for t in texts]
+            fps = signatures(hashes)
+            sets = [np.unique(h) for h in hashes]
+            same = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(np.concatenate(fps).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                if texts
-                else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))],
+                [ids.cast(pa.int64()), pa.array(fps.view(np.int64)), pa.array(same, pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "fp", "same", "bands"],
             )
 
@@ -345,7 +369,7 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int
     candidates = cut(dealt(_band_cells(single)).mapInArrow(meet, "doc_id long").distinct())
 
     def sets(batches):
-        for b in batches:
+        for b in small(batches, 128):
             ids, fps, keys, texts = (b.column(i) for i in range(4))
             data = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, fps, keys, pa.array(data, pa.binary())], names=["doc_id", "fp", "bands", "set"])

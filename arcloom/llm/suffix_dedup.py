@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import cut, release, shuffle_partitions
+from arcloom.llm.common import cut, release, shuffle_partitions, small
 
 WINDOW = 50
 GRAM = 20
@@ -348,7 +348,7 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int, doc_parts: int) ->
     def collect(bucket):
         def run(batches):
             ids, held, size = [], [], 0
-            for b in batches:
+            for b in small(batches):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     ids.append(doc)
                     held.append(text.encode())

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arcloom.llm.common import small
 from arcloom.llm.pretokens import Cache
 
 PRE_TOKEN = re.compile("▁*[^▁]+|▁+")
@@ -97,7 +98,7 @@ def count_tokens(
     def count(batches):
         common, rare = table.value, _rare(model, cache_size)
         get = common.get
-        for b in batches:
+        for b in small(batches):
             ids, texts = b.column(0), b.column(1).to_pylist()
             sizes, tokens = [], []
             for t in texts:

@@ -114,13 +114,19 @@ def test_plans_place_everything_once(counts):
         for i in range(n):
             bins[first + i].append((offset, length))
     assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
-    total = 0
     for places in bins.values():
         at = 0
         for offset, length in sorted(places):
             assert offset == at
             at += length
         assert at <= 60
-        total += at
-    # no worse than the usual bound of fitting by decreasing size
-    assert len(bins) <= -(-total // 60) * 11 / 9 + 2
+    # about as few as plain best fit by decreasing length, for all the coarseness of five groups
+    rooms: list[int] = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        fitting = [room for room in rooms if room >= length]
+        if fitting:
+            rooms.remove(min(fitting))
+            rooms.append(min(fitting) - length)
+        else:
+            rooms.append(60 - length)
+    assert len(bins) <= 1.25 * len(rooms) + 1
