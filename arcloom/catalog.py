@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arcloom.functions import semiring
 from arcloom.functions.text import tokenize
 from arcloom.lattice import with_fields
 from arcloom.operators import automata, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
@@ -454,3 +455,97 @@ def a_left(spark, d):
 def a_active(spark, d):
     base = sausage(spark, d)
     return rounded(labelling.simulate(base, _references(base), "active-label-mutual-information-global"), "score", "order_1", "order_2")
+
+
+_ODD_FIRST = LATTICE + """, ok AS (SELECT p.* FROM paths p WHERE NOT EXISTS (SELECT 1 FROM arcs a
+  WHERE a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) AND a.ilabel = 1 AND a.olabel % 2 = 1))
+"""
+
+
+def _not_odd_first(a):
+    return (a["ilabel"] != 1) | (a["olabel"] % 2 != 1)
+
+
+@query("f4_mask_dead", _ODD_FIRST + f"SELECT lattice_id, count(*) AS paths, {r('-ln(sum(exp(-w)))')} AS mass FROM ok GROUP BY 1")
+def f4(spark, d):
+    return rounded(paths.summary(filters.mask_dead(lattice(spark, d), _not_odd_first)).select("lattice_id", "paths", "mass"), "mass")
+
+
+@query("f5_mask_zero", _ODD_FIRST + f"SELECT lattice_id, {r('-ln(sum(exp(-w)))')} AS mass FROM ok GROUP BY 1")
+def f5(spark, d):
+    masked = filters.mask_zero(lattice(spark, d), _not_odd_first)
+    return rounded(paths.summary(masked).select("lattice_id", "mass").filter("mass < double('infinity')"), "mass")
+
+
+@query("f10_connect", _ODD_FIRST + """, on_path AS (SELECT DISTINCT o.lattice_id, a.src FROM ok o JOIN arcs a ON a.lattice_id = o.lattice_id AND list_contains(o.ids, a.arc_id))
+SELECT lattice_id, CAST(count(*) + 1 AS INT) AS states FROM on_path GROUP BY 1""")
+def f10(spark, d):
+    return paths.summary(filters.rm_arc(lattice(spark, d), _not_odd_first)).select("lattice_id", "states")
+
+
+@query("w1_log_arithmetic", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('ln(l_quantity + l_extendedprice)')} AS added, {r('ln(l_extendedprice + 1 - l_quantity)')} AS taken,
+  {r('l_discount * ln(10)')} AS based, {r('l_quantity')} AS p FROM lineitem WHERE l_extendedprice + 1 > l_quantity""")
+def w1(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_extendedprice + 1 > l_quantity")
+    q, price = F.log("l_quantity"), F.log("l_extendedprice")
+    made = lines.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        semiring.add_log(q, price).alias("added"),
+        semiring.sub_log(F.log(F.col("l_extendedprice") + 1), q).alias("taken"),
+        semiring.change_base(F.col("l_discount"), 10).alias("based"),
+        semiring.probability(-q).alias("p"),
+    )
+    return rounded(made, "added", "taken", "based", "p")
+
+
+@query("w5_vector_weights", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('l_quantity + l_tax')} AS first, {r('l_extendedprice - l_discount')} AS second,
+  CASE WHEN l_quantity < l_tax + 25 THEN l_linenumber ELSE 0 END AS cheaper, {r('2 * l_quantity - l_extendedprice')} AS updated FROM lineitem""")
+def w5(spark, d):
+    """Log-linear weights: times, divide, plus and a new combination."""
+    a = semiring.vector(F.col("l_quantity"), F.array("l_quantity", "l_extendedprice"))
+    b = semiring.vector(F.col("l_tax"), F.array("l_tax", "l_discount"))
+    one = semiring.vector_plus(
+        semiring.vector(F.col("l_quantity"), F.array(F.col("l_linenumber").cast("double"))),
+        semiring.vector(F.col("l_tax") + 25, F.array(F.lit(0.0))),
+    )
+    made = spark.read.parquet(f"{d}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.get(semiring.vector_times(a, b)["features"], F.lit(0)).alias("first"),
+        F.get(semiring.vector_divide(a, b)["features"], F.lit(1)).alias("second"),
+        F.get(one["features"], F.lit(0)).cast("int").alias("cheaper"),
+        semiring.vector_update(a, F.array(F.lit(2.0), F.lit(-1.0)))["weight"].alias("updated"),
+    )
+    return rounded(made, "first", "second", "updated")
+
+
+@query("s12_feature_weights", LATTICE + f""", scored AS (SELECT p.lattice_id, p.ids, 0.7 * p.w + 0.1 * sum(a.ilabel) AS w
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY p.lattice_id, p.ids, p.w)
+SELECT lattice_id, {r('-ln(sum(exp(-w)))')} AS mass FROM scored GROUP BY 1""")
+def s12(spark, d):
+    """Features (cost, position) weighed anew."""
+    base = lattice(spark, d).map_arcs(lambda a: with_fields(a, features=F.array(a["weight"], a["ilabel"].cast("double"))))
+    return rounded(distance.mass(text_lattices.set_feature_weights(base, [0.7, 0.1])), "mass")
+
+
+@query("n7_after_normalize", LATTICE + "SELECT lattice_id, true AS ok FROM mass")
+def n7_after(spark, d):
+    return normalise.is_probabilistic(normalise.normalize(lattice(spark, d)))
+
+
+@query("t3_topsort", LATTICE + "SELECT lattice_id, count(*) AS arcs, true AS ordered FROM arcs GROUP BY 1")
+def t3(spark, d):
+    """States named at odds with their order are numbered so that arcs lead onward."""
+    arcs = lattice(spark, d).arcs.select("lattice_id", (1000 - F.col("src") * 7 % 11).alias("src"), (1000 - F.col("dst") * 7 % 11).alias("dst"))
+    nodes = arcs.select("lattice_id", F.col("src").alias("node")).union(arcs.select("lattice_id", "dst")).distinct()
+    made = structure.topsort(arcs, nodes)
+    at = lambda side: made.select("lattice_id", F.col("node").cast("long").alias(side), F.col("state").alias(f"n_{side}"))
+    both = arcs.join(at("src"), ["lattice_id", "src"]).join(at("dst"), ["lattice_id", "dst"])
+    return both.groupBy("lattice_id").agg(F.count("*").alias("arcs"), F.bool_and(F.col("n_src") < F.col("n_dst")).alias("ordered"))
+
+
+@query("o6_edit_features")
+def o6(spark, d):
+    """Feature vectors of the words that may follow a prefix, one row per word."""
+    base = lattice(spark, d)
+    first = F.array_min(F.transform(F.filter("arcs", lambda a: a["src"] == 0), lambda a: a["olabel"]))
+    return edit_distance.edit_distance_features(base, base.rows.select("lattice_id", F.array(first).alias("prefix")))
