@@ -17,6 +17,8 @@ from arcloom.session import ship
 from arcloom.sources import derive, text_lattices
 
 DIGITS = 6
+#: for shares of whole quantities, of which some end in 5 at the seventh digit
+SHARE_DIGITS = 9
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,13 +77,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def r(value: str) -> str:
+def r(value: str, digits: int = DIGITS) -> str:
     """Rounded alike in both engines, without a negative zero."""
-    return f"round({value}, {DIGITS}) + 0.0"
+    return f"round({value}, {digits}) + 0.0"
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, DIGITS) + 0.0 for n in names})
+def rounded(df: DataFrame, *names: str, digits: int = DIGITS) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
 
 
 def lattice(spark: SparkSession, sf_dir: str):
@@ -131,24 +133,24 @@ def d7(spark, d):
 
 @query(
     "d8_position_posteriors",
-    SAUSAGE + f"SELECT lattice_id, CAST(src AS INT) AS position, olabel, {r('sum(through) / any_value(m)')} AS p FROM post JOIN mass USING (lattice_id) GROUP BY 1, 2, 3",
+    SAUSAGE + f"SELECT lattice_id, CAST(src AS INT) AS position, olabel, {r('sum(through) / any_value(m)', SHARE_DIGITS)} AS p FROM post JOIN mass USING (lattice_id) GROUP BY 1, 2, 3",
 )
 def d8(spark, d):
-    return rounded(paths.position_posteriors(sausage(spark, d)), "p")
+    return rounded(paths.position_posteriors(sausage(spark, d)), "p", digits=SHARE_DIGITS)
 
 
-@query("d9_shortest_hamming_path", SLOTS + f"SELECT lattice_id, count(*) AS length, {r('sum(best)')} AS expected_correct FROM pos GROUP BY 1")
+@query("d9_shortest_hamming_path", SLOTS + f"SELECT lattice_id, count(*) AS length, {r('sum(best)', SHARE_DIGITS)} AS expected_correct FROM pos GROUP BY 1")
 def d9(spark, d):
     found = paths.shortest_hamming_path(sausage(spark, d))
-    return rounded(found.select("lattice_id", F.size("hyp").cast("long").alias("length"), "expected_correct"), "expected_correct")
+    return rounded(found.select("lattice_id", F.size("hyp").cast("long").alias("length"), "expected_correct"), "expected_correct", digits=SHARE_DIGITS)
 
 
 @query(
     "i3_position_probabilities",
-    LATTICE + f"SELECT lattice_id, CAST(ilabel AS INT) AS ilabel, olabel, {r('sum(through) / any_value(m)')} AS p FROM post JOIN mass USING (lattice_id) GROUP BY 1, 2, 3",
+    LATTICE + f"SELECT lattice_id, CAST(ilabel AS INT) AS ilabel, olabel, {r('sum(through) / any_value(m)', SHARE_DIGITS)} AS p FROM post JOIN mass USING (lattice_id) GROUP BY 1, 2, 3",
 )
 def i3(spark, d):
-    return rounded(paths.position_probabilities(lattice(spark, d)), "p")
+    return rounded(paths.position_probabilities(lattice(spark, d)), "p", digits=SHARE_DIGITS)
 
 
 _ARC = "lattice_id, arc_id, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, CAST(ilabel AS INT) AS ilabel, olabel"
@@ -197,9 +199,9 @@ def i2(spark, d):
     return rounded(normalise.entropy(normalise.normalize(lattice(spark, d))).drop("perplexity"), "neg_entropy", "entropy")
 
 
-def _measure(name: str, value: str):
+def _measure(name: str, value: str, digits: int = DIGITS):
     ilabel = "CAST(ilabel AS INT) AS ilabel"
-    return query(name, SLOTS + f"SELECT lattice_id, {ilabel}, {r(value)} AS value FROM around")
+    return query(name, SLOTS + f"SELECT lattice_id, {ilabel}, {r(value, digits)} AS value FROM around")
 
 
 @query(
@@ -220,9 +222,9 @@ def i5(spark, d):
     return rounded(normalise.mutual_information(normalise.normalize(sausage(spark, d))), "value")
 
 
-@_measure("i6_conditional_expected_accuracy", "b_all - best + 1")
+@_measure("i6_conditional_expected_accuracy", "b_all - best + 1", SHARE_DIGITS)
 def i6(spark, d):
-    return rounded(normalise.conditional_expected_accuracy(normalise.normalize(sausage(spark, d))), "value")
+    return rounded(normalise.conditional_expected_accuracy(normalise.normalize(sausage(spark, d))), "value", digits=SHARE_DIGITS)
 
 
 @_measure("i7_conditional_expected_shortest_path", "l_all - ln(best) + h")
@@ -230,9 +232,9 @@ def i7(spark, d):
     return rounded(normalise.conditional_expected_shortest_path(normalise.normalize(sausage(spark, d))), "value")
 
 
-@_measure("i8_conditional_expected_num_changes", "1 - best")
+@_measure("i8_conditional_expected_num_changes", "1 - best", SHARE_DIGITS)
 def i8(spark, d):
-    return rounded(normalise.conditional_expected_num_changes(normalise.normalize(sausage(spark, d))), "value")
+    return rounded(normalise.conditional_expected_num_changes(normalise.normalize(sausage(spark, d))), "value", digits=SHARE_DIGITS)
 
 
 @query("f1_query_filter", LATTICE + f"""SELECT lattice_id, {r('-ln(sum(exp(-w)))')} AS mass FROM paths p
@@ -275,9 +277,9 @@ def f12(spark, d):
   FROM paths p, (SELECT unnest(range(1, 20)) AS k) g WHERE g.k <= len(p.ids)),
 cells AS (SELECT w.lattice_id, w.position, CAST(a.ilabel AS INT) AS label, sum(e) AS s FROM words w JOIN arcs a USING (lattice_id, arc_id) GROUP BY 1, 2, 3
   UNION ALL SELECT lattice_id, len(ids) + 1, -1, sum(exp(-w)) FROM paths GROUP BY 1, 2)
-SELECT lattice_id, CAST(position AS INT) AS position, label, {r('s / sum(s) OVER (PARTITION BY lattice_id, position)')} AS p FROM cells""")
+SELECT lattice_id, CAST(position AS INT) AS position, label, {r('s / sum(s) OVER (PARTITION BY lattice_id, position)', SHARE_DIGITS)} AS p FROM cells""")
 def c1(spark, d):
-    return rounded(confusion.mbr_table(lattice(spark, d)), "p")
+    return rounded(confusion.mbr_table(lattice(spark, d)), "p", digits=SHARE_DIGITS)
 
 
 @query("c2_confusion_network", LATTICE + """, words AS (SELECT DISTINCT p.lattice_id, g.k AS position, a.ilabel
@@ -398,11 +400,11 @@ def d11(spark, d):
 @query("n4_determinize_weights_normalize", LATTICE + f""", words AS (SELECT p.lattice_id, p.w, string_agg(a.ilabel || ':' || a.olabel, ' ' ORDER BY a.arc_id) AS label
   FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY p.lattice_id, p.w, p.ids),
 one AS (SELECT lattice_id, label, sum(exp(-w)) AS e FROM words GROUP BY 1, 2)
-SELECT lattice_id, count(*) AS paths, {r('0.0')} AS mass, {r('max(e) / sum(e)')} AS best FROM one GROUP BY 1""")
+SELECT lattice_id, count(*) AS paths, {r('0.0')} AS mass, {r('max(e) / sum(e)', SHARE_DIGITS)} AS best FROM one GROUP BY 1""")
 def n4(spark, d):
     made = automata.determinize_weights_and_normalize(lattice(spark, d))
     best = paths.shortest_path(made, include_final=True).select("lattice_id", F.exp("logprob").alias("best"))
-    return rounded(paths.summary(made).select("lattice_id", "paths", "mass").join(best, "lattice_id"), "mass", "best")
+    return rounded(paths.summary(made).select("lattice_id", "paths", "mass").join(best, "lattice_id"), "mass", "best", digits=SHARE_DIGITS)
 
 
 @query("n6_determinize_normalize", LATTICE + """, words AS (SELECT DISTINCT p.lattice_id, string_agg(a.ilabel || ':' || a.olabel, ' ' ORDER BY a.arc_id) AS label
