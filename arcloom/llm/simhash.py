@@ -90,21 +90,30 @@ class Forest:
 def signatures(hashes: list[np.ndarray]) -> np.ndarray:
     """The SimHash of each array of 64-bit hashes: bit by bit, whether more than
     half of them have it set."""
-    counts = np.array([len(h) for h in hashes])
-    ones = np.zeros((len(hashes), BITS), np.int64)
     every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return signatures_of(every, np.array([len(h) for h in hashes], np.int64))
+
+
+def signatures_of(every: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """As ``signatures``, of arrays that follow each other in ``every``."""
+    ones = np.zeros((len(counts), BITS), np.int64)
     starts = np.cumsum(counts) - counts
     # the longest ones by themselves: side by side they would stand alone
     few = counts <= np.sort(counts)[-min(len(counts), ALONE)] if len(counts) else counts == 0
     if few.any():
         ones[few] = _sliced_counts(every, starts[few], counts[few])
     for i in np.flatnonzero(~few):
-        for lo in range(0, counts[i], 1 << 16):
-            part = hashes[i][lo : lo + (1 << 16)]
+        for lo in range(starts[i], starts[i] + counts[i], 1 << 16):
+            part = every[lo : min(lo + (1 << 16), starts[i] + counts[i])]
             ones[i] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def digests_as_hashes(digests: list[bytes]) -> np.ndarray:
+    """XXH64 digests (big-endian) as numbers."""
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+
+
 #: so many of the longest arrays are not counted side by side with the others
 ALONE = 32
 
@@ -135,13 +144,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= size:
-        return np.array([hash64(joined, SEED)], np.uint64)
-    starts = [0, *accumulate(len(w) + 1 for w in words)]
-    return np.fromiter(
-        (hash64(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:], strict=False)), np.uint64, len(words) - size + 1
-    )
+        return digests_as_hashes([digest(joined, SEED)])
+    starts = [0, *accumulate([len(w) + 1 for w in words])]
+    return digests_as_hashes([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[size:], strict=False)])
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
