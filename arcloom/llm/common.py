@@ -38,14 +38,29 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
             yield b.slice(lo, rows)
 
 
+#: so many edges' nodes are broadcast: some 20 MB
+FEW_EDGES = 500_000
+SALTS = 16
+
+
+def _with_least(arcs: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    if edges <= FEW_EDGES:
+        return arcs.join(F.broadcast(least), "u")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = arcs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("salt", salts), ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: rows (node, root), root the
     smallest node of the component.  Nodes without an edge do not appear.
 
     Alternating large-star and small-star rounds (Kiveris et al., Connected
     Components in MapReduce and Beyond, 2014).  Each round is two joins and
-    aggregations on the edge list, cut by a checkpoint; a star's centre is met
-    by an ordinary join, whose skewed partitions adaptive execution splits.
+    aggregations on the edge list, cut by a checkpoint.  The joins give each
+    arc the least neighbour of its end: up to FEW_EDGES these are broadcast,
+    beyond that the arcs of a node are salted, as a star's centre may have any
+    number of them.
     """
     both = [F.col("u"), F.col("v")]
     edges = cut(
@@ -61,10 +76,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
         arcs = edges.union(edges.select("v", "u"))
         least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = arcs.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(arcs, least, now[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            _with_least(large, least, now[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("e"))
             .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
             .filter("u <> v")

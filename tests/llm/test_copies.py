@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from helpers import awkward, table
 
-from arcloom.llm import exact_dedup, line_dedup, simhash, suffix_dedup
+from arcloom.llm import common, exact_dedup, line_dedup, simhash, suffix_dedup
 from arcloom.llm.common import components
 
 
@@ -24,7 +24,9 @@ class Sets(dict):
         self[max(x, y)] = min(x, y)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [common.FEW_EDGES, 0])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2200)]
     sets = Sets()
