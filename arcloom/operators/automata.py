@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from arcloom.lattice import Lattices
 from arcloom.operators.filters import connect
 from arcloom.operators.normalise import normalize
+from arcloom.session import cut
 
 SCHEMA = "lattice_id long, kind string, src int, dst int, ilabel int, olabel int, weight double"
 
@@ -134,7 +135,8 @@ def _per_lattice(lattices: Lattices, change) -> Lattices:
             return pd.DataFrame({"lattice_id": [part.iloc[0].lattice_id], "kind": ["error"], "src": [0], "dst": pd.array([None], "Int32"), "ilabel": pd.array([None], "Int32"), "olabel": pd.array([None], "Int32"), "weight": [0.0]})
         return made.rows(part.iloc[0].lattice_id)
 
-    rows = lattices.rows.filter("start is not null").groupBy("lattice_id").applyInPandas(run, SCHEMA)
+    # written once, as arcs, states and errors are read from it
+    rows = cut(lattices.rows.filter("start is not null").groupBy("lattice_id").applyInPandas(run, SCHEMA))
     arcs = rows.filter("kind = 'arc'").select("lattice_id", "src", "dst", "ilabel", "olabel", "weight")
     states = rows.filter("kind in ('state', 'start')").select("lattice_id", F.col("src").alias("state"), F.col("weight").alias("final"), (F.col("kind") == "start").alias("is_start"))
     errors = rows.filter("kind = 'error'").select("lattice_id", F.lit("too many states").alias("error"))
