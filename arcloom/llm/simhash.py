@@ -329,20 +329,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _band_cells(rows: DataFrame, *more: str) -> DataFrame:
-    """Cells of the shards that bands make, as ``cells`` of those that blocks make."""
-    sharded = rows.select("doc_id", "fp", *more, F.posexplode("bands").alias("shard", "key"))
-    counts = sharded.groupBy("shard", "key").count().filter("count > 1")
+def shared_cells(rows: DataFrame, ident: str, *more: str) -> DataFrame:
+    """Rows (ident, *more, shard, key, a, b): the rows with (shard, key) that others share, in
+    cells of about 2 * TREE rows, as ``cells`` deals those that blocks make."""
+    counts = rows.groupBy("shard", "key").count().filter("count > 1")
     trees = F.ceil(F.col("count") / TREE).cast("int")
-    tree = F.pmod(F.xxhash64("doc_id", "shard"), F.col("trees")).cast("int")
+    tree = F.pmod(F.xxhash64(ident, "shard"), F.col("trees")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: (t != F.col("tree")) | (F.col("trees") == 1))
     return (
-        sharded.join(counts, ["shard", "key"]).withColumn("trees", trees).withColumn("tree", tree)
+        rows.join(counts, ["shard", "key"]).withColumn("trees", trees).withColumn("tree", tree)
         .withColumn("other", F.explode(others))
-        .select("doc_id", "fp", *more, "shard", "key", F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
+        .select(ident, *more, "shard", "key", F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
     )
 
 
+def _band_cells(rows: DataFrame, *more: str) -> DataFrame:
+    """Cells of the shards that bands make."""
+    return shared_cells(rows.select("doc_id", "fp", *more, F.posexplode("bands").alias("shard", "key")), "doc_id", "fp", *more)
+
+
 def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = NEAR) -> DataFrame:
     """doc_id and component_id of the documents that have a copy or near copy.
 

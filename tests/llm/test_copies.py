@@ -234,3 +234,50 @@ def test_lines(spark):
     counts = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs).collect()}
     assert counts[10] == (3, 1) and counts[1] == (0, 0)
     assert line_dedup.remove_lines(table(spark, [])).count() == 0
+
+
+def test_segments_of_short_lines_are_complete():
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 46))) for _ in range(500)]
+    for line in lines[:250]:
+        near = list(line)
+        for _ in range(rng.randrange(1, 9)):
+            at = rng.randrange(len(near) + 1)
+            near[at : at + rng.randrange(2)] = rng.choice(["", "a", "b"])
+        lines.append("".join(near))
+    lines = sorted({x for x in lines if x})
+    keys = [line_dedup.segment_keys(x) for x in lines]
+    found = 0
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if min(len(a), len(b)) < line_dedup.SHORT and line_dedup.similar(a, b, 0.8):
+                found += 1
+                assert keys[i] & keys[j], (a, b)
+    assert found > 50
+
+
+def test_distance_up_to_a_limit():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(20))) for _ in range(2))
+        whole, limit = line_dedup.distance(a, b), rng.randrange(12)
+        got = line_dedup.distance(a, b, limit)
+        assert got == whole or min(got, whole) > limit
+
+
+def test_lines_with_one_word_altered(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8)))
+    base, near = [], []
+    for size in (6, 8, 12, 20, 50):
+        for _ in range(60):
+            words = [word() for _ in range(size)]
+            at = rng.randrange(size)
+            other = [*words[:at], word(), *words[at + 1 :]]
+            if line_dedup.similar(" ".join(words), " ".join(other), 0.8):
+                base.append(" ".join(words))
+                near.append(" ".join(other))
+    docs = table(spark, [(1, "\n".join(base)), (2, "\n".join(near)), (3, "alone in this table")])
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs).collect()}
+    assert got[1] == (len(base), 0) and got[3] == (1, 0)
+    assert got[2][1] >= 0.97 * len(near)
