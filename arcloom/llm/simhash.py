@@ -284,13 +284,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
 
 
 # Near copies by set similarity.  Two texts that share four fifths of their
-# shingles differ in some ten bits of 64, too many for blocks of the
-# fingerprint, so here the shards are bands of MinHash values.
+# shingles differ in some ten bits of 64, and far more where one repeats a
+# passage, so here no SimHash is asked: the shards are bands of MinHash values
+# and every pair in one is verified.
 
 #: bands of ROWS MinHash values each: texts with a similarity of 0.8 share a band
 #: with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, with 0.9 but for 3e-5
 BANDS, ROWS = 8, 3
-NEAR = 14
+#: near copies are linked however many bits their SimHashes differ in
+NEAR = BITS
 _SPREAD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
@@ -306,21 +308,19 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp, same (a 128-bit digest of the shingle set) and bands."""
+    """doc_id, same (a 128-bit digest of the shingle set), size of the set, and bands."""
 
     def run(batches):
         for b in small(batches, 128):
             ids, texts = b.column(0), b.column(1).to_pylist()
-            hashes = [shingle_hashes(t, size) for t in texts]
-            fps = signatures(hashes)
-            sets = [np.unique(h) for h in hashes]
+            sets = [np.unique(shingle_hashes(t, size)) for t in texts]
             same = [xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(fps.view(np.int64)), pa.array(same, pa.binary()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "same", "bands"],
+                [ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "same", "size", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, same binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, size long, bands array<long>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -345,75 +345,73 @@ def shared_cells(rows: DataFrame, ident: str, *more: str) -> DataFrame:
 
 def _band_cells(rows: DataFrame, *more: str) -> DataFrame:
     """Cells of the shards that bands make."""
-    return shared_cells(rows.select("doc_id", "fp", *more, F.posexplode("bands").alias("shard", "key")), "doc_id", "fp", *more)
+    return shared_cells(rows.select("doc_id", *more, F.posexplode("bands").alias("shard", "key")), "doc_id", *more)
 
 
-def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = NEAR) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id and component_id of the documents that have a copy or near copy.
 
     Links join texts with equal shingle sets, and texts whose sets have a
     Jaccard similarity of ``least`` or more, as verified on the whole sets;
-    pairs are found by BK-trees of SimHashes in the shards that bands make.
+    pairs meet in the shards that bands make.
     component_id is the smallest doc_id that links lead to.  Rows with a null
     doc_id take no part; a null text has no shingles.
     """
     own = cut(sketches(docs.filter("doc_id is not null"), size))
     groups = cut(own.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     of_one = own.join(groups.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    single = cut(of_one.select("doc_id", "fp", "bands"))
+    single = cut(of_one.select("doc_id", "size", "bands"))
     key = ["shard", "key", "a", "b"]
-    whole = (1 << BITS) - 1
 
     def meet(batches):
         for group in grouped(batches, 4):
-            ids, fps = np.concatenate([p[0] for p in group]), np.concatenate([p[1] for p in group])
-            tree, near = BKTree(), set()
-            for i, value in enumerate(fps.tolist()):
-                if found := tree.within(value & whole, radius):
-                    near |= {i, *found}
-                tree.add(value & whole)
-            if near:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[sorted(near)])], names=["doc_id"])
+            ids, sizes = np.concatenate([p[0] for p in group]), np.concatenate([p[1] for p in group])
+            order = np.argsort(sizes, kind="stable")
+            sizes = sizes[order]
+            near = np.zeros(len(ids), bool)
+            # the closest in size decide
+            near[1:] = sizes[:-1] >= least * sizes[1:]
+            near[:-1] |= near[1:]
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[order[near]])], names=["doc_id"])
 
     def dealt(rows):
         return rows.repartition(*key).sortWithinPartitions(*key)
 
-    candidates = cut(dealt(_band_cells(single)).mapInArrow(meet, "doc_id long").distinct())
+    candidates = cut(dealt(_band_cells(single, "size")).mapInArrow(meet, "doc_id long").distinct())
 
     def sets(batches):
         for b in small(batches, 128):
-            ids, fps, keys, texts = (b.column(i) for i in range(4))
+            ids, keys, texts = (b.column(i) for i in range(3))
             data = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, fps, keys, pa.array(data, pa.binary())], names=["doc_id", "fp", "bands", "set"])
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(data, pa.binary())], names=["doc_id", "bands", "set"])
 
     texts = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = single.join(texts, "doc_id").select("doc_id", "fp", "bands", "text")
-    full = full.mapInArrow(sets, "doc_id long, fp long, bands array<long>, set binary").withColumn("own", F.col("bands"))
+    full = single.join(texts, "doc_id").select("doc_id", "bands", "text")
+    full = full.mapInArrow(sets, "doc_id long, bands array<long>, set binary").withColumn("own", F.col("bands"))
 
     def link(batches):
         for group in grouped(batches, 4):
-            ids, fps = np.concatenate([p[0] for p in group]), np.concatenate([p[1] for p in group])
-            data = [np.frombuffer(x, np.uint64) for p in group for x in p[2]]
-            keys = np.array([k for p in group for k in p[3]])
-            shard = int(group[0][4][0])
-            order = np.argsort(ids, kind="stable").tolist()
-            tree, forest = BKTree(), Forest(len(order))
-            for i, at in enumerate(order):
-                value = int(fps[at]) & whole
-                for j in tree.within(value, radius):
-                    other = order[j]
-                    if forest.root(i) == forest.root(j) or (keys[at, :shard] == keys[other, :shard]).any():
-                        continue  # known, or for an earlier shard
-                    x, y = sorted((len(data[at]), len(data[other])))
-                    if x >= least * y and similarity(data[at], data[other]) >= least:
+            ids = np.concatenate([p[0] for p in group])
+            data = [np.frombuffer(x, np.uint64) for p in group for x in p[1]]
+            keys = np.array([k for p in group for k in p[2]])
+            shard = int(group[0][3][0])
+            order = np.argsort(ids, kind="stable")
+            data, keys = [data[at] for at in order], keys[order]
+            sizes, forest = np.array([len(x) for x in data]), Forest(len(order))
+            for i in range(1, len(order)):
+                before = sizes[:i]
+                fits = (before >= least * sizes[i]) & (sizes[i] >= least * before)
+                fits &= ~(keys[:i, :shard] == keys[i, :shard]).any(1)  # those are for an earlier shard
+                for j in np.flatnonzero(fits).tolist():
+                    if forest.root(i) != forest.root(j) and similarity(data[i], data[j]) >= least:
                         forest.join(i, j)
-                tree.add(value)
             found = [(ids[order[i]], ids[order[r]]) for i in range(len(order)) if (r := forest.root(i)) != i]
             if found:
                 us, vs = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    rows = _band_cells(full, "set", "own").select("doc_id", "fp", "set", "own", F.col("shard").alias("s"), *key)
+    rows = _band_cells(full, "set", "own").select("doc_id", "set", "own", F.col("shard").alias("s"), *key)
     roots = components(dealt(rows).mapInArrow(link, "u long, v long"))
     named = groups.join(roots, groups["first"] == roots["node"], "left").select("same", "n", F.coalesce("root", "first").alias("component_id"))
     named = cut(named.filter("n > 1").union(named.join(roots.select("root"), F.col("component_id") == F.col("root"), "left_semi")).distinct())

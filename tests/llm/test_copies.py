@@ -281,3 +281,15 @@ def test_lines_with_one_word_altered(spark):
     got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs).collect()}
     assert got[1] == (len(base), 0) and got[3] == (1, 0)
     assert got[2][1] >= 0.97 * len(near)
+
+
+def test_near_copies_that_repeat_a_phrase(spark):
+    rng = random.Random(10)
+    rows, want = [], {}
+    for i in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[:5] * 60))]
+        a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows[-2:])
+        assert len(a & b) >= 0.8 * len(a | b)
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, rows)).collect()} == want
