@@ -449,7 +449,7 @@ wrong AS (SELECT *, hyp <> ref AS w FROM tie)
 SELECT lattice_id, max(ilabel) FILTER (WHERE w) AS asked, count(*) FILTER (WHERE w) AS corrected FROM wrong GROUP BY 1 HAVING count(*) FILTER (WHERE w) > 0""")
 def a_left(spark, d):
     base = sausage(spark, d)
-    asked = labelling.simulate(base, _references(base), "sequential-hamming")
+    asked = labelling.simulate(base, _references(base), "sequential-hamming", by_sample=True)
     return asked.groupBy("lattice_id").agg(F.count("*").alias("asked"), F.count_if("corrected").alias("corrected"))
 
 

@@ -186,14 +186,41 @@ def sample_scores(lattices: Lattices, scorer: str, seed: int = 0) -> DataFrame:
     return value.groupBy("lattice_id").agg((-pick("value")).alias("sample_score"))
 
 
-def simulate(lattices: Lattices, references: DataFrame, method: str | Method, seed: int = 0) -> DataFrame:
+def _until_right(log: DataFrame) -> DataFrame:
+    """The questions asked while the errors of all samples together are not 0.
+
+    Sorted into ranges, of which only the sums and least running sums pass through
+    the driver; within each range a running sum finds the question that ends it."""
+    by_sample = Window.partitionBy("lattice_id").orderBy("round")
+    change = F.coalesce(F.lead("errors").over(by_sample), F.lit(0)) - F.col("errors")
+    total = log.filter("round = 0").agg(F.coalesce(F.sum("errors"), F.lit(0))).first()[0]
+    keys = ["order_1", "order_2", "lattice_id", "round"]
+    dealt = cut(log.withColumn("change", change).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    within = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    running = dealt.withColumn("sum", F.sum("change").over(within))
+    at, before = total, {}
+    for r in running.groupBy("range").agg(F.sum("change").alias("all"), F.min("sum").alias("least")).orderBy("range").collect():
+        before[r.range] = at
+        if not at or at + r.least <= 0:
+            break
+        at += r["all"]
+    if not total:
+        return log.limit(0)
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("range"))
+    kept = running.withColumn("start", start).filter("start is not null").withColumn("left", F.col("start") + F.col("sum"))
+    earlier = F.min("left").over(Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    return kept.withColumn("earlier", earlier).filter("earlier is null or earlier > 0").select(*log.columns)
+
+
+def simulate(lattices: Lattices, references: DataFrame, method: str | Method, seed: int = 0, by_sample: bool = False) -> DataFrame:
     """The questions of a simulated labelling: lattice_id, round, position, hyp, ref,
     corrected, score, errors (of the sample before the answer), order_1 and order_2
     (the keys by which the system asks across samples).
 
     ``references`` has lattice_id and ref ARRAY<INT>, the right label of each
     position from 1.  Lattices whose input labels do not number the positions of
-    equally long paths take no part.  A sample is asked until it shows no error.
+    equally long paths take no part.  Samples are asked, those without error too, until
+    none of all shows an error; with ``by_sample`` each until it shows none itself.
     """
     how = METHODS[method] if isinstance(method, str) else method
     good = paths.sequence_length(lattices).filter("length > 0")
@@ -221,7 +248,7 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
         left = F.filter(F.map_keys("shown"), lambda p: ~F.array_contains(asked, p))
         key = {"score": lambda p: F.element_at("shown", p)["score"], "label": lambda p: p.cast("double"), "label_desc": lambda p: -p.cast("double")}[how.order]
         pick = F.array_min(F.transform(left, lambda p: F.struct(key(p).alias("k"), p.alias("p"))))["p"]
-        state = state.filter("errors > 0").withColumn("position", pick).filter("position is not null")
+        state = state.filter("errors > 0" if by_sample else "true").withColumn("position", pick).filter("position is not null")
         if how.update and how.system == "local":
             state = state.join(sample_scores(masked, how.sample, seed), "lattice_id", "left")
         else:
@@ -246,7 +273,8 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
     else:
         so_far = Window.partitionBy("lattice_id").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
         first, second = F.max("score").over(so_far), F.col("round").cast("double")
-    return log.withColumn("order_1", first).withColumn("order_2", second).drop("sample_score")
+    log = log.withColumn("order_1", first).withColumn("order_2", second).drop("sample_score")
+    return log if by_sample else _until_right(log)
 
 
 def statistics(questions: DataFrame, references: DataFrame) -> DataFrame:
@@ -256,7 +284,7 @@ def statistics(questions: DataFrame, references: DataFrame) -> DataFrame:
         F.count("*").alias("asked"),
         F.count_if("corrected").alias("corrected"),
         F.coalesce(F.sum(F.when(first, F.col("errors"))), F.lit(0)).alias("errors"),
-        F.count_if(first).alias("wrong_samples"),
+        F.count_if(first & (F.col("errors") > 0)).alias("wrong_samples"),
     ).first()
     rows = references.agg(F.count("*").alias("samples"), F.sum(F.size("ref")).alias("labels"))
     rows = rows.withColumns({k: F.lit(v) for k, v in done.asDict().items()})

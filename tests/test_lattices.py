@@ -286,3 +286,18 @@ def test_simulation_ends_with_all_labels_right(seqlab3, spark, method):
     refs = spark.createDataFrame([(1, [1, 3])], "lattice_id long, ref array<int>")
     asked = labelling.simulate(base, refs, method).collect()
     assert 1 <= len(asked) <= 2 and sum(r.corrected for r in asked) == 1
+
+
+def test_simulation_asks_until_the_corpus_is_right(seqlab3, spark):
+    from dataclasses import replace
+
+    base = seqlab3.map_arcs(lambda a: a.withField("olabel", a["olabel"] + 1))
+    rows = base.rows.drop("lattice_id")
+    base = replace(base, rows=rows.withColumn("lattice_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]))).select(base.rows.columns))
+    refs = spark.createDataFrame([(1, [2, 3]), (2, [1, 3]), (3, [2, 3])], "lattice_id long, ref array<int>")
+    asked = labelling.simulate(base, refs, "sequential-hamming").cache()
+    assert sorted((r.lattice_id, r.position, r.errors, r.corrected) for r in asked.collect()) == [(1, 1, 0, False), (1, 2, 0, False), (2, 1, 1, True)]
+    counted = labelling.statistics(asked, refs).first()
+    assert (counted.asked, counted.corrected, counted.errors, counted.wrong_samples) == (3, 1, 1, 1)
+    right = spark.createDataFrame([(1, [2, 3])], "lattice_id long, ref array<int>")
+    assert labelling.simulate(base, right, "sequential-hamming").count() == 0
