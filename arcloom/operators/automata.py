@@ -58,8 +58,9 @@ class _Machine:
             arcs[s] = [(x, t, w) for (x, t), w in merged.items()]
         return _Machine(arcs, finals, self.start)
 
-    def determinized(self, most: int) -> _Machine | None:
-        """Weighted subset construction in the log semiring; None beyond ``most`` states."""
+    def determinized(self, most: int | None = None) -> _Machine | None:
+        """Weighted subset construction in the log semiring; None beyond ``most`` states,
+        where that is given."""
         first = ((self.start, 0.0),)
         number, todo, arcs, finals = {first: 0}, [first], [], []
         while todo:
@@ -80,7 +81,7 @@ class _Machine:
                     continue
                 to = tuple(sorted((t, round(w - total, 9)) for t, w in out[x].items()))
                 if to not in number:
-                    if len(number) >= most:
+                    if most is not None and len(number) >= most:
                         return None
                     number[to] = len(number)
                     todo.append(to)
@@ -147,9 +148,9 @@ def rm_epsilon(lattices: Lattices) -> Lattices:
     return connect(_per_lattice(connect(lattices), lambda m: m.without_epsilons()))
 
 
-def determinize(lattices: Lattices, max_states: int = 10_000) -> Lattices:
-    """Deterministic over pairs of labels.  Lattices that would need more states are
-    left out and named in ``meta`` (lattice_id, error)."""
+def determinize(lattices: Lattices, max_states: int | None = None) -> Lattices:
+    """Deterministic over pairs of labels.  Lattices that would need more than
+    ``max_states`` states, if that is given, are left out and named in ``meta`` (lattice_id, error)."""
 
     def change(m: _Machine) -> _Machine | None:
         made = m.determinized(max_states)
@@ -163,7 +164,7 @@ def minimize(lattices: Lattices) -> Lattices:
     return _per_lattice(connect(lattices), lambda m: m.minimized())
 
 
-def determinize_weights_and_normalize(lattices: Lattices, max_states: int = 10_000) -> Lattices:
+def determinize_weights_and_normalize(lattices: Lattices, max_states: int | None = None) -> Lattices:
     """Epsilons removed, determinised and minimised with their weights, then normalised."""
 
     def change(m: _Machine) -> _Machine | None:
@@ -173,7 +174,7 @@ def determinize_weights_and_normalize(lattices: Lattices, max_states: int = 10_0
     return normalize(_per_lattice(connect(lattices), change))
 
 
-def determinize_and_normalize(lattices: Lattices, scale: float = 1.0, max_states: int = 10_000) -> Lattices:
+def determinize_and_normalize(lattices: Lattices, scale: float = 1.0, max_states: int | None = None) -> Lattices:
     """The lattice's posteriors on the minimal automaton of its label sequences: each
     arc gets the sum of the posteriors of the arcs it stands for, and the arcs
     of a state are made to sum to 1 (final weights are not part of the sum)."""

@@ -301,3 +301,15 @@ def test_simulation_asks_until_the_corpus_is_right(seqlab3, spark):
     assert (counted.asked, counted.corrected, counted.errors, counted.wrong_samples) == (3, 1, 1, 1)
     right = spark.createDataFrame([(1, [2, 3])], "lattice_id long, ref array<int>")
     assert labelling.simulate(base, right, "sequential-hamming").count() == 0
+
+
+def test_determinization_has_no_cap_of_its_own(monkeypatch):
+    n = 10_001
+    machine = automata._Machine([[((1, k), k, 0.0) for k in range(1, n + 1)], *[[((2, 1), n + 1, 0.0)] for _ in range(n)], []], [math.inf] * (n + 1) + [0.0])
+    assert machine.determinized(10_000) is None
+    assert len(machine.determinized().arcs) == n + 2
+    monkeypatch.setattr(automata, "_per_lattice", lambda _, change: change(machine))
+    for other in ("connect", "normalize"):
+        monkeypatch.setattr(automata, other, lambda x, *_: x)
+    for made in (automata.determinize(None), automata.determinize_weights_and_normalize(None), automata.determinize_and_normalize(None)):
+        assert made is not None
