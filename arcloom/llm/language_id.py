@@ -20,7 +20,6 @@ from arcloom.llm.common import small
 
 GRAM = 4
 HASHES = 2
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -73,14 +72,15 @@ def train(
     """The languages and the filter of documents (text, lang).
 
     Learns from a random sample of about ``sample_docs`` documents of each
-    language at most, of at most 64 languages.  A
+    language at most.  A
     language contains an n-gram that it shows ``min_count`` times, and not
-    ``ratio`` times more rarely than another.  The result has 2**bits slots.
+    ``ratio`` times more rarely than another.  The result has a row of 2**bits slots
+    for every 64 languages.
     """
     rows = labelled.select("lang", "text").filter("lang is not null and text is not null")
-    count = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    count = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(count)
-    table = np.zeros(1 << bits, np.uint64 if len(langs) > 8 else np.uint8)
+    table = np.zeros((max(1, -(-len(langs) // 64)), 1 << bits), np.uint64 if len(langs) > 8 else np.uint8)
     if not langs:
         return langs, table
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / count[k]))])
@@ -101,11 +101,12 @@ def train(
     total = counts.groupBy("l").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(total), "l").withColumn("rate", F.col("n") / F.col("total"))
     kept = rate.withColumn("most", F.max("rate").over(Window.partitionBy("g"))).filter(F.col("rate") * ratio >= F.col("most"))
-    masks = kept.groupBy("g").agg(F.bit_or(F.expr("shiftleft(1L, l)")).alias("mask"))
+    word = F.floor(F.col("l") / 64).cast("int").alias("word")
+    masks = kept.groupBy("g", word).agg(F.bit_or(F.expr("shiftleft(1L, l % 64)")).alias("mask"))
     slot = F.array(*[F.shiftrightunsigned("g", 24 * k).bitwiseAND((1 << bits) - 1) for k in range(HASHES)])
-    slots = masks.select(F.explode(slot).alias("slot"), "mask").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
+    slots = masks.select(F.explode(slot).alias("slot"), "word", "mask").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
     got = slots.toPandas()
-    table[got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).astype(np.uint64).astype(table.dtype)
+    table[got["word"].to_numpy(np.int64), got["slot"].to_numpy(np.int64)] = got["mask"].to_numpy(np.int64).astype(np.uint64).astype(table.dtype)
     return langs, table
 
 
@@ -115,11 +116,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *added: str) -
     A text that is null or has no letter is ``und`` with score 0."""
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
-    bits = len(table).bit_length() - 1
+    bits = table.shape[1].bit_length() - 1
     lang_name, score_name = added or ("lang_pred", "score")
     names = [*docs.columns, lang_name, score_name]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{lang_name} string", f"{score_name} double"])
-    chance = [float(((table >> table.dtype.type(l)) & table.dtype.type(1)).mean()) ** HASHES for l in range(len(langs))]
+    chance = [float(((table[l // 64] >> table.dtype.type(l % 64)) & table.dtype.type(1)).mean()) ** HASHES for l in range(len(langs))]
 
     def run(batches):
         table = shared.value
@@ -133,11 +134,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *added: str) -
                 some = n > 0
                 mask = None
                 for s in _slots(grams, bits):
-                    mask = table[s] if mask is None else mask & table[s]
+                    mask = table[:, s] if mask is None else mask & table[:, s]
                 shares = np.zeros((max(1, len(langs)), hi - lo))
                 for l in range(len(langs)):
                     if some.any():
-                        hits = np.add.reduceat((mask >> table.dtype.type(l)) & one, first[some], dtype=np.int64)
+                        hits = np.add.reduceat((mask[l // 64] >> table.dtype.type(l % 64)) & one, first[some], dtype=np.int64)
                         shares[l, some] = (hits / n[some] - chance[l]) / (1 - chance[l])
                 best = shares.argmax(0)
                 preds += [langs[k] if s and langs else UNKNOWN for k, s in zip(best, some, strict=True)]

@@ -30,6 +30,18 @@ def test_language_cases(spark):
     assert {r.lang_pred for r in language_id.identify(table(spark, [(1, "text", None)])).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(5)]
+        rows += [(100 * i + k, " ".join(words * 4), f"l{i:02}") for k in range(4)]
+        want |= {100 * i + k: f"l{i:02}" for k in range(4)}
+    docs = table(spark, rows).select("doc_id", "text", "lang")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert got == want
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
