@@ -52,6 +52,15 @@ def with_fields(a: Column, **fields: Column) -> Column:
     return arc(*[fields.get(n, a[n]) for n in names])
 
 
+def inlined(rows: DataFrame, structs: Column, never_null: str) -> DataFrame:
+    """lattice_id and the fields of the structs, a row each.
+
+    The optimizer puts a test for an empty array before an inner generator, and
+    pushes it below what makes the array, which is then computed once more; an
+    outer one has no such test."""
+    return rows.select("lattice_id", F.inline_outer(structs)).filter(F.col(never_null).isNotNull())
+
+
 @dataclass(frozen=True)
 class Lattices:
     rows: DataFrame
@@ -61,14 +70,13 @@ class Lattices:
     @property
     def arcs(self) -> DataFrame:
         """One row per arc: lattice_id, dst, src, arc_id, ilabel, olabel, weight, features."""
-        return self.rows.select("lattice_id", F.inline("arcs"))
+        return inlined(self.rows, F.col("arcs"), "dst")
 
     @property
     def states(self) -> DataFrame:
         """One row per state: lattice_id, state, final, is_start."""
-        return self.rows.select("lattice_id", "start", F.posexplode("finals").alias("state", "final")).select(
-            "lattice_id", "state", "final", (F.col("state") == F.col("start")).alias("is_start")
-        )
+        each = F.transform("finals", lambda f, s: F.struct(s.alias("state"), f.alias("final"), (s == F.col("start")).alias("is_start")))
+        return inlined(self.rows, each, "state")
 
     def with_columns(self, **columns: Column) -> Lattices:
         return replace(self, rows=self.rows.withColumns(columns))
@@ -97,7 +105,7 @@ class Lattices:
             F.col("weight"),
             F.col("features") if "features" in names else None,
         )
-        rows = arcs.groupBy("lattice_id").agg(F.array_sort(F.collect_list(one)).alias("arcs"))
+        rows = arcs.groupBy("lattice_id").agg(F.sort_array(F.collect_list(one)).alias("arcs"))
         if "arc_id" not in names:
             rows = rows.withColumn("arcs", numbered(F.col("arcs")))
         if states is None:
@@ -107,7 +115,7 @@ class Lattices:
         else:
             is_start = F.col("is_start") if "is_start" in states.columns else F.col("state") == 0
             per = states.groupBy("lattice_id").agg(
-                F.transform(F.array_sort(F.collect_list(F.struct("state", "final"))), lambda s: s["final"].cast("double")).alias("finals"),
+                F.transform(F.sort_array(F.collect_list(F.struct("state", "final"))), lambda s: s["final"].cast("double")).alias("finals"),
                 F.min(F.when(is_start, F.col("state"))).cast("int").alias("start"),
             )
             rows = per.join(rows, "lattice_id", "left")
@@ -117,6 +125,6 @@ class Lattices:
 
 def numbered(arcs: Column) -> Column:
     """Arcs with arc_id set to their place in state-major order."""
-    by_source = F.array_sort(F.transform(arcs, lambda a: F.struct(a["src"].alias("src"), a.alias("arc"))))
+    by_source = F.sort_array(F.transform(arcs, lambda a: F.struct(a["src"].alias("src"), a.alias("arc"))))
     placed = F.transform(by_source, lambda s, i: with_fields(s["arc"], arc_id=i))
-    return F.array_sort(placed)
+    return F.sort_array(placed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
-from arcloom.lattice import EPSILON, Lattices
+from arcloom.lattice import EPSILON, Lattices, inlined
 from arcloom.operators.distance import backward, forward
 from arcloom.operators.filters import connect, expand_positions
 
@@ -53,7 +53,7 @@ def mbr_table(lattices: Lattices) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    cells = rows.select("lattice_id", F.inline(F.concat(words, ends))).filter(F.col("w") < math.inf)
+    cells = inlined(rows, F.concat(words, ends), "w").filter(F.col("w") < math.inf)
     table = cells.groupBy("lattice_id", "position", "label").agg(F.sum(F.exp(-F.col("w"))).alias("p"))
     return table.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("lattice_id", "position")))
 

@@ -13,26 +13,37 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.functions.semiring import let, plus
-from arcloom.lattice import Lattices
+from arcloom.functions.semiring import let, log_sum
+from arcloom.lattice import Lattices, inlined
 
 
 def fold(arcs: Column, seeds: Column, semiring: str = "log") -> Column:
     """Distances d with d[t] = seeds[t] + sum over arcs s -> t of d[s] times weight;
-    ``arcs`` are ordered by dst and lead to larger numbers."""
-    add = plus(semiring)
-
-    def step(done: Column, a: Column) -> Column:
-        have = F.size(done)
-        grown = F.when(a["dst"] < have, done).otherwise(F.concat(done, F.slice(seeds, have + 1, a["dst"] - have + 1)))
-        return let(
-            grown,
-            lambda g: F.concat(
-                F.slice(g, F.lit(1), F.size(g) - 1), F.array(add(F.element_at(g, -1), F.get(g, a["src"]) + a["weight"]))
-            ),
+    ``arcs`` are ordered by dst and lead to larger numbers.  The semiring ``count``
+    counts paths and reads no weights.
+
+    One step for each state that arcs lead to, of all of its arcs, so the array of
+    distances grows by a copy for a state and not by one for an arc."""
+    total = {"log": log_sum, "tropical": F.array_min, "count": lambda n: F.aggregate(n, F.lit(0.0), lambda t, x: t + x)}[semiring]
+    times = (lambda d, a: d) if semiring == "count" else (lambda d, a: d + a["weight"])
+
+    def runs(first: Column) -> Column:
+        return F.transform(first, lambda lo, k: F.struct(lo.alias("lo"), F.coalesce(F.get(first, k + 1), F.size(arcs)).alias("hi")))
+
+    heads = F.filter(
+        F.transform(arcs, lambda a, i: F.when((i == 0) | (F.get(arcs, i - 1)["dst"] != a["dst"]), i)), lambda i: i.isNotNull()
+    )
+
+    def step(done: Column, run: Column) -> Column:
+        state, have = F.get(arcs, run["lo"])["dst"], F.size(done)
+        # a state that no arc leads to has its seed only
+        costs = F.transform(
+            F.slice(arcs, run["lo"] + 1, run["hi"] - run["lo"]),
+            lambda a: times(F.coalesce(F.get(done, a["src"]), F.get(seeds, a["src"])), a),
         )
+        return F.concat(done, F.slice(seeds, have + 1, state - have), F.array(total(F.concat(costs, F.array(F.get(seeds, state))))))
 
-    done = F.aggregate(arcs, F.array().cast("array<double>"), step)
+    done = F.aggregate(let(heads, runs), F.array().cast("array<double>"), step)
     return let(done, lambda d: F.concat(d, F.slice(seeds, F.size(d) + 1, F.size(seeds))))
 
 
@@ -51,7 +62,7 @@ def backward(arcs: Column, finals: Column, semiring: str = "log") -> Column:
         back = F.transform(
             arcs, lambda a: F.struct((last - a["src"]).alias("dst"), (last - a["dst"]).alias("src"), a["weight"].alias("weight"))
         )
-        return F.reverse(fold(F.array_sort(back), ends, semiring))
+        return F.reverse(let(F.sort_array(back), lambda sorted_back: fold(sorted_back, ends, semiring)))
 
     return let(F.reverse(finals), turned)
 
@@ -59,9 +70,8 @@ def backward(arcs: Column, finals: Column, semiring: str = "log") -> Column:
 def distances(lattices: Lattices, semiring: str = "log") -> DataFrame:
     """One row per state: lattice_id, state, alpha, beta."""
     rows = with_distances(lattices, semiring)
-    return rows.select(
-        "lattice_id", F.posexplode(F.arrays_zip("alpha", "beta")).alias("state", "d")
-    ).select("lattice_id", "state", "d.alpha", "d.beta")
+    each = F.zip_with(F.col("alpha"), F.col("beta"), lambda a, b: F.struct(a.alias("alpha"), b.alias("beta")))
+    return inlined(rows, F.transform(each, lambda d, s: F.struct(s.alias("state"), d["alpha"].alias("alpha"), d["beta"].alias("beta"))), "state")
 
 
 def with_distances(lattices: Lattices, semiring: str = "log") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
-from arcloom.lattice import EPSILON, Lattices
+from arcloom.lattice import EPSILON, Lattices, inlined
 from arcloom.operators.distance import backward
 
 #: fixed values: edit kinds in their order of preference among equals, and their costs
@@ -95,7 +95,7 @@ def edit_distance_features(lattices: Lattices, prefixes: DataFrame, unique: bool
     none = F.array().cast("array<double>")
     words = F.transform("arcs", lambda a: candidate(a["olabel"], F.get(F.col("cells"), a["src"]), a["weight"], F.coalesce(a["features"], none)))
     ends = F.filter(F.zip_with("cells", "finals", lambda c, f: F.when(f < math.inf, candidate(F.lit(END), c, f, none))), lambda x: x.isNotNull())
-    found = rows.select("lattice_id", F.inline(F.concat(words, ends))).filter("cost < double('infinity') and weight < double('infinity')")
+    found = inlined(rows, F.concat(words, ends), "word").filter("cost < double('infinity') and weight < double('infinity')")
     if not unique:
         return found
     best = found.groupBy("lattice_id", "word").agg(F.min(F.struct("cost", "weight", "features")).alias("b"))

@@ -57,7 +57,7 @@ def mask_dead(lattices: Lattices, keep: Predicate) -> Lattices:
     def masked(v: Column) -> Column:
         dead = F.size(v["finals"])
         arcs = F.transform(v["arcs"], lambda a: with_fields(a, dst=F.when(keep(a), a["dst"]).otherwise(dead)))
-        return lattice(v["start"], F.concat(v["finals"], F.array(F.lit(math.inf))), F.array_sort(arcs))
+        return lattice(v["start"], F.concat(v["finals"], F.array(F.lit(math.inf))), F.sort_array(arcs))
 
     return lattices.derive(masked)
 
@@ -82,18 +82,24 @@ def connect(lattices: Lattices) -> Lattices:
         )
         return F.filter(F.transform(seen, lambda d, s: F.when(d < math.inf, s)), lambda s: s.isNotNull())
 
-    def place(k: Column, state: Column) -> Column:
-        return F.array_position(k, state).cast("int") - 1
+    def placed(k: Column, n: Column) -> Column:
+        """Array by old state: the new number, null for those that go."""
+        here = F.transform(k, lambda s, i: F.struct(s.alias("state"), i.alias("new")))
+        gone = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), k), lambda s: F.struct(s.alias("state"), F.lit(None).cast("int").alias("new")))
+        return F.transform(F.sort_array(F.concat(here, gone)), lambda s: s["new"])
 
-    def kept(v: Column, k: Column) -> Column:
-        arcs = F.filter(v["arcs"], lambda a: F.array_contains(k, a["src"]) & F.array_contains(k, a["dst"]))
-        arcs = F.transform(arcs, lambda a: with_fields(a, src=place(k, a["src"]), dst=place(k, a["dst"])))
+    def fewer(v: Column, k: Column, new: Column) -> Column:
+        arcs = F.filter(v["arcs"], lambda a: F.get(new, a["src"]).isNotNull() & F.get(new, a["dst"]).isNotNull())
         return lattice(
-            F.when(F.size(k) > 0, place(k, v["start"])),
+            F.when(F.size(k) > 0, F.get(new, v["start"])),
             F.transform(k, lambda s: F.get(v["finals"], s)),
-            F.when(F.size(k) == F.size(v["finals"]), v["arcs"]).otherwise(arcs),
+            F.transform(arcs, lambda a: with_fields(a, src=F.get(new, a["src"]), dst=F.get(new, a["dst"]))),
         )
 
+    def kept(v: Column, k: Column) -> Column:
+        some = let(placed(k, F.size(v["finals"])), lambda new: fewer(v, k, new))
+        return F.when(F.size(k) == F.size(v["finals"]), lattice(v["start"], v["finals"], v["arcs"])).otherwise(some)
+
     return lattices.derive(lambda v: let(alive(v), lambda k: kept(v, k)))
 
 
@@ -157,7 +163,7 @@ def expand_positions(arcs: Column, most: Column, label: str) -> Column:
         return F.when(to <= most, with_fields(a, src=a["src"] * wide + k, dst=a["dst"] * wide + to))
 
     every = F.flatten(F.transform(arcs, lambda a: F.transform(F.sequence(F.lit(0), most), lambda k: at(a, k))))
-    return F.array_sort(F.filter(every, lambda a: a.isNotNull()).cast(ARCS))
+    return F.sort_array(F.filter(every, lambda a: a.isNotNull()).cast(ARCS))
 
 
 def set_length(lattices: Lattices, n: int) -> Lattices:

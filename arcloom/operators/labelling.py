@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
 from arcloom.functions.text import hamming
-from arcloom.lattice import Lattices
+from arcloom.lattice import Lattices, inlined
 from arcloom.operators import normalise, paths
 from arcloom.operators.automata import determinize_and_normalize
 from arcloom.operators.filters import constrained, rm_arc
@@ -130,7 +130,7 @@ def best_labels(lattices: Lattices, method: Method, seed: int = 0) -> DataFrame:
     if method.recompute == "greedy":
         walked = reversed_lattices(lattices) if method.backwards else lattices
         steps = greedy_path(F.col("arcs"), F.col("start"), F.size("finals"))
-        return walked.rows.select("lattice_id", F.inline(steps)).filter("position > 0")
+        return inlined(walked.rows, steps, "position").filter("position > 0")
     if method.recompute == "hamming":
         p = paths.position_probabilities(lattices).filter("ilabel > 0")
         best = p.groupBy("lattice_id", F.col("ilabel").alias("position")).agg(F.max(F.struct("p", (-F.col("olabel")).alias("o"))).alias("b"))
@@ -241,7 +241,7 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
         pool = cut(label_scores(masked, shown, how, seed + number))
         per = pool.groupBy("lattice_id").agg(
             F.map_from_entries(F.collect_list(F.struct("position", F.struct("hyp", "score").alias("v")))).alias("shown"),
-            F.transform(F.array_sort(F.collect_list(F.struct("position", "hyp"))), lambda s: s["hyp"]).alias("hyps"),
+            F.transform(F.sort_array(F.collect_list(F.struct("position", "hyp"))), lambda s: s["hyp"]).alias("hyps"),
         )
         state = per.join(refs, "lattice_id").join(answers, "lattice_id").withColumn("errors", hamming(F.col("hyps"), F.col("ref")))
         asked = F.transform("constraints", lambda c: c["position"] + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import entropy_term, let, log_plus, log_sum, plus, power_scale, without_weight
 from arcloom.functions.text import hamming
-from arcloom.lattice import Lattices, lattice, with_fields
+from arcloom.lattice import Lattices, inlined, lattice, with_fields
 from arcloom.operators.distance import backward, forward
 from arcloom.operators.filters import connect
 from arcloom.operators.paths import best_logprob, position_probabilities, shortest_path
@@ -105,7 +105,7 @@ def sum_suffixes(lattices: Lattices, semiring: str = "log", with_suffix_mass: bo
     items = F.transform(first, lambda a: F.struct(a["ilabel"].alias("ilabel"), (a["weight"] + after(a) - mass).alias("w")))
     end = F.get(F.col("finals"), F.col("start"))
     items = F.when((end < math.inf) & ~F.exists(first, lambda a: a["ilabel"] == 0), F.concat(items, F.array(F.struct(F.lit(0).alias("ilabel"), (end - mass).alias("w"))))).otherwise(items)
-    grouped = rows.select("lattice_id", F.inline(items)).groupBy("lattice_id", "ilabel").agg(F.collect_list("w").alias("ws"))
+    grouped = inlined(rows, items, "ilabel").groupBy("lattice_id", "ilabel").agg(F.collect_list("w").alias("ws"))
     total = log_sum(F.col("ws")) if add is log_plus else F.array_min("ws")
     return grouped.select("lattice_id", "ilabel", total.alias("weight"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
-from arcloom.lattice import EPSILON, Lattices
+from arcloom.lattice import EPSILON, Lattices, inlined
 from arcloom.operators.distance import backward, forward
 
 PATH = "array<struct<cost:double,ids:array<bigint>,hyp:array<int>,scores:array<double>>>"
@@ -18,7 +18,7 @@ def _k_best(arcs: Column, start: Column, finals: Column, k: int, unique: bool) -
     """The k cheapest complete paths, ties by their arc ids from the start."""
 
     def shortest(paths: Column) -> Column:
-        ordered = F.array_sort(paths)
+        ordered = F.sort_array(paths)
         if unique:
             # ordered by cost, so the first path with a label sequence is its best
             ordered = F.aggregate(
@@ -69,7 +69,8 @@ def k_best(lattices: Lattices, k: int, unique: bool = False, weight_threshold: f
 
     ``weight_threshold`` drops paths so much costlier than the best."""
     best = _k_best(F.col("arcs"), F.col("start"), F.col("finals"), k, unique)
-    rows = lattices.rows.select("lattice_id", F.posexplode(best).alias("rank", "p"))
+    ranked = F.transform(best, lambda p, i: F.struct(i.alias("rank"), p.alias("p")))
+    rows = inlined(lattices.rows, ranked, "rank")
     rows = rows.select("lattice_id", (F.col("rank") + 1).alias("rank"), "p.cost", "p.hyp", "p.scores", "p.ids")
     if weight_threshold is not None:
         first = F.min("cost").over(Window.partitionBy("lattice_id"))
@@ -92,15 +93,8 @@ def best_logprob(arcs: Column, start: Column, finals: Column) -> Column:
 
 def path_counts(arcs: Column, finals: Column) -> Column:
     """Array by state: the number of paths to a final state."""
-    ends = F.transform(F.reverse(finals), lambda f: F.when(f < math.inf, F.lit(1.0)).otherwise(F.lit(0.0)))
-
-    def into(last: Column) -> Column:
-        return F.array_sort(F.transform(arcs, lambda a: F.struct((last - a["src"]).alias("dst"), (last - a["dst"]).alias("src"))))
-
-    def step(done: Column, a: Column) -> Column:
-        return F.transform(done, lambda c, s: F.when(s == a["dst"], c + F.get(done, a["src"])).otherwise(c))
-
-    return F.reverse(F.aggregate(let(F.size(finals) - 1, into), ends, step))
+    ends = F.transform(finals, lambda f: F.when(f < math.inf, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return let(ends, lambda e: backward(arcs, e, "count"))
 
 
 def path_count(lattices: Lattices) -> DataFrame:
@@ -120,7 +114,7 @@ def summary(lattices: Lattices) -> DataFrame:
         ),
     )
     # a filter behind the projection would have it computed twice
-    return lattices.rows.select("lattice_id", F.inline(F.filter(F.array(found), lambda x: x["paths"] > 0)))
+    return inlined(lattices.rows, F.filter(F.array(found), lambda x: x["paths"] > 0), "states")
 
 
 def depths(arcs: Column, start: Column, n: Column) -> Column:
@@ -158,7 +152,7 @@ def arcs_with_posterior(lattices: Lattices) -> DataFrame:
             ),
         ),
     )
-    return lattices.rows.select("lattice_id", F.inline(shares))
+    return inlined(lattices.rows, shares, "arc_id")
 
 
 def position_posteriors(lattices: Lattices) -> DataFrame:
@@ -179,7 +173,7 @@ def shortest_hamming_path(lattices: Lattices) -> DataFrame:
         F.max(F.struct("p", (-F.col("olabel")).alias("label"))).alias("b")
     )
     rows = best.groupBy("lattice_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", (-F.col("b.label")).alias("olabel"), F.log("b.p").alias("score")))).alias("path"),
+        F.sort_array(F.collect_list(F.struct("position", (-F.col("b.label")).alias("olabel"), F.log("b.p").alias("score")))).alias("path"),
         F.sum("b.p").alias("expected_correct"),
     )
     return rows.select(

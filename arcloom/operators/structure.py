@@ -88,7 +88,7 @@ def encode_symbols(texts: DataFrame, symbols: DataFrame, side: str = "i") -> Dat
     own = symbols.filter(F.col("side") == side).select("lattice_id", "symbol", "label")
     found = words.join(own, ["lattice_id", "symbol"], "left")
     # a struct keeps the place of unknown words, which collect_list would leave out
-    rows = found.groupBy("lattice_id").agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("w"))
+    rows = found.groupBy("lattice_id").agg(F.sort_array(F.collect_list(F.struct("at", "label"))).alias("w"))
     return rows.select("lattice_id", F.transform("w", lambda w: w["label"]).alias("labels"))
 
 
@@ -97,7 +97,7 @@ def decode_symbols(labels: DataFrame, symbols: DataFrame, side: str = "i") -> Da
     each = labels.select("lattice_id", F.posexplode("labels").alias("at", "label"))
     own = symbols.filter(F.col("side") == side).select("lattice_id", "symbol", "label")
     found = each.join(own, ["lattice_id", "label"], "left").withColumn("symbol", F.coalesce("symbol", F.col("label").cast("string")))
-    rows = found.groupBy("lattice_id").agg(F.array_sort(F.collect_list(F.struct("at", "symbol"))).alias("w"))
+    rows = found.groupBy("lattice_id").agg(F.sort_array(F.collect_list(F.struct("at", "symbol"))).alias("w"))
     return rows.select("lattice_id", F.array_join(F.transform("w", lambda w: w["symbol"]), " ").alias("text"))
 
 
