@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,9 +14,26 @@ from pyspark.sql import functions as F
 
 from arcloom.session import cut, shared_dir
 
-__all__ = ["components", "cut", "release", "shared_dir", "shuffle_partitions", "small"]
+__all__ = ["components", "cut", "release", "shared_dir", "shuffle_partitions", "small", "trimmed", "written"]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read back: like ``cut``, but
+    compressed, and a reader takes only the columns that it needs."""
+    place = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def trimmed() -> None:
+    """Give a worker's free memory back to the system at the end of its task; the
+    worker lives on, and would hold the most that it ever used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files that no DataFrame needs any more.

@@ -184,6 +184,22 @@ def masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in every]
 
 
+def in_cells(rows: DataFrame, ident: str, *key: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (ident, *more, *key, a, b): a key of more than TREE rows is split into trees, and
+    each of its rows meets every tree of it, in cells of about 2 * TREE rows."""
+    full = cut(rows.groupBy(*key).count().filter(F.col("count") > TREE))
+    if full.count() <= FEW_FULL:
+        full = F.broadcast(full)
+    trees = F.coalesce(F.ceil(F.col("count") / TREE), F.lit(1)).cast("int")
+    tree: Column = F.pmod(F.xxhash64(ident, key[0], *more), F.col("trees")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: (t != F.col("tree")) | (F.col("trees") == 1))
+    return (
+        rows.join(full, list(key), "left").withColumn("trees", trees).withColumn("tree", tree)
+        .withColumn("other", F.explode(others))
+        .select(ident, *more, *key, F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
+    )
+
+
 def cells(fps: DataFrame, radius: int, n: int, *more: str) -> DataFrame:
     """Rows (fp, shard, key, a, b) and the columns ``more``: fp with its cells.  All
     fingerprints within the radius share a cell, of about 2 * TREE rows."""
@@ -192,17 +208,7 @@ def cells(fps: DataFrame, radius: int, n: int, *more: str) -> DataFrame:
         *more,
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks_for(n, radius), radius)])).alias("shard", "key"),
     )
-    full = cut(sharded.groupBy("shard", "key").count().filter(F.col("count") > TREE))
-    if full.count() <= FEW_FULL:
-        full = F.broadcast(full)
-    trees = F.coalesce(F.ceil(F.col("count") / TREE), F.lit(1)).cast("int")
-    tree: Column = F.pmod(F.xxhash64("fp", "shard", *more), F.col("trees")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: (t != F.col("tree")) | (F.col("trees") == 1))
-    return (
-        sharded.join(full, ["shard", "key"], "left").withColumn("trees", trees).withColumn("tree", tree)
-        .withColumn("other", F.explode(others))
-        .select("fp", *more, "shard", "key", F.least("tree", "other").alias("a"), F.greatest("tree", "other").alias("b"))
-    )
+    return in_cells(sharded, "fp", "shard", "key", more=more)
 
 
 def grouped(batches, key_columns: int):

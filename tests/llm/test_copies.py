@@ -293,3 +293,42 @@ def test_near_copies_that_repeat_a_phrase(spark):
         assert len(a & b) >= 0.8 * len(a | b)
         want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
     assert {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, rows)).collect()} == want
+
+
+def test_recall_of_line_keys_against_all_pairs():
+    """Of all pairs of the small table's lines with an edit similarity of 0.8, the share that has a key in common."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = sorted({n for t in texts for x in (t or "").split("\n") if (n := line_dedup.normalised(x))}, key=len)
+    sizes = np.array([len(x) for x in lines])
+    counts = line_dedup.pair_counts(lines)
+    keys = [set((k >> line_dedup.SIZE_BITS).tolist()) for k in line_dedup.sized_keys(lines, 0.8)]
+    pairs = met = 0
+    for i in range(len(lines)):
+        stop = np.searchsorted(sizes, sizes[i] / 0.8 + 1e-9, side="right")
+        apart = np.abs(counts[i + 1 : stop] - counts[i]).sum(1)
+        for j in (i + 1 + np.flatnonzero(apart <= 0.8 * sizes[i + 1 : stop] + 1e-9)).tolist():
+            if line_dedup.similar(lines[i], lines[j], 0.8):
+                pairs += 1
+                met += bool(keys[i] & keys[j])
+    assert pairs > 30 and met >= 0.9 * pairs, (pairs, met)
+
+
+def test_few_edits_and_sets_of_lines():
+    rng = random.Random(12)
+    lines = []
+    for _ in range(25):
+        base = "".join(rng.choice("abcd ") for _ in range(rng.randrange(20, 90)))
+        for _ in range(6):
+            near = list(base)
+            for _ in range(rng.randrange(8)):
+                near[rng.randrange(len(near))] = rng.choice("xyz")
+            lines.append("".join(near))
+    lines = sorted(set(lines))
+    ids = [line_dedup.digest(x) for x in lines]
+    sets = Sets()
+    for i, a in zip(ids, lines, strict=True):
+        for j, b in zip(ids, lines, strict=True):
+            if line_dedup.similar(a, b, 0.8):
+                sets.join(i, j)
+    assert dict(line_dedup.similar_sets(ids, lines, 0.8)) == {i: sets.root(i) for i in ids if sets.root(i) != i}
