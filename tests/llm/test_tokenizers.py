@@ -54,6 +54,28 @@ def test_automaton_on_repeated_letters(text):
     assert bpe_automaton._tokenizer(WORD, 1000)(text)[1] == " ".join(map(str, ids))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abzABZ019 \n'.,-_²³¹¼½¾ªºµ×÷ßŉſİıÀéñÿĀžŊ\u00ad\u0307\u0301‐…“”日ñ½²msdt")), max_size=30))
+def test_every_class_of_character(text):
+    lib = tk_word()
+    ids = lib.encode(text, add_special_tokens=False).ids
+    n, shown, decoded = bpe_automaton._tokenizer(WORD, 1000)(text)
+    assert (n, shown, decoded) == (len(ids), " ".join(map(str, ids)), lib.decode(ids, skip_special_tokens=False))
+
+
+@pytest.mark.parametrize("text", ["20 m²", "km²", "x³y", "½cup", "1ª 2º", "a²b³c¹", "İstanbul", "naïve's ſs 'ſ", "٣ ⅷ", "a\u0301 é", "x" * 3000])
+def test_numerals_and_letters(text):
+    ids = tk_word().encode(text, add_special_tokens=False).ids
+    assert bpe_automaton._tokenizer(WORD, 1000)(text)[1] == " ".join(map(str, ids))
+
+
+def test_letters_that_no_label_spells():
+    merges, vocab = [("a", "b")], {"a": 0, "b": 1, "ab": 2, "?": 3}
+    assert bpe_automaton.Automaton(vocab, merges).encode("axb") == [2]
+    assert bpe_automaton.Automaton(vocab, merges, unknown="?").encode("axb") == [0, 3, 1]
+    assert bpe_automaton.Automaton(vocab, merges).encode("xx") == []
+
+
 _cache = {}
 
 
