@@ -1,8 +1,12 @@
 import hashlib
 import os
 import random
+import re
+import struct
+from collections import Counter
 
 import pytest
+import xxhash
 from helpers import awkward, table
 from pyspark.sql import functions as F
 
@@ -102,3 +106,57 @@ def test_imatch_terms_by_hand(spark):
     rows = [(i, f"common{i % 3} rare{i} common{(i + 1) % 3}") for i in range(30)] + [(90, "a b c d e f g h i j"), (91, "J i H g f e d c b a.")]
     got = {r.doc_id: r.fingerprint for r in imatch.imatch(table(spark, rows)).collect()}
     assert got[90] == got[91] != got[0]
+
+
+def imatch_by_hand(rows):
+    """doc_id, print, edited print, likenesses of rows in order of doc_id, largest first."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_long = lambda v, seed: xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+    terms = lambda t: sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\W_]+", (t or "").lower())})
+
+    def mask(t):
+        bits = (1 << 64) - 1
+        for i in range(1, imatch.DRAWS + 1):
+            bits &= xxhash.xxh64_intdigest(struct.pack("<i", i), of_long(t, 42))
+        return bits
+
+    def digest(found):
+        seed = 42
+        for t in found:
+            seed = of_long(t, seed)
+        return f"{seed:016x}"
+
+    counts = Counter(t for _, text in rows for t in terms(text))
+    lexicon = {t for t, n in counts.items() if imatch.LEAST * len(rows) <= n <= imatch.MOST * len(rows)}
+
+    def prints(text):
+        own = terms(text)
+        inside = [(t, mask(t)) for t in own if t in lexicon]
+        subsets = [[t for t, m in inside if m >> s & 1] for s in range(imatch.SUBSETS)]
+        found = [digest(x) if x else None for x in subsets]
+        return [*found, None if any(found) else digest(own)]
+
+    def like(a, b):
+        some = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in some) / len(some)
+
+    out, rows = {}, sorted(rows, key=lambda r: -r[0])
+    for (d, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        t, after = t or "", after or ""
+        m = len(t) // 3
+        a, b = prints(t), prints(t[: len(t) - m] + after[:m])
+        out[d] = tuple(" ".join(x or "-" for x in p) for p in (a, b)) + (like(a, b), like(a, prints(after)))
+    return out
+
+
+@pytest.mark.parametrize("inline", [imatch.MOST_INLINE, 0])
+def test_imatch_by_hand(spark, monkeypatch, inline):
+    """Lexicon, fingerprints and likeness by brute force, with the lexicon as a constant and joined."""
+    monkeypatch.setattr(imatch, "MOST_INLINE", inline)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"term{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randrange(60)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "only words of its own"), (203, "words of only its own!"), (204, "Ünï, ß 日本")]
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in imatch.edited_likeness(table(spark, rows)).collect()}
+    want = imatch_by_hand(rows)
+    assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
+    assert all(abs(got[d][k] - want[d][k]) < 1e-12 for d in want for k in (2, 3))
