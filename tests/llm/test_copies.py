@@ -332,3 +332,12 @@ def test_few_edits_and_sets_of_lines():
             if line_dedup.similar(a, b, 0.8):
                 sets.join(i, j)
     assert dict(line_dedup.similar_sets(ids, lines, 0.8)) == {i: sets.root(i) for i in ids if sets.root(i) != i}
+
+
+def test_distances_side_by_side():
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 5, 63, 64, 65, 130, 200]))) for _ in range(40)]
+    texts += [t[:10] + "x" + t[12:] for t in texts[:20]]
+    left = np.array([rng.randrange(60) for _ in range(300)])
+    right = np.array([rng.randrange(60) for _ in range(300)])
+    assert line_dedup.distances(texts, left, right).tolist() == [line_dedup.distance(texts[i], texts[j]) for i, j in zip(left, right, strict=True)]
