@@ -46,8 +46,8 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write_archive(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))
-    return archive.records().drop("url")
+    pages = ship(spark).read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.write_archive(pages).lookup(pages.select("url")).drop("url")
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

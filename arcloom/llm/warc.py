@@ -2,10 +2,10 @@
 
 Records are gzip members of WARC 1.1 files in a folder that all executors
 share, written and range-read through ``pyarrow.fs`` so that any file system
-it knows will do.  The index is sorted by reversed-host URL key: compressed
-blocks of entries, and a sparse directory with the first key of each block,
-which a reader searches by bisection before it reads a block and then the
-records' ranges.
+it knows will do.  The index is sorted by reversed-host URL key and cut into files of
+compressed blocks of entries, each with a sparse directory of the first and last key of
+its blocks.  A search deals keys to the files that their ranges name; a task bisects a
+file's directory, then the block, and then reads the records' ranges.
 """
 
 from __future__ import annotations
@@ -113,6 +113,13 @@ class Reader:
         f.seek(offset)
         return f.read(length)
 
+    def directory(self, name: str) -> tuple[list[str], list[str], list[tuple[int, int]]]:
+        """First keys, last keys and places of an index file's blocks."""
+        with self.fs.open_input_file(f"{self.path}/{name}.dir") as f:
+            raw = zlib.decompress(f.read()).decode()
+        rows = [line.split("\t") for line in raw.split("\n")]
+        return [r[0] for r in rows], [r[1] for r in rows], [(int(r[2]), int(r[3])) for r in rows]
+
     def block(self, name: str, offset: int, length: int) -> list[list[str]]:
         return [line.split("\t") for line in zlib.decompress(self.read(name, offset, length)).decode().split("\n")]
 
@@ -148,47 +155,48 @@ class Archive:
         return self.directory.repartition(shuffle_partitions(self.directory.sparkSession)).mapInArrow(run, RECORD)
 
     def lookup(self, urls: DataFrame) -> DataFrame:
-        """The records captured for column ``url`` of ``urls``.
-
-        The queries are dealt by key to the ranges of the directory's blocks,
-        found by bisection in the directory; each block with a query is read
-        once and searched by bisection for every key asked of it.  The
-        directory has a row per thousand captures and is broadcast in pieces
-        of 100,000 rows (100 million captures) at most.
+        """The records captured for column ``url`` of ``urls``, each once; a null url asks for
+        captures without a target.
+
+        Distinct keys are dealt to the index files whose ranges hold them, found by
+        bisection in one pair of keys for each file; the blocks' directories stay with
+        the files.  A task takes a file's keys in order, bisects its directory and reads each
+        block that may hold one once.  The captures of a key that fills several files are searched
+        in each of them, by different tasks.
         """
-        spark, root = urls.sparkSession, self.root
-        found = None
-        blocks = self.directory.orderBy("first", "last").toLocalIterator()
-        rows = []
-
-        def search(part) -> DataFrame:
-            shared = spark.sparkContext.broadcast(part)
-
-            def run(batches):
-                reader, blocks = Reader(root), shared.value
-                firsts, lasts = [b[0] for b in blocks], [b[1] for b in blocks]
-                for b in batches:
-                    keys = sorted({url_key(u) for u in b.column(0).to_pylist() if u is not None})
-                    wanted: dict[int, list[str]] = {}
-                    for key in keys:
-                        for k in range(bisect_left(lasts, key), bisect_right(firsts, key)):
-                            wanted.setdefault(k, []).append(key)
-                    for k, own in wanted.items():
-                        entries = reader.block(*blocks[k][2:])
-                        at = [e[0] for e in entries]
-                        rows = [reader.record(e) for key in own for e in entries[bisect_left(at, key) : bisect_right(at, key)]]
-                        yield _batch(rows)
-
-            return urls.select("url").distinct().mapInArrow(run, RECORD)
-
-        for r in blocks:
-            rows.append((r.first, r.last, r.file, r.offset, r.length))
-            if len(rows) == 100_000:
-                found = search(rows) if found is None else found.union(search(rows))
-                rows = []
-        if rows or found is None:
-            found = search(rows) if found is None else found.union(search(rows))
-        return found.distinct()
+        root = self.root
+        files = sorted((r.first, r.last, r.file) for r in self.directory.groupBy("file").agg(F.min("first").alias("first"), F.max("last").alias("last")).collect())
+        firsts, lasts, names = ([f[k] for f in files] for k in range(3))
+
+        def keys(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["key"])
+
+        def deal(batches):
+            for b in batches:
+                dealt = [(names[k], key) for key in b.column(0).to_pylist() for k in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in dealt], pa.string()) for i in range(2)], names=["file", "key"])
+
+        def search(batches):
+            reader, now = Reader(root), None
+            for b in batches:
+                found = []
+                for name, key in zip(*(b.column(k).to_pylist() for k in range(2)), strict=True):
+                    if name != now:
+                        now, at = name, None
+                        starts, stops, places = reader.directory(name)
+                    for k in range(bisect_left(stops, key), bisect_right(starts, key)):
+                        if k != at:
+                            at, entries = k, reader.block(name, *places[k])
+                            own = [e[0] for e in entries]
+                        found += [reader.record(e) for e in entries[bisect_left(own, key) : bisect_right(own, key)]]
+                        if len(found) >= BLOCK_ENTRIES:
+                            yield _batch(found)
+                            found = []
+                yield _batch(found)
+
+        asked = urls.select("url").mapInArrow(keys, "key string").distinct().mapInArrow(deal, "file string, key string")
+        return asked.repartition("file").sortWithinPartitions("file", "key").mapInArrow(search, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -205,8 +213,8 @@ def write_archive(pages: DataFrame, root: str | None = None) -> Archive:
     Of equal payloads of 100 bytes or more the one with the smallest page_id is
     a response, the others are revisits of it (rows that repeat that page_id
     are responses too).  A null html is an empty payload, a null url has no
-    target, a null page_id gives a response without a number; other columns are
-    ignored.
+    target, a null page_id gives a response without a number; a long payload is one record; an
+    empty table gives an archive without files; other columns are ignored.
     """
     spark = pages.sparkSession
     root = root or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -264,7 +272,9 @@ def write_archive(pages: DataFrame, root: str | None = None) -> Archive:
             put(held)
         if out is not None:
             out.close()
-        if directory:
+            sparse = "\n".join("\t".join(map(str, (first, last, offset, length))) for first, last, _, offset, length, _ in directory)
+            with fs.open_output_stream(f"{path}/{name}.dir", compression=None) as f:
+                f.write(zlib.compress(sparse.encode()))
             yield _rows(directory, BLOCK)
 
     ordered = entries.repartitionByRange(shuffle_partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id")

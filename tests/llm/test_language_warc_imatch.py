@@ -63,11 +63,25 @@ def test_warc_round_trip(spark):
     assert {p: r.refers_to for p, r in got.items() if r.record_type == "revisit"} == {5: 2, 9: 2}
     found = archive.lookup(spark.createDataFrame([("http://a.example.org/",), ("http://none.example/",)], "url string")).collect()
     assert {r.page_id for r in found} == {3, 4, 6}
-    assert warc.write_archive(pages(spark, [])).records().count() == 0
+    every = archive.lookup(spark.createDataFrame([(u,) for _, u, _ in rows], "url string")).collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, got.values()))
+    empty = warc.write_archive(pages(spark, []))
+    assert empty.records().count() == 0 and empty.lookup(pages(spark, rows)).count() == 0
     assert warc.write_archive(pages(spark, [(None, None, None)])).records().first().page_id is None
     assert warc.url_key("http://www.Example.com:80/a?b") == "com,example,www:80)/a?b"
 
 
+def test_index_of_many_blocks(spark, monkeypatch):
+    """One key with more captures than a block, between others, dealt over several files."""
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i % 50}.org/{i}", f"<p>{i}</p>") for i in range(3000)]
+    archive = warc.write_archive(pages(spark, rows))
+    assert archive.directory.count() > 2
+    hot = archive.lookup(spark.createDataFrame([("http://hot.org/",), ("http://hot.org/",), ("http://h9.org/9",)], "url string"))
+    assert sorted(r.page_id for r in hot.collect()) == sorted([i for i in range(3000) if i % 3] + [9])
+    every = archive.lookup(pages(spark, rows).select("url"))
+    assert sorted(r.page_id for r in every.collect()) == list(range(3000))
+
+
 def test_warc_files_are_gzip_members_of_whole_records(spark, tmp_path):
     import gzip
 
