@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arcloom.session import cut, shared_dir
 
-__all__ = ["components", "cut", "release", "shared_dir", "shuffle_partitions", "small", "trimmed", "written"]
+__all__ = ["components", "cut", "fresh", "release", "shared_dir", "shuffle_partitions", "small", "trimmed", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -25,6 +25,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def trimmed() -> None:
     """Give a worker's free memory back to the system at the end of its task; the
     worker lives on, and would hold the most that it ever used."""

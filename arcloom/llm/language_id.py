@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import small
+from arcloom.llm.common import small, trimmed
 
 GRAM = 4
 HASHES = 2
@@ -71,13 +71,15 @@ def train(
 ) -> tuple[list[str], np.ndarray]:
     """The languages and the filter of documents (text, lang).
 
-    Learns from a random sample of about ``sample_docs`` documents of each
-    language at most.  A
+    Learns from a sample of about ``sample_docs`` documents of each
+    language at most, drawn by a hash of the row, so that it is the same however the rows are dealt.  A
     language contains an n-gram that it shows ``min_count`` times, and not
     ``ratio`` times more rarely than another.  The result has a row of 2**bits slots
     for every 64 languages.
     """
-    rows = labelled.select("lang", "text").filter("lang is not null and text is not null")
+    drawn = F.xxhash64(*[c for c in ("doc_id", "text") if c in labelled.columns], F.lit(11))
+    chance = F.pmod(drawn, F.lit(1 << 30)) / (1 << 30)
+    rows = labelled.select("lang", "text", chance.alias("chance")).filter("lang is not null and text is not null")
     count = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(count)
     table = np.zeros((max(1, -(-len(langs) // 64)), 1 << bits), np.uint64 if len(langs) > 8 else np.uint8)
@@ -85,7 +87,7 @@ def train(
         return langs, table
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / count[k]))])
     index = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
-    some = rows.filter(F.rand(11) < F.element_at(share, F.col("lang"))).select(F.element_at(index, F.col("lang")).alias("l"), "text")
+    some = rows.filter(F.col("chance") < F.element_at(share, F.col("lang"))).select(F.element_at(index, F.col("lang")).alias("l"), "text")
 
     def grams(batches):
         for b in batches:
@@ -113,13 +115,15 @@ def train(
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *added: str) -> DataFrame:
     """``docs`` with lang_pred and score (or the two names ``added``): the language whose corrected share of
     the text's n-grams is largest (the first by name of equals), and that share.
-    A text that is null or has no letter is ``und`` with score 0."""
+    A text that is null or has no letter is ``und`` with score 0; without a language learned so is every text;
+    long texts are read whole; a column of an added name is replaced."""
     langs, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)
     bits = table.shape[1].bit_length() - 1
     lang_name, score_name = added or ("lang_pred", "score")
+    docs = docs.drop(lang_name, score_name)
     names = [*docs.columns, lang_name, score_name]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{lang_name} string", f"{score_name} double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{lang_name}` string", f"`{score_name}` double"])
     chance = [float(((table[l // 64] >> table.dtype.type(l % 64)) & table.dtype.type(1)).mean()) ** HASHES for l in range(len(langs))]
 
     def run(batches):
@@ -146,6 +150,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *added: str) -
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(preds, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=names
             )
+        trimmed()
 
     return docs.mapInArrow(run, schema)
 

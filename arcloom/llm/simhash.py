@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import components, cut, small
+from arcloom.llm.common import components, cut, small, trimmed
 
 SEED = 42
 BITS = 64
@@ -161,6 +161,7 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
             ids, texts = b.column(0), b.column(1).to_pylist()
             fps = signatures([shingle_hashes(t, size) for t in texts])
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -325,6 +326,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 [ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "same", "size", "bands"],
             )
+        trimmed()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, size long, bands array<long>")
 
@@ -391,6 +393,7 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
             ids, keys, texts = (b.column(i) for i in range(3))
             data = [np.unique(shingle_hashes(t, size)).tobytes() for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(data, pa.binary())], names=["doc_id", "bands", "set"])
+        trimmed()
 
     texts = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     full = single.join(texts, "doc_id").select("doc_id", "bands", "text")
@@ -416,6 +419,7 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
             if found:
                 us, vs = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        trimmed()
 
     rows = _band_cells(full, "set", "own").select("doc_id", "set", "own", F.col("shard").alias("s"), *key)
     roots = components(dealt(rows).mapInArrow(link, "u long, v long"))
@@ -427,5 +431,5 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
 def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` without the copies and near copies of a document with a smaller
     doc_id.  Of rows that repeat a doc_id all stay if one does."""
-    gone = near_copies(docs, size, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(cut(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = cut(near_copies(docs, size, least).filter("doc_id <> component_id").select("doc_id"))
+    return docs.alias("d").join(gone.alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left_anti").select("d.*")

@@ -174,3 +174,29 @@ def test_imatch_by_hand(spark, monkeypatch, inline):
     want = imatch_by_hand(rows)
     assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
     assert all(abs(got[d][k] - want[d][k]) < 1e-12 for d in want for k in (2, 3))
+
+
+def test_languages_by_hand(spark):
+    """Predictions and scores against sets of n-grams in place of filters of hashes."""
+    rng = random.Random(21)
+    syllables = {"aa": "ka ro mi tu".split(), "bb": "sch ung ein der".split(), "cc": "ción que los ndo".split()}
+    word = lambda lang: "".join(rng.choice(syllables[lang] if rng.random() < 0.9 else ["xo", "li"]) for _ in range(rng.randrange(1, 4)))
+    rows = [(i, " ".join(word(lang) for _ in range(rng.randrange(3, 60))), lang) for i, lang in enumerate(rng.choice(list(syllables)) for _ in range(150))]
+    rows += [(500 + i, " ".join(word(rng.choice(list(syllables))) for _ in range(20)), None) for i in range(60)]
+
+    def grams(text):
+        padded = "    " + "".join(c if c.isalpha() else " " for c in text.lower()) + "    "
+        return [padded[i - 1 : i + 3] for i in range(4, len(padded) - 4) if padded[i].isalpha()]
+
+    counts = {lang: Counter(g for _, t, own in rows if own == lang for g in grams(t)) for lang in syllables}
+    counts = {lang: {g: n for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    has = {lang: {g for g, x in c.items() if 20 * x >= max(r.get(g, 0) for r in rate.values())} for lang, c in rate.items()}
+    docs = table(spark, rows)
+    got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(docs)).collect()}
+    for d, t, _ in rows:
+        own = grams(t)
+        shares = {lang: sum(g in has[lang] for g in own) / len(own) for lang in sorted(has)}
+        best = max(shares, key=shares.get)
+        assert got[d].lang_pred == best or shares[got[d].lang_pred] == shares[best]
+        assert abs(got[d].score - shares[best]) < 0.01
