@@ -214,6 +214,11 @@ def cells(fps: DataFrame, radius: int, n: int, *more: str) -> DataFrame:
 
 def grouped(batches, key_columns: int):
     """Runs of rows with equal key (the last columns), over batches that come sorted by it."""
+    return (group for _, group in grouped_with_key(batches, key_columns))
+
+
+def grouped_with_key(batches, key_columns: int):
+    """As ``grouped``, each run with its key."""
     held, held_key = [], None
     for b in batches:
         if not b.num_rows:
@@ -231,10 +236,10 @@ def grouped(batches, key_columns: int):
                 held.append(part)
             else:
                 if held:
-                    yield held
+                    yield held_key, held
                 held, held_key = [part], key
     if held:
-        yield held
+        yield held_key, held
 
 
 def near_links(fps: DataFrame, radius: int, n: int) -> DataFrame:

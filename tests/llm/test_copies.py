@@ -314,7 +314,7 @@ def test_recall_of_line_keys_against_all_pairs():
     assert pairs > 30 and met >= 0.9 * pairs, (pairs, met)
 
 
-def test_few_edits_and_sets_of_lines():
+def test_few_edits_and_sets_of_lines(monkeypatch):
     rng = random.Random(12)
     lines = []
     for _ in range(25):
@@ -331,7 +331,12 @@ def test_few_edits_and_sets_of_lines():
         for j, b in zip(ids, lines, strict=True):
             if line_dedup.similar(a, b, 0.8):
                 sets.join(i, j)
-    assert dict(line_dedup.similar_sets(ids, lines, 0.8)) == {i: sets.root(i) for i in ids if sets.root(i) != i}
+    want = {i: sets.root(i) for i in ids if sets.root(i) != i}
+    assert dict(line_dedup.similar_sets(ids, lines, 0.8)) == want
+    monkeypatch.setattr(line_dedup, "SIDE_BY_SIDE", 1)
+    assert dict(line_dedup.similar_sets(ids, lines, 0.8)) == want
+    for a, b in zip(lines, lines[1:], strict=False):
+        assert line_dedup.edits_at_most(a, b, 1000) >= line_dedup.distance(a, b)
 
 
 def test_distances_side_by_side():
