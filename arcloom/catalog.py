@@ -334,15 +334,29 @@ def t2(spark, d):
     return rounded(paths.summary(structure.reverse(lattice(spark, d))).drop("n_arcs"), "mass")
 
 
-@query("t7_decode_encode", LATTICE + "SELECT DISTINCT lattice_id, string_agg('w' || olabel || '_' || (olabel % 3), ' ' ORDER BY arc_id) AS text FROM arcs WHERE src = 0 AND dst = 1 GROUP BY 1")
+@query("t7_decode_encode", LATTICE + "SELECT lattice_id, string_agg('w' || olabel || '_' || (olabel % 3), ' ' ORDER BY arc_id) AS text FROM arcs GROUP BY 1")
 def t7(spark, d):
-    """Labels to words, words to labels and back again."""
+    """Labels of all arcs to words, words to labels and back again."""
     named = _named(lattice(spark, d))
-    firsts = named.rows.select("lattice_id", F.transform(F.filter("arcs", lambda a: (a["src"] == 0) & (a["dst"] == 1)), lambda a: a["ilabel"]).alias("labels"))
-    texts = structure.decode_symbols(firsts, named.symbols)
+    by_id = F.sort_array(F.transform("arcs", lambda a: F.struct(a["arc_id"].alias("arc_id"), a["ilabel"].alias("label"))))
+    texts = structure.decode_symbols(named.rows.select("lattice_id", F.transform(by_id, lambda a: a["label"]).alias("labels")), named.symbols)
     return structure.decode_symbols(structure.encode_symbols(texts, named.symbols), named.symbols)
 
 
+@query(
+    "t9_output_symbols_by_depth",
+    LATTICE
+    + """, uneven AS (SELECT lattice_id, min(len(ids)) <> max(len(ids)) OR max(len(ids)) > 1 AS bad FROM paths GROUP BY 1)
+SELECT lattice_id, CAST(a.src AS INT) AS position, count(DISTINCT olabel) AS n, sum(DISTINCT olabel)::DOUBLE AS total FROM arcs a JOIN uneven USING (lattice_id) WHERE NOT bad GROUP BY 1, 2
+UNION ALL SELECT lattice_id, -1, 0, 0.0 FROM uneven WHERE bad""",
+)
+def t9(spark, d):
+    """Paths of order lattices are equally long only where no arc skips a position."""
+    found = structure.output_symbols_by_depth(lattice(spark, d))
+    total = F.aggregate("labels", F.lit(0).cast("long"), lambda t, x: t + x)
+    return found.select("lattice_id", "position", F.size("labels").cast("long").alias("n"), total.cast("double").alias("total"))
+
+
 @query("t8_output_symbols", LATTICE + "SELECT lattice_id, CAST(ilabel - 1 AS INT) AS position, count(DISTINCT olabel) AS n, sum(DISTINCT olabel) AS total FROM arcs GROUP BY 1, 2")
 def t8(spark, d):
     found = structure.output_symbols(lattice(spark, d))
@@ -386,13 +400,19 @@ def u1(spark, d):
     return docs.select("doc_id", F.size(tokenize(F.col("text"), " ,.")).cast("long").alias("n"))
 
 
-@query("d11_edit_distance", """WITH s AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS text FROM conversations WHERE text IS NOT NULL),
-t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS next FROM s)
-SELECT conv_id, turn, levenshtein(text, next) AS distance FROM t WHERE next IS NOT NULL""")
+#: DuckDB's levenshtein counts bytes, so letters beyond ASCII are first given control characters that no text has
+_D11 = """WITH turns AS (SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL),
+letters AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS beyond, count(*) AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM turns) WHERE c > '~'),
+spare AS (SELECT string_agg(chr(CAST(k AS INT)), '' ORDER BY k) AS marks FROM (SELECT unnest(list_concat(range(1, 9), range(14, 32))) AS k)),
+s AS (SELECT conv_id, turn, text AS whole, translate(text, beyond, marks) AS text FROM turns, letters, spare),
+t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, whole) AS next FROM s)
+SELECT conv_id, turn, levenshtein(text, next) AS distance FROM t WHERE next IS NOT NULL"""
+
+
+@query("d11_edit_distance", _D11)
 def d11(spark, d):
-    """Between the openings of a turn and the next one."""
+    """Between the whole texts of a turn and the next one, in characters."""
     turns = spark.read.parquet(f"{d}/conversations.parquet").filter("text is not null")
-    turns = turns.withColumn("text", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200))
     turns = turns.withColumn("next", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))).filter("next is not null")
     return turns.select("conv_id", "turn", F.levenshtein("text", "next").cast("long").alias("distance"))
 
@@ -443,16 +463,94 @@ def _references(base) -> DataFrame:
     return top.groupBy("lattice_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ilabel", "m"))), lambda s: s["m"]).alias("ref"))
 
 
-@query("a_labelling_left_to_right", SLOTS + """, top AS (SELECT lattice_id, ilabel, max(olabel) AS ref, max(p) AS best FROM norm GROUP BY 1, 2),
+_WRONG = SLOTS + """, top AS (SELECT lattice_id, ilabel, max(olabel) AS ref, max(p) AS best FROM norm GROUP BY 1, 2),
 tie AS (SELECT n.lattice_id, n.ilabel, max(t.ref) AS ref, min(n.olabel) AS hyp FROM norm n JOIN top t USING (lattice_id, ilabel) WHERE n.p >= t.best - 1e-9 GROUP BY 1, 2),
-wrong AS (SELECT *, hyp <> ref AS w FROM tie)
-SELECT lattice_id, max(ilabel) FILTER (WHERE w) AS asked, count(*) FILTER (WHERE w) AS corrected FROM wrong GROUP BY 1 HAVING count(*) FILTER (WHERE w) > 0""")
+wrong AS (SELECT *, hyp <> ref AS w FROM tie),
+"""
+
+
+@query("a_labelling_left_to_right", _WRONG + """until AS (SELECT max(struct_pack(s := lattice_id, l := ilabel)) AS last FROM wrong WHERE w)
+SELECT lattice_id, count(*) AS asked, count(*) FILTER (WHERE w) AS corrected FROM wrong, until WHERE struct_pack(s := lattice_id, l := ilabel) <= last GROUP BY 1""")
 def a_left(spark, d):
+    """All samples are asked, one after the other, until none of them has an error."""
+    base = sausage(spark, d)
+    asked = labelling.simulate(base, _references(base), "sequential-hamming")
+    return asked.groupBy("lattice_id").agg(F.count("*").alias("asked"), F.count_if("corrected").alias("corrected"))
+
+
+@query("a_labelling_by_sample", _WRONG.rstrip().rstrip(",") + """
+SELECT lattice_id, max(ilabel) FILTER (WHERE w) AS asked, count(*) FILTER (WHERE w) AS corrected FROM wrong GROUP BY 1 HAVING count(*) FILTER (WHERE w) > 0""")
+def a_by_sample(spark, d):
+    """Each sample is asked until it has no error itself."""
     base = sausage(spark, d)
     asked = labelling.simulate(base, _references(base), "sequential-hamming", by_sample=True)
     return asked.groupBy("lattice_id").agg(F.count("*").alias("asked"), F.count_if("corrected").alias("corrected"))
 
 
+@query("a3_progress", _WRONG + f"""sizes AS (SELECT count(*) AS labels, count(DISTINCT lattice_id) AS samples, count(*) FILTER (WHERE w) AS errors, count(DISTINCT lattice_id) FILTER (WHERE w) AS bad FROM wrong),
+until AS (SELECT max(struct_pack(s := lattice_id, l := ilabel)) AS last FROM wrong WHERE w),
+asked AS (SELECT lattice_id, CAST(ilabel AS INT) AS position, w, row_number() OVER o AS step, sum(w::INT) OVER o AS corrected,
+  w AND ilabel = max(ilabel) FILTER (WHERE w) OVER (PARTITION BY lattice_id) AS ends
+  FROM wrong, until WHERE struct_pack(s := lattice_id, l := ilabel) <= last WINDOW o AS (ORDER BY lattice_id, ilabel)),
+done AS (SELECT *, sum(ends::INT) OVER (ORDER BY step) AS mended FROM asked)
+SELECT step, lattice_id, position, {r('step / labels')} AS asked_share, {r('corrected / labels')} AS corrected_share, {r('(errors - corrected) / labels')} AS label_error, {r('(bad - mended) / samples')} AS sample_error FROM done, sizes
+UNION ALL SELECT 0, -1, 0, 0.0, 0.0, {r('errors / labels')}, {r('bad / samples')} FROM sizes""")
+def a3(spark, d):
+    """What is printed after every question."""
+    base = sausage(spark, d)
+    refs = _references(base)
+    found = labelling.progress(labelling.simulate(base, refs, "sequential-hamming"), refs)
+    shares = ("asked_share", "corrected_share", "label_error", "sample_error")
+    start = {"lattice_id": F.coalesce("lattice_id", F.lit(-1)), "position": F.coalesce("position", F.lit(0))}
+    return rounded(found.select("step", "lattice_id", "position", *shares).withColumns(start), *shares)
+
+
+@query("a3_error_histogram", _WRONG + """per AS (SELECT lattice_id, count(*) FILTER (WHERE w) AS errors FROM wrong GROUP BY 1)
+SELECT CAST(errors AS INT) AS errors, count(*) AS samples FROM per GROUP BY 1""")
+def a3_histogram(spark, d):
+    base = sausage(spark, d)
+    refs = _references(base)
+    return labelling.error_histogram(labelling.simulate(base, refs, "sequential-hamming"), refs)
+
+
+@query("a14_prepared", LATTICE + f""", half AS (SELECT lattice_id, ids, w * 0.5 AS w FROM paths),
+through AS (SELECT lattice_id, unnest(ids) AS arc_id, w FROM half), arc_cost AS (SELECT lattice_id, arc_id, -ln(sum(exp(-w))) AS c FROM through GROUP BY 1, 2),
+lim AS (SELECT lattice_id, min(c) + 1.0 AS t FROM arc_cost GROUP BY 1), bad AS (SELECT lattice_id, arc_id FROM arc_cost JOIN lim USING (lattice_id) WHERE c > t),
+ok AS (SELECT p.* FROM paths p WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.lattice_id = p.lattice_id AND list_contains(p.ids, b.arc_id))),
+ends AS (SELECT lattice_id, count(*) AS n_left FROM ok GROUP BY 1),
+text AS (SELECT lattice_id, count(*) AS n_ref, sum(m) AS ref_total FROM (SELECT lattice_id, ilabel, max(olabel) AS m FROM arcs GROUP BY 1, 2) GROUP BY 1)
+SELECT lattice_id, CAST(n AS DOUBLE) AS paths, CAST(coalesce(n_left, 0) AS DOUBLE) AS "left", n_ref, CAST(ref_total AS DOUBLE) AS ref_total FROM mass JOIN text USING (lattice_id) LEFT JOIN ends USING (lattice_id)""")
+def a14(spark, d):
+    """Lattices and reference texts as a simulation takes them: scaled, pruned, encoded."""
+    base = _named(lattice(spark, d))
+    refs = _references(lattice(spark, d)).select("lattice_id", F.col("ref").alias("labels"))
+    texts = structure.decode_symbols(refs, base.symbols)
+    _, encoded, counts = labelling.prepared(base, texts, scale=0.5, threshold=1.0, normalized=True)
+    total = F.aggregate("ref", F.lit(0.0), lambda t, x: t + x)
+    return counts.join(encoded, "lattice_id").select("lattice_id", "paths", "left", F.size("ref").cast("long").alias("n_ref"), total.alias("ref_total"))
+
+
+@query("n5_posteriors_over_automaton", SAUSAGE + f"SELECT {_ARC}, {r('weight - ln(1.25)')} AS weight FROM arcs")
+def n5(spark, d):
+    """The posteriors of each lattice on an automaton of its own labels, here without weights."""
+    base = sausage(spark, d)
+    return _arcs(automata.posteriors_over(base, normalise.remove_weights(base)))
+
+
+@query("e6_set_prefix", LATTICE + """, label AS (SELECT s.lattice_id, s.ids, coalesce(string_agg(chr(64 + a.olabel), '' ORDER BY a.arc_id), '') AS text
+  FROM steps s LEFT JOIN arcs a ON a.lattice_id = s.lattice_id AND list_contains(s.ids, a.arc_id) GROUP BY s.lattice_id, s.ids),
+want AS (SELECT lattice_id, chr(64 + min(olabel)) || chr(64 + 9) || chr(64 + max(olabel)) AS prefix FROM arcs WHERE src = 0 GROUP BY 1)
+SELECT lattice_id, CAST(min(levenshtein(text, prefix)) AS DOUBLE) AS cost FROM label JOIN want USING (lattice_id) GROUP BY 1""")
+def e6(spark, d):
+    """A prefix of two words, of which the second is replaced and a third is added: only the rows past the first are computed."""
+    base = lattice(spark, d)
+    own = F.transform(F.filter("arcs", lambda a: a["src"] == 0), lambda a: a["olabel"])
+    typed = base.rows.select("lattice_id", F.array(F.array_min(own), F.lit(7)).alias("prefix"))
+    edited = base.rows.select("lattice_id", F.array(F.array_min(own), F.lit(9), F.array_max(own)).alias("prefix"))
+    found = edit_distance.trellis_features(edit_distance.set_prefix(edit_distance.trellis(base, typed), edited))
+    return found.groupBy("lattice_id").agg(F.min("cost").alias("cost"))
+
+
 @query("a_labelling_active")
 def a_active(spark, d):
     base = sausage(spark, d)

@@ -121,17 +121,65 @@ class _Machine:
         arcs = [[(x, last - t, w) for x, t, w in kept[last - i][0]] for i in range(len(kept))]
         return _Machine(arcs, [kept[last - i][1] for i in range(len(kept))], last - of[self.start] if order else 0)
 
+    def with_posteriors_of(self, plain: _Machine) -> _Machine:
+        """This deterministic machine, its states in topological order, weighted by the posteriors of ``plain``, a
+        normalised machine without epsilons: each arc gets the sum of the posteriors of the arcs
+        it stands for, and the arcs of a state are made to sum to 1.  Final weights take no part and stay."""
+        alpha = [math.inf] * len(plain.arcs)
+        if plain.arcs:
+            alpha[plain.start] = 0.0
+        for s, out in enumerate(plain.arcs):
+            for _, t, w in out:
+                alpha[t] = _plus(alpha[t], alpha[s] + w)
+        beta = list(plain.finals)
+        for s in reversed(range(len(plain.arcs))):
+            for _, t, w in plain.arcs[s]:
+                beta[s] = _plus(beta[s], w + beta[t])
+        stand_for: list[set[int]] = [set() for _ in self.arcs]
+        if self.arcs and plain.arcs:
+            stand_for[self.start].add(plain.start)
+        weighted = []
+        for s, out in enumerate(self.arcs):
+            sums = []
+            for x, t, _ in out:
+                total = math.inf
+                for b in stand_for[s]:
+                    for y, u, w in plain.arcs[b]:
+                        if y == x:
+                            total = _plus(total, alpha[b] + w + beta[u])
+                            stand_for[t].add(u)
+                sums.append(total)
+            norm = math.inf
+            for total in sums:
+                norm = _plus(norm, total)
+            weighted.append([(x, t, math.inf if total == math.inf else total - norm) for (x, t, _), total in zip(out, sums, strict=True)])
+        return _Machine(weighted, self.finals, self.start)
+
     def rows(self, lattice_id) -> pd.DataFrame:
         out = [(lattice_id, "arc", s, t, x[0], x[1], w) for s, a in enumerate(self.arcs) for x, t, w in a]
         out += [(lattice_id, "start" if s == self.start else "state", s, None, None, None, f) for s, f in enumerate(self.finals)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"dst": "Int32", "ilabel": "Int32", "olabel": "Int32"})
 
 
-def _per_lattice(lattices: Lattices, change) -> Lattices:
-    """``change`` maps a machine to another, or to None where it gives up."""
+def posteriors_over(lattices: Lattices, automata: Lattices) -> Lattices:
+    """The posteriors of the lattices on given deterministic automata without weights, one for each
+    lattice_id: what ``determinize_and_normalize`` does with the minimal automaton of each lattice.
+    Labels that the lattice lacks get Zero; a lattice without an automaton is left out."""
+    shapes = automata.rows.select("lattice_id", F.struct("start", "finals", "arcs").alias("shape"))
+    rows = normalize(lattices).rows.join(shapes, "lattice_id")
+
+    def change(part: pd.DataFrame) -> _Machine:
+        shape = pd.DataFrame([dict(part.iloc[0]["shape"])])
+        return _Machine.of(shape).without_weights().with_posteriors_of(_Machine.of(part).without_epsilons())
+
+    return _per_lattice(Lattices(rows, lattices.symbols), change, lambda part: part)
+
+
+def _per_lattice(lattices: Lattices, change, read=_Machine.of) -> Lattices:
+    """``change`` maps what ``read`` makes of a row, a machine, to another, or to None where it gives up."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        made = change(_Machine.of(part))
+        made = change(read(part))
         if made is None:
             return pd.DataFrame({"lattice_id": [part.iloc[0].lattice_id], "kind": ["error"], "src": [0], "dst": pd.array([None], "Int32"), "ilabel": pd.array([None], "Int32"), "olabel": pd.array([None], "Int32"), "weight": [0.0]})
         return made.rows(part.iloc[0].lattice_id)
@@ -185,32 +233,7 @@ def determinize_and_normalize(lattices: Lattices, scale: float = 1.0, max_states
         if shape is None:
             return None
         shape = shape.without_weights().minimized()
-        alpha = [math.inf] * len(plain.arcs)
-        alpha[plain.start] = 0.0
-        for s, out in enumerate(plain.arcs):
-            for _, t, w in out:
-                alpha[t] = _plus(alpha[t], alpha[s] + w)
-        beta = list(plain.finals)
-        for s in reversed(range(len(plain.arcs))):
-            for _, t, w in plain.arcs[s]:
-                beta[s] = _plus(beta[s], w + beta[t])
-        stand_for: list[set[int]] = [set() for _ in shape.arcs]
-        stand_for[shape.start].add(plain.start)
-        for s in range(len(shape.arcs)):
-            sums = []
-            for x, t, _ in shape.arcs[s]:
-                total = math.inf
-                for b in stand_for[s]:
-                    for y, u, w in plain.arcs[b]:
-                        if y == x:
-                            total = _plus(total, alpha[b] + w + beta[u])
-                            stand_for[t].add(u)
-                sums.append(total)
-            norm = math.inf
-            for total in sums:
-                norm = _plus(norm, total)
-            shape.arcs[s] = [(x, t, total - norm) for (x, t, _), total in zip(shape.arcs[s], sums, strict=True)]
-        return shape
+        return shape.with_posteriors_of(plain)
 
     # normalised first, so that alpha and beta are those of a distribution
     return _per_lattice(normalize(lattices, scale), change)

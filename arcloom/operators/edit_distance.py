@@ -47,37 +47,78 @@ def _edited(c: Column, kind: str, weight: Column, rest: Column, noise: Column |
     return made(kind) if noise is None else F.when(noise, made(noise_kind)).otherwise(made(kind))
 
 
-def last_row(arcs: Column, start: Column, finals: Column, prefix: Column) -> Column:
-    """Array by state: the best cell for the whole prefix against the paths to the state."""
+def first_row(arcs: Column, start: Column, beta: Column) -> Column:
+    """Array by state: the best cell for the empty prefix; ``beta`` are the backward costs."""
     free = F.lit(0.0)
+    nothing = F.array_repeat(F.lit(0), len(KINDS))
+    first = F.transform(beta, lambda b, s: F.when(s == start, _cell(free, b, F.lit(0), free, F.lit(0), nothing)).otherwise(_far()))
+    return F.aggregate(arcs, first, lambda cells, a: _put(cells, a, _deleted(cells, a, beta)))
+
+
+def next_row(arcs: Column, beta: Column, before: Column, word: Column) -> Column:
+    """The row after one more word of the prefix."""
+    silent = word == EPSILON
+    inserted = F.zip_with(before, beta, lambda c, b: _edited(c, "insertion", F.lit(0.0), b, silent, "noise_insertion"))
+
+    def step(cells: Column, a: Column) -> Column:
+        c, rest = F.get(before, a["src"]), F.get(beta, a["dst"])
+        match = _edited(c, "none", a["weight"], rest, silent, "noise_match")
+        change = _edited(c, "substitution", a["weight"], rest)
+        across = F.when(a["olabel"] == word, match).when((a["olabel"] == EPSILON) == silent, change).otherwise(_far())
+        return _put(cells, a, F.least(_deleted(cells, a, beta), across))
+
+    return F.aggregate(arcs, inserted, step)
 
-    def row(arcs: Column, beta: Column) -> Column:
-        nothing = F.array_repeat(F.lit(0), len(KINDS))
-        far = _cell(F.lit(math.inf), F.lit(math.inf), F.lit(len(KINDS)), F.lit(math.inf), F.lit(0), nothing)
-        first = F.transform(beta, lambda b, s: F.when(s == start, _cell(free, b, F.lit(0), free, F.lit(0), nothing)).otherwise(far))
 
-        def put(cells: Column, a: Column, new: Column) -> Column:
-            return F.transform(cells, lambda c, s: F.when(s == a["dst"], F.least(c, new)).otherwise(c))
+def _far() -> Column:
+    return _cell(F.lit(math.inf), F.lit(math.inf), F.lit(len(KINDS)), F.lit(math.inf), F.lit(0), F.array_repeat(F.lit(0), len(KINDS)))
 
-        def delete(cells: Column, a: Column) -> Column:
-            return _edited(F.get(cells, a["src"]), "deletion", a["weight"], F.get(beta, a["dst"]), a["olabel"] == EPSILON, "noise_deletion")
 
-        def next_row(before: Column, word: Column) -> Column:
-            silent = word == EPSILON
-            inserted = F.zip_with(before, beta, lambda c, b: _edited(c, "insertion", free, b, silent, "noise_insertion"))
+def _put(cells: Column, a: Column, new: Column) -> Column:
+    return F.transform(cells, lambda c, s: F.when(s == a["dst"], F.least(c, new)).otherwise(c))
 
-            def step(cells: Column, a: Column) -> Column:
-                c, rest = F.get(before, a["src"]), F.get(beta, a["dst"])
-                match = _edited(c, "none", a["weight"], rest, silent, "noise_match")
-                change = _edited(c, "substitution", a["weight"], rest)
-                across = F.when(a["olabel"] == word, match).when((a["olabel"] == EPSILON) == silent, change).otherwise(far)
-                return put(cells, a, F.least(delete(cells, a), across))
 
-            return F.aggregate(arcs, inserted, step)
+def _deleted(cells: Column, a: Column, beta: Column) -> Column:
+    return _edited(F.get(cells, a["src"]), "deletion", a["weight"], F.get(beta, a["dst"]), a["olabel"] == EPSILON, "noise_deletion")
+
+
+def last_row(arcs: Column, start: Column, finals: Column, prefix: Column) -> Column:
+    """Array by state: the best cell for the whole prefix against the paths to the state; two rows are held at a time."""
+
+    def row(v: Column) -> Column:
+        return F.aggregate(prefix, first_row(v["arcs"], start, v["beta"]), lambda before, word: next_row(v["arcs"], v["beta"], before, word))
 
-        return F.aggregate(prefix, F.aggregate(arcs, first, lambda cells, a: put(cells, a, delete(cells, a))), next_row)
+    return let(F.struct(arcs.alias("arcs"), backward(arcs, finals).alias("beta")), row)
 
-    return let(F.struct(arcs.alias("arcs"), backward(arcs, finals).alias("beta")), lambda v: row(v["arcs"], v["beta"]))
+
+def trellis(lattices: Lattices, prefixes: DataFrame) -> DataFrame:
+    """lattice_id, start, finals, arcs, beta, prefix, trellis (a row of cells for each beginning of the prefix)
+    for (lattice_id, prefix ARRAY<INT>), to be taken on by ``set_prefix`` as the prefix is edited."""
+    rows = lattices.rows.join(prefixes, "lattice_id").withColumn("beta", backward(F.col("arcs"), F.col("finals")))
+    first = F.array(first_row(F.col("arcs"), F.col("start"), F.col("beta")))
+    return rows.withColumn("trellis", _grown(first, F.col("prefix")))
+
+
+def _grown(rows: Column, words: Column) -> Column:
+    return F.aggregate(words, rows, lambda done, word: F.concat(done, F.array(next_row(F.col("arcs"), F.col("beta"), F.element_at(done, -1), word))))
+
+
+def set_prefix(trellises: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The trellises for other prefixes (lattice_id, prefix): the rows of what the old and
+    the new prefix have in common stay, only those past it are computed."""
+    new = prefixes.select("lattice_id", F.col("prefix").alias("wanted"))
+    alike = F.zip_with("prefix", "wanted", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    both = F.least(F.size("prefix"), F.size("wanted"))
+    shared = F.coalesce(F.array_position(alike, F.lit(False)).cast("int") - 1, F.lit(-1))
+    rows = trellises.join(new, "lattice_id").withColumn("shared", F.when(shared >= 0, shared).otherwise(both))
+    kept = F.slice("trellis", F.lit(1), F.col("shared") + 1)
+    rest = F.slice("wanted", F.col("shared") + 1, F.greatest(F.size("wanted") - F.col("shared"), F.lit(0)))
+    return rows.withColumn("trellis", _grown(kept, rest)).withColumn("prefix", F.col("wanted")).drop("wanted", "shared")
+
+
+def trellis_features(trellises: DataFrame, unique: bool = True) -> DataFrame:
+    """As ``edit_distance_features``, from the last rows of trellises."""
+    return _features(trellises.select("lattice_id", "arcs", "finals", F.element_at("trellis", -1).alias("cells")), unique)
 
 
 def edit_distance_features(lattices: Lattices, prefixes: DataFrame, unique: bool = True) -> DataFrame:
@@ -85,8 +126,10 @@ def edit_distance_features(lattices: Lattices, prefixes: DataFrame, unique: bool
     row for every arc that may come next and every final state (word -1), or with
     ``unique`` the cheapest, then likeliest, of each word."""
     rows = lattices.rows.join(prefixes, "lattice_id")
-    rows = rows.select("lattice_id", "arcs", "finals", last_row(F.col("arcs"), F.col("start"), F.col("finals"), F.col("prefix")).alias("cells"))
+    return _features(rows.select("lattice_id", "arcs", "finals", last_row(F.col("arcs"), F.col("start"), F.col("finals"), F.col("prefix")).alias("cells")), unique)
+
 
+def _features(rows: DataFrame, unique: bool) -> DataFrame:
     def candidate(word: Column, c: Column, weight: Column, own: Column) -> Column:
         total = c["forward"] + weight
         shown = F.concat(own, F.array(-total, c["contiguous"].cast("double"), c["cost"]), F.transform(c["counts"], lambda n: n.cast("double")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
@@ -21,9 +21,11 @@ from arcloom.functions.text import hamming
 from arcloom.lattice import Lattices, inlined
 from arcloom.operators import normalise, paths
 from arcloom.operators.automata import determinize_and_normalize
-from arcloom.operators.filters import constrained, rm_arc
+from arcloom.operators.filters import constrained, prune_arcs, rm_arc
+from arcloom.operators.structure import encode_symbols
 from arcloom.operators.structure import reverse as reversed_lattices
 from arcloom.session import cut
+from arcloom.sources.text_lattices import read_htk
 
 
 @dataclass(frozen=True)
@@ -277,6 +279,84 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
     return log if by_sample else _until_right(log)
 
 
+def prepared(lattices: Lattices, texts: DataFrame, scale: float = 1.0, threshold: float | None = None, normalized: bool = False) -> tuple[Lattices, DataFrame, DataFrame]:
+    """What a simulation starts from: lattices with their costs scaled, and, with a threshold, pruned by
+    arc posteriors and normalised if asked for; references (lattice_id, ref) of the
+    texts (lattice_id, text) in the lattices' output symbols; and the share of paths that pruning left
+    (lattice_id, paths, left), 0 where it left none."""
+    scaled = lattices if scale == 1.0 else normalise.scale_weights(lattices, scale)
+    kept = scaled if threshold is None else prune_arcs(scaled, threshold)
+    if threshold is not None and normalized:
+        kept = normalise.normalize(kept)
+    side = "o" if lattices.symbols is None or lattices.symbols.filter("side = 'o'").head(1) else "i"
+    refs = encode_symbols(texts, lattices.symbols, side).select("lattice_id", F.col("labels").alias("ref"))
+    before = paths.path_count(scaled)
+    after = paths.path_count(kept).withColumnRenamed("paths", "left")
+    counts = before.join(after, "lattice_id", "left").select("lattice_id", F.coalesce("paths", F.lit(0.0)).alias("paths"), F.coalesce("left", F.lit(0.0)).alias("left"))
+    return kept, refs, counts
+
+
+def load_batch(spark: SparkSession, lattice_files: str, names: str, references: str, **options) -> tuple[Lattices, DataFrame, DataFrame]:
+    """``prepared`` of HTK files: the n-th line of the text file ``references`` is the right text of the
+    lattice in the file that the n-th line of ``names`` names (without its folder); options as there."""
+
+    def lines(path: str, name: str) -> DataFrame:
+        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n$", "").alias("value"))
+        return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("number", name))
+
+    found = read_htk(spark, lattice_files)
+    wanted = lines(names, "name").join(lines(references, "text"), "number")
+    named = found.meta.select("lattice_id", F.element_at(F.split("source", "/"), -1).alias("name")).distinct()
+    last = F.element_at(F.split(F.trim("name"), "/"), -1)
+    texts = wanted.withColumn("name", last).join(named, "name").select("lattice_id", "text")
+    return prepared(found, texts, **options)
+
+
+def progress(questions: DataFrame, references: DataFrame) -> DataFrame:
+    """A row for each question in the order of the asking, and one, of step 0, before the first: step, lattice_id,
+    position, asked, corrected, label_errors, wrong_samples (all so far or at that time) and their shares.
+
+    Running sums over ranges of the order, of which one sum for each range passes through the driver."""
+    sizes = references.agg(F.count("*").alias("samples"), F.sum(F.size("ref")).alias("labels")).first()
+    by_sample = Window.partitionBy("lattice_id").orderBy("round")
+    after = F.coalesce(F.lead("errors").over(by_sample), F.col("errors") - F.col("corrected").cast("int"))
+    keys = ["order_1", "order_2", "lattice_id", "round"]
+    changed = questions.select("*", after.alias("after")).select(
+        *keys, "position", F.col("corrected").cast("int").alias("corrected"), F.lit(1).alias("asked"), (F.col("after") - F.col("errors")).alias("label_errors"),
+        (F.when(F.col("after") > 0, 1).otherwise(0) - F.when(F.col("errors") > 0, 1).otherwise(0)).alias("wrong_samples"), "errors", "after",
+    )
+    names = ["asked", "corrected", "label_errors", "wrong_samples"]
+    dealt = cut(changed.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    start = questions.filter("round = 0").agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("label_errors"), F.count_if(F.col("errors") > 0).alias("wrong_samples")).first()
+    before, so_far = {}, {"asked": 0, "corrected": 0, **start.asDict()}
+    for r in dealt.groupBy("range").agg(*[F.sum(n).alias(n) for n in names]).orderBy("range").collect():
+        before[r.range] = dict(so_far)
+        so_far = {n: so_far[n] + r[n] for n in names}
+    within = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+
+    def total(n: str) -> Column:
+        offset = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, int(v[n]))]) if before else F.create_map(F.lit(0), F.lit(0))
+        return (F.element_at(offset, F.col("range")) + F.sum(n).over(within)).cast("long").alias(n)
+
+    rows = dealt.select("lattice_id", "position", *[total(n) for n in names])
+    first = dealt.sparkSession.range(1).select(
+        F.lit(None).cast("long").alias("lattice_id"), F.lit(None).cast("int").alias("position"),
+        F.lit(0).cast("long").alias("asked"), F.lit(0).cast("long").alias("corrected"), F.lit(int(start.label_errors)).cast("long").alias("label_errors"), F.lit(int(start.wrong_samples)).cast("long").alias("wrong_samples"),
+    )
+    rows = rows.withColumn("lattice_id", F.col("lattice_id").cast("long")).unionByName(first)
+    share = {"asked_share": ("asked", sizes.labels), "corrected_share": ("corrected", sizes.labels), "label_error": ("label_errors", sizes.labels), "sample_error": ("wrong_samples", sizes.samples)}
+    return rows.select(F.col("asked").alias("step"), "lattice_id", "position", *names, *[(F.col(a) / F.lit(n or 1)).alias(k) for k, (a, n) in share.items()])
+
+
+def error_histogram(questions: DataFrame, references: DataFrame, step_round: int | None = None) -> DataFrame:
+    """errors, samples: how many samples have how many errors before the first question, or before
+    the questions of a round."""
+    at = F.col("round") == (step_round or 0)
+    own = questions.filter(at).select("lattice_id", "errors")
+    every = references.select("lattice_id").join(own, "lattice_id", "left").select(F.coalesce("errors", F.lit(0)).alias("errors"))
+    return every.groupBy("errors").agg(F.count("*").alias("samples"))
+
+
 def statistics(questions: DataFrame, references: DataFrame) -> DataFrame:
     """One row: samples, labels, asked, corrected, errors at the start, and their shares."""
     first = F.col("round") == 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.text import tokenize
 from arcloom.lattice import Lattices, arc, lattice, numbered, with_fields
+from arcloom.operators.paths import arcs_with_posterior, sequence_length
 
 
 def topsort(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -82,6 +83,16 @@ def output_symbols(lattices: Lattices) -> DataFrame:
     return arcs.groupBy("lattice_id", (F.col("ilabel") - 1).alias("position")).agg(F.sort_array(F.collect_set("olabel")).alias("labels"))
 
 
+def output_symbols_by_depth(lattices: Lattices) -> DataFrame:
+    """lattice_id, position (arcs from the start), labels: the output labels possible at each
+    depth; a lattice whose paths to a state differ in length has one row, with position -1 and no labels."""
+    even = sequence_length(lattices).filter("length >= 0").select("lattice_id")
+    arcs = arcs_with_posterior(lattices).join(even, "lattice_id")
+    found = arcs.groupBy("lattice_id", "position").agg(F.sort_array(F.collect_set("olabel")).alias("labels"))
+    uneven = lattices.rows.select("lattice_id").join(even, "lattice_id", "left_anti")
+    return found.unionByName(uneven.select("lattice_id", F.lit(-1).alias("position"), F.array().cast("array<int>").alias("labels")))
+
+
 def encode_symbols(texts: DataFrame, symbols: DataFrame, side: str = "i") -> DataFrame:
     """lattice_id, labels of (lattice_id, text): the words' numbers, null for unknown ones."""
     words = texts.select("lattice_id", F.posexplode(tokenize(F.col("text"))).alias("at", "symbol"))
