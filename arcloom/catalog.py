@@ -54,6 +54,14 @@ beta AS (SELECT lattice_id, state, sum(exp(-w)) AS b FROM tails GROUP BY 1, 2)
 """
 LATTICE = "WITH RECURSIVE" + _ARCS + "raw AS (SELECT * FROM plain UNION ALL SELECT * FROM skips)," + _NUMBERED
 SAUSAGE = "WITH RECURSIVE" + _ARCS + "raw AS (SELECT * FROM plain)," + _NUMBERED
+_EPS = "CASE WHEN olabel % 5 = 0 THEN 0 ELSE {} END AS {}"
+#: the lattice with every fifth label an epsilon
+EPSILONS = (
+    "WITH RECURSIVE"
+    + _ARCS
+    + f"raw AS (SELECT lattice_id, src, dst, {_EPS.format('ilabel', 'ilabel')}, {_EPS.format('olabel', 'olabel')}, weight FROM (SELECT * FROM plain UNION ALL SELECT * FROM skips)),"
+    + _NUMBERED
+)
 #: the sausage normalised, and per position its entropy and largest probability
 SLOTS = (
     "WITH" + _ARCS.rstrip().rstrip(",")
@@ -94,6 +102,11 @@ def sausage(spark: SparkSession, sf_dir: str):
     return derive.order_sausage(spark, sf_dir)
 
 
+def epsilons(spark: SparkSession, sf_dir: str):
+    silent = lambda a, name: F.when(a["olabel"] % 5 == 0, F.lit(0)).otherwise(a[name])
+    return lattice(spark, sf_dir).map_arcs(lambda a: with_fields(a, ilabel=silent(a, "ilabel"), olabel=silent(a, "olabel")))
+
+
 @query(
     "d1_forward_backward",
     LATTICE + f"SELECT lattice_id, CAST(state AS INT) AS state, {r('-ln(a)')} AS alpha, {r('-ln(b)')} AS beta FROM alpha JOIN beta USING (lattice_id, state)",
@@ -282,6 +295,39 @@ def c1(spark, d):
     return rounded(confusion.mbr_table(lattice(spark, d)), "p", digits=SHARE_DIGITS)
 
 
+@query("c1_mbr_table_with_epsilons", EPSILONS + f""", spoken AS (SELECT p.lattice_id, p.ids, exp(-p.w) AS e, CAST(a.ilabel AS INT) AS label,
+    row_number() OVER (PARTITION BY p.lattice_id, p.ids ORDER BY list_position(p.ids, a.arc_id)) AS position
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) WHERE a.ilabel <> 0),
+spoken_n AS (SELECT lattice_id, ids, count(*) AS n FROM spoken GROUP BY 1, 2),
+cells AS (SELECT lattice_id, position, label, sum(e) AS s FROM spoken GROUP BY 1, 2, 3
+  UNION ALL SELECT p.lattice_id, coalesce(n, 0) + 1, -1, sum(exp(-p.w)) FROM paths p LEFT JOIN spoken_n s ON s.lattice_id = p.lattice_id AND s.ids = p.ids GROUP BY 1, 2)
+SELECT lattice_id, CAST(position AS INT) AS position, label, {r('s / sum(s) OVER (PARTITION BY lattice_id, position)', SHARE_DIGITS)} AS p FROM cells""")
+def c1_eps(spark, d):
+    return rounded(confusion.mbr_table(epsilons(spark, d)), "p", digits=SHARE_DIGITS)
+
+
+@query("f11_set_length_with_epsilons", EPSILONS + f""", spoken AS (SELECT p.lattice_id, p.ids, p.w, count(*) FILTER (WHERE a.olabel <> 0) AS n
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY ALL)
+SELECT lattice_id, count(*) AS n_paths, {r('-ln(sum(exp(-w)))')} AS mass FROM spoken WHERE n = 2 GROUP BY 1""")
+def f11_eps(spark, d):
+    kept = paths.summary(filters.set_length(epsilons(spark, d), 2))
+    return rounded(kept.select("lattice_id", F.col("paths").alias("n_paths"), "mass"), "mass")
+
+
+@query("t4_rm_epsilon", EPSILONS + f"SELECT lattice_id, {r('-ln(m)')} AS mass, 0 AS n_epsilons FROM mass")
+def t4(spark, d):
+    made = automata.rm_epsilon(epsilons(spark, d))
+    left = F.size(F.filter("arcs", lambda a: (a["ilabel"] == 0) & (a["olabel"] == 0)))
+    return rounded(distance.mass(made).join(made.rows.select("lattice_id", left.alias("n_epsilons")), "lattice_id"), "mass")
+
+
+@query("k2_frame_distances", LATTICE + f"SELECT lattice_id, CAST(state AS INT) AS state, {r('-ln(a)')} AS alpha FROM alpha")
+def k2(spark, d):
+    """Forward distances of lattices given as frames, by the kernel that suits their sizes."""
+    base = lattice(spark, d)
+    return rounded(distance.frame_distances(base.arcs, base.states), "alpha")
+
+
 @query("c2_confusion_network", LATTICE + """, words AS (SELECT DISTINCT p.lattice_id, g.k AS position, a.ilabel
   FROM paths p JOIN (SELECT unnest(range(1, 20)) AS k) g ON g.k <= len(p.ids)
   JOIN arcs a ON a.lattice_id = p.lattice_id AND a.arc_id = list_extract(p.ids, g.k))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let, log_sum
 from arcloom.lattice import Lattices, inlined
+from arcloom.plans.kernels import plan_kernel, shape
+from arcloom.session import cut
 
 
 def fold(arcs: Column, seeds: Column, semiring: str = "log") -> Column:
@@ -116,6 +118,34 @@ def level_distances(arcs: DataFrame, states: DataFrame, levels: int, semiring: s
     return done
 
 
+def frame_distances(arcs: DataFrame, states: DataFrame, semiring: str = "log") -> DataFrame:
+    """lattice_id, state, alpha for lattices given as frames (arcs and states as ``Lattices`` has them): folded within
+    rows where all are small enough for that, else level by level, so that no lattice needs to fit a row."""
+    if plan_kernel(shape(arcs)) == "fold":
+        found = distances(Lattices.from_frames(arcs, states), semiring).select("lattice_id", "state", "alpha")
+        return found.filter(F.col("alpha") < math.inf)
+    levels = _levels(arcs, states)
+    last = levels.agg(F.max("level")).first()[0] or 0
+    return level_distances(arcs, levels, last, semiring, cut)
+
+
+def _levels(arcs: DataFrame, states: DataFrame) -> DataFrame:
+    """The states that the start reaches, with ``level``, the most arcs on a path to them: round by round
+    the states that arcs reach move on, until none does."""
+    links = cut(arcs.select("lattice_id", "src", "dst").distinct())
+    done = reached = cut(states.filter("is_start").select("lattice_id", "state", F.lit(0).alias("level")))
+    level = 0
+    while True:
+        level += 1
+        step = links.join(reached.withColumnRenamed("state", "src"), ["lattice_id", "src"])
+        reached = cut(step.select("lattice_id", F.col("dst").alias("state"), F.lit(level).alias("level")).distinct())
+        if not reached.head(1):
+            break
+        done = cut(done.unionByName(reached).groupBy("lattice_id", "state").agg(F.max("level").alias("level")))
+    starts = states.select("lattice_id", "state", "is_start")
+    return cut(done.join(starts, ["lattice_id", "state"]))
+
+
 def _by_state():
     from pyspark.sql import Window
 

@@ -313,3 +313,62 @@ def test_determinization_has_no_cap_of_its_own(monkeypatch):
         monkeypatch.setattr(automata, other, lambda x, *_: x)
     for made in (automata.determinize(None), automata.determinize_weights_and_normalize(None), automata.determinize_and_normalize(None)):
         assert made is not None
+
+
+def test_bundles(spark, tmp_path):
+    made = text_lattices.to_htk_text(text_lattices.parse_htk(spark.createDataFrame([(i, "f", HTK) for i in range(7)], "lattice_id long, source string, text string")))
+    text_lattices.write_bundles(made.repartition(2), str(tmp_path / "b"), "gzip")
+    back = {r.lattice_id: r.text for r in text_lattices.read_bundles(spark, str(tmp_path / "b")).collect()}
+    assert back == {r.lattice_id: r.text for r in made.collect()} and len(back) == 7
+    assert len(list((tmp_path / "b").glob("*.gz"))) == 2
+
+
+def test_frames_by_levels_as_by_fold(spark, query3, eps_dag, monkeypatch):
+    for made in (query3, eps_dag):
+        folded = {(r.lattice_id, r.state): r.alpha for r in distance.frame_distances(made.arcs, made.states).collect()}
+        monkeypatch.setattr("arcloom.plans.kernels.FOLD_STATES", 0)
+        levels = {(r.lattice_id, r.state): r.alpha for r in distance.frame_distances(made.arcs, made.states).collect()}
+        monkeypatch.undo()
+        assert levels.keys() == folded.keys()
+        assert all(abs(levels[k] - folded[k]) < 1e-9 for k in folded)
+
+
+def test_lattice_of_ten_thousand_states(spark):
+    n = 10_000
+    arcs = spark.range(n).selectExpr("1L AS lattice_id", "CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst", "explode(array(1, 2)) AS ilabel").selectExpr(
+        "*", "ilabel AS olabel", "-ln(ilabel / 2.0D) AS weight"
+    )
+    made = normalise.normalize(Lattices.from_frames(arcs))
+    assert normalise.is_probabilistic(made, 1e-6).first().ok
+    weights = made.arcs.groupBy("ilabel").agg(F.min("weight").alias("lo"), F.max("weight").alias("hi")).orderBy("ilabel").collect()
+    for row, p in zip(weights, (1 / 3, 2 / 3), strict=True):
+        assert abs(row.lo + math.log(p)) < 1e-6 and abs(row.hi + math.log(p)) < 1e-6
+
+
+def test_posteriors_over_a_given_automaton(spark, seqlab3):
+    """The labels (1, 0) and (1, 1) lead to one state, (2, 2) has an arc and (2, 5), which no path has, another."""
+    shape = build(spark, [(0, 1, 1, 0, 1.0), (0, 1, 1, 1, 1.0), (1, 2, 2, 0, 1.0), (1, 2, 2, 2, 1.0), (1, 2, 2, 5, 1.0)], 2)
+    got = {(r.ilabel, r.olabel): round(math.exp(-r.weight), 6) for r in automata.posteriors_over(seqlab3, shape).arcs.collect()}
+    assert got == {(1, 0): 0.4, (1, 1): 0.6, (2, 0): 0.4, (2, 2): 0.6, (2, 5): 0.0}
+
+
+def test_prefix_taken_on(spark, eps_dag):
+    prefixes = lambda *p: spark.createDataFrame([(1, list(p))], "lattice_id long, prefix array<int>")
+    shown = lambda df: sorted((r.word, round(r.cost, 6), round(r.weight, 6), tuple(r.features)) for r in df.collect())
+    typed = edit_distance.trellis(eps_dag, prefixes(1, 3))
+    for new in ((1,), (1, 2), (2,), (), (1, 3), (1, 3, 3)):
+        made = edit_distance.set_prefix(typed, prefixes(*new))
+        assert made.select(F.size("trellis")).first()[0] == len(new) + 1
+        assert shown(edit_distance.trellis_features(made)) == shown(edit_distance.edit_distance_features(eps_dag, prefixes(*new)))
+
+
+def test_batch_of_files(spark, tmp_path):
+    for i in range(2):
+        (tmp_path / f"l{i}.lat").write_text(HTK)
+    (tmp_path / "names").write_text("some/l1.lat\nl0.lat\n")
+    (tmp_path / "refs").write_text("Crocodile\nHello\n")
+    made, refs, counts = labelling.load_batch(spark, str(tmp_path / "*.lat"), str(tmp_path / "names"), str(tmp_path / "refs"), scale=2.0, threshold=1.0, normalized=True)
+    words = {(r.lattice_id, r.label): r.symbol for r in made.symbols.collect()}
+    sources = {r.lattice_id: r.source.rsplit("/", 1)[1] for r in made.meta.collect()}
+    assert {sources[r.lattice_id]: [words[r.lattice_id, x] for x in r.ref] for r in refs.collect()} == {"l0.lat": ["Hello"], "l1.lat": ["Crocodile"]}
+    assert {(r.paths, r.left) for r in counts.collect()} == {(2.0, 1.0)}
