@@ -152,10 +152,13 @@ def d8(spark, d):
     return rounded(paths.position_posteriors(sausage(spark, d)), "p", digits=SHARE_DIGITS)
 
 
-@query("d9_shortest_hamming_path", SLOTS + f"SELECT lattice_id, count(*) AS length, {r('sum(best)', SHARE_DIGITS)} AS expected_correct FROM pos GROUP BY 1")
+@query("d9_shortest_hamming_path", SLOTS + f""", pick AS (SELECT lattice_id, ilabel, min(olabel) AS label FROM norm JOIN pos USING (lattice_id, ilabel) WHERE p >= best - 1e-9 GROUP BY 1, 2),
+words AS (SELECT lattice_id, string_agg(CAST(label AS VARCHAR), ' ' ORDER BY ilabel) AS hyp FROM pick GROUP BY 1)
+SELECT lattice_id, hyp, count(*) AS length, {r('sum(best)', SHARE_DIGITS)} AS expected_correct FROM pos JOIN words USING (lattice_id) GROUP BY 1, 2""")
 def d9(spark, d):
     found = paths.shortest_hamming_path(sausage(spark, d))
-    return rounded(found.select("lattice_id", F.size("hyp").cast("long").alias("length"), "expected_correct"), "expected_correct", digits=SHARE_DIGITS)
+    words = F.array_join(F.transform("hyp", lambda x: x.cast("string")), " ")
+    return rounded(found.select("lattice_id", words.alias("hyp"), F.size("hyp").cast("long").alias("length"), "expected_correct"), "expected_correct", digits=SHARE_DIGITS)
 
 
 @query(
@@ -266,10 +269,13 @@ def f8(spark, d):
     return rounded(kept.select("lattice_id", F.col("paths").alias("n_paths"), "mass"), "mass")
 
 
-@query("f9_prune_paths", LATTICE + """SELECT lattice_id, count(*) AS n_arcs FROM post JOIN mass USING (lattice_id)
-WHERE -ln(best_through) <= -ln(best) + 1.5 + 1e-9 GROUP BY 1""")
+@query("f9_prune_paths", LATTICE + f""", near AS (SELECT lattice_id, arc_id FROM post JOIN mass USING (lattice_id) WHERE -ln(best_through) <= -ln(best) + 1.5 + 1e-9),
+counts AS (SELECT lattice_id, count(*) AS n_arcs FROM near GROUP BY 1),
+left_paths AS (SELECT u.lattice_id, u.ids, any_value(u.w) AS w FROM used u LEFT JOIN near USING (lattice_id, arc_id) GROUP BY 1, 2 HAVING count(*) = count(near.arc_id))
+SELECT lattice_id, n_arcs, count(*) AS n_paths, {r('-ln(sum(exp(-w)))')} AS mass FROM left_paths JOIN counts USING (lattice_id) GROUP BY 1, 2""")
 def f9(spark, d):
-    return filters.prune_paths(lattice(spark, d), 1.5).rows.select("lattice_id", F.size("arcs").cast("long").alias("n_arcs"))
+    kept = paths.summary(filters.prune_paths(lattice(spark, d), 1.5))
+    return rounded(kept.select("lattice_id", F.col("n_arcs").cast("long").alias("n_arcs"), F.col("paths").alias("n_paths"), "mass"), "mass")
 
 
 @query("f11_set_length", LATTICE + f"SELECT lattice_id, count(*) AS n_paths, {r('-ln(sum(exp(-w)))')} AS mass FROM paths WHERE len(ids) = 3 GROUP BY 1")
@@ -328,13 +334,16 @@ def k2(spark, d):
     return rounded(distance.frame_distances(base.arcs, base.states), "alpha")
 
 
-@query("c2_confusion_network", LATTICE + """, words AS (SELECT DISTINCT p.lattice_id, g.k AS position, a.ilabel
-  FROM paths p JOIN (SELECT unnest(range(1, 20)) AS k) g ON g.k <= len(p.ids)
-  JOIN arcs a ON a.lattice_id = p.lattice_id AND a.arc_id = list_extract(p.ids, g.k))
-SELECT lattice_id, count(*) AS n_arcs, CAST(max(position) + 1 AS INT) AS states FROM words GROUP BY 1""")
+@query("c2_confusion_network", LATTICE + f""", words AS (SELECT p.lattice_id, exp(-p.w) AS e, g.k AS position, list_extract(p.ids, g.k) AS arc_id
+  FROM paths p, (SELECT unnest(range(1, 20)) AS k) g WHERE g.k <= len(p.ids)),
+cells AS (SELECT w.lattice_id, w.position, CAST(a.ilabel AS INT) AS label, sum(e) AS s FROM words w JOIN arcs a USING (lattice_id, arc_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT lattice_id, len(ids) + 1, -1, sum(exp(-w)) FROM paths GROUP BY 1, 2),
+shares AS (SELECT *, s / sum(s) OVER (PARTITION BY lattice_id, position) AS p, max(position) OVER (PARTITION BY lattice_id) AS last FROM cells)
+SELECT lattice_id, CAST(position - 1 AS INT) AS src, CAST(position AS INT) AS dst, label, CAST(last AS INT) AS states, {r('-ln(p)')} AS weight FROM shares WHERE label <> -1""")
 def c2(spark, d):
     made = confusion.confusion_network(lattice(spark, d))
-    return made.rows.select("lattice_id", F.size("arcs").cast("long").alias("n_arcs"), F.size("finals").alias("states"))
+    sizes = made.rows.select("lattice_id", F.size("finals").alias("states"))
+    return rounded(made.arcs.select("lattice_id", "src", "dst", F.col("ilabel").alias("label"), "weight").join(sizes, "lattice_id"), "weight")
 
 
 def _named(lattices):
