@@ -16,6 +16,7 @@ decides what is removed.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import cut, release, shuffle_partitions, small
+from arcloom.llm.common import cut, release, shuffle_partitions, small, trimmed
 
 WINDOW = 50
 GRAM = 20
@@ -38,13 +39,18 @@ PERIOD, COVER = 7, (0, 1, 3)
 FLUSH = 16_000_000
 #: spans that a task gathers before it deals them out by document
 HELD_SPANS = 2_000_000
+#: records of a suffix bucket beyond which equal contents are brought down to one
+HELD_RECORDS = 300_000
+#: bytes of text for a suffix bucket, for a group of documents, and for a task
+BUCKET_BYTES, GROUP_BYTES, TASK_BYTES = 4_000_000, 16_000_000, 64_000_000
 
 _P = 0x9E3779B185EBCA87
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1)) % (1 << 64) for i in range(ROW // 8)], np.uint64)
 
-RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("first", "u1"), ("n", "u1"), ("row", "u1", (ROW,))])
-SPAN = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
+#: ``tag`` tells rows with one doc_id and different texts apart
+RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("first", "u1"), ("n", "u1"), ("row", "u1", (ROW,))])
+SPAN = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
 RECORDS, SPANS, TEXT = 0, 1, 2
 
 
@@ -214,7 +220,7 @@ def repeats(records: np.ndarray) -> np.ndarray:
     contents_of_key = np.bincount(np.unique(key, return_inverse=True)[1][head])
     single = contents_of_key[np.unique(key, return_inverse=True)[1]] == 1
     whole = single & (records["doc"] > least_doc[content])
-    out = [_spans(records["doc"][whole], records["start"][whole], records["n"][whole])]
+    out = [_spans(records[whole], records["start"][whole], records["n"][whole])]
     several = np.flatnonzero(~single[head])
     if len(several):
         heads = records[head[several]]
@@ -240,13 +246,14 @@ def repeats(records: np.ndarray) -> np.ndarray:
             same = np.append(owner[1:] == owner[:-1], False)
             lo = np.flatnonzero(hit & ((edge[:-1] == 1) | (number == 0)))
             hi = np.flatnonzero(hit & ((edge[1:] == -1) | ~same))
-            out.append(_spans(records["doc"][part][owner[lo]], records["start"][part][owner[lo]] + number[lo], number[hi] - number[lo] + 1))
+            out.append(_spans(records[part][owner[lo]], records["start"][part][owner[lo]] + number[lo], number[hi] - number[lo] + 1))
     return np.concatenate(out)
 
 
-def _spans(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(doc), SPAN)
-    out["doc"], out["lo"] = doc, start
+def _spans(of: np.ndarray, start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Spans in the documents of the records ``of``."""
+    out = np.zeros(len(of), SPAN)
+    out["doc"], out["tag"], out["lo"] = of["doc"], of["tag"], start
     out["hi"] = start.astype(np.int64) + windows + WINDOW - 1
     return out
 
@@ -310,20 +317,31 @@ def local_records(docs: list[int], texts: list[bytes], bucket: int, buckets: int
     spans that the batch itself shows: of equal contents only the document
     with the least doc_id goes on, so that no passage travels more than once."""
     found = []
-    ids = np.array(docs, np.int64)
+    ids, tags = np.array(docs, np.int64), np.array([zlib.crc32(t) for t in texts], np.uint32)
     for chunk in _parts(texts):
         ends = np.cumsum([len(p) for _, _, p in chunk])
         starts = np.append(0, ends[:-1])
         records = anchors(np.frombuffer(b"".join(p for _, _, p in chunk), np.uint8), ends, bucket, buckets)
         at = np.searchsorted(ends, records["start"], side="right")
-        records["doc"] = ids[np.array([i for i, _, _ in chunk])[at]]
+        owner = np.array([i for i, _, _ in chunk])[at]
+        records["doc"], records["tag"] = ids[owner], tags[owner]
         records["start"] += (np.array([o for _, o, _ in chunk]) - starts)[at].astype(np.int64).astype(np.uint32)
         found.append(records)
     if not found:
         return np.zeros(0, RECORD), np.zeros(0, SPAN)
     records, _, new = by_content(np.concatenate(found))
     later = records["doc"] > records["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return records[~later], _spans(records["doc"][later], records["start"][later], records["n"][later])
+    return records[~later], _spans(records[later], records["start"][later], records["n"][later])
+
+
+def fewer(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of records with equal contents that with the least doc_id, and the spans of the others in later
+    documents: what a bucket with one passage over and over is brought down to before more of it is read."""
+    records, _, new = by_content(records)
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = records["doc"] > records["doc"][head]
+    own = new | ((records["doc"] == records["doc"][head]) & ~later)
+    return records[own], _spans(records[later], records["start"][later], records["n"][later])
 
 
 def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -340,9 +358,10 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 BLOB = "kind int, part long, blob binary"
 
 
-def repeated_spans(docs: DataFrame, buckets: int, parts: int, doc_parts: int) -> list[DataFrame]:
-    """Rows (kind, part, blob) of spans, part by doc_id: one table for each bucket,
-    written before the next bucket is begun."""
+def repeated_spans(docs: DataFrame, passes: int, parts: int, doc_parts: int, tasks: int) -> list[DataFrame]:
+    """Rows (kind, part, blob) of spans, part by doc_id: one table for each pass, written before
+    the next pass is begun.  A pass takes a share of the anchors, dealt to ``parts`` suffix buckets;
+    a task sorts one bucket at a time."""
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
 
     def collect(bucket):
@@ -358,16 +377,17 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int, doc_parts: int) ->
                         ids, held, size = [], [], 0
             if ids:
                 yield from emit(ids, held)
+            trimmed()
 
         def emit(ids, held):
-            records, spans = local_records(ids, held, bucket, buckets)
+            records, spans = local_records(ids, held, bucket, passes)
             yield _blobs([*_packed(RECORDS, records, _part(records["key"] >> np.uint64(20), parts))])
             yield _blobs([*_packed(SPANS, spans, _part(spans["doc"], doc_parts))])
 
         return run
 
     def compare(batches):
-        part, held, found, n = None, [], [], 0
+        part, held, found, n, size = None, [], [], 0, 0
 
         def spread():
             spans = np.concatenate(found) if found else np.zeros(0, SPAN)
@@ -379,32 +399,43 @@ def repeated_spans(docs: DataFrame, buckets: int, parts: int, doc_parts: int) ->
                     yield _blobs([(k, p, blob)])
                     continue
                 if held and p != part:
-                    found.append(repeats(_unpacked(held, RECORD)))
-                    held, n = [], n + len(found[-1])
+                    found.append(repeats(np.concatenate(held)))
+                    held, n, size = [], n + len(found[-1]), 0
                     if n > HELD_SPANS:
                         yield spread()
                         found, n = [], 0
                 part = p
-                held.append(blob)
+                held.append(_unpacked([blob], RECORD))
+                size += len(held[-1])
+                if size > HELD_RECORDS:
+                    kept, spans = fewer(np.concatenate(held))
+                    found.append(spans)
+                    held, n, size = [kept], n + len(spans), len(kept) // 2
         if held:
-            found.append(repeats(_unpacked(held, RECORD)))
+            found.append(repeats(np.concatenate(held)))
         yield spread()
+        trimmed()
 
     out = []
-    for bucket in range(buckets):
-        sent = texts.mapInArrow(collect(bucket), BLOB).repartition("kind", "part").sortWithinPartitions("kind", "part")
+    for bucket in range(passes):
+        sent = texts.mapInArrow(collect(bucket), BLOB).repartition(tasks, "kind", "part").sortWithinPartitions("kind", "part")
         out.append(cut(sent.mapInArrow(compare, BLOB)))
         del sent
         release(docs.sparkSession)
     return out
 
 
-def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataFrame:
+def apply_spans(docs: DataFrame, finish, schema: str, passes: int = 2) -> DataFrame:
     """``finish(columns, rows)`` over groups of documents: columns maps names to
-    lists, rows gives each document's runs (lo, hi) of removed bytes."""
-    parts = shuffle_partitions(docs.sparkSession)
-    # records take more room than texts, so they come in smaller groups
-    spans = repeated_spans(docs, buckets, 4 * parts, parts)
+    lists, rows gives each document's runs (lo, hi) of removed bytes.
+
+    The numbers of suffix buckets, of groups of documents and of tasks follow from the bytes of
+    text, so that none of them grows with the input."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = shuffle_partitions(docs.sparkSession)
+    tasks = max(least, size // TASK_BYTES)
+    parts = max(least, size // GROUP_BYTES)
+    spans = repeated_spans(docs, passes, max(4 * least, size // BUCKET_BYTES), parts, tasks)
     names = docs.columns
 
     def tag(batches):
@@ -412,11 +443,12 @@ def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataF
             at = names.index("doc_id")
             ids = b.column(at).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
             part = _part(ids, parts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*names, "__part"])
+            row = pa.StructArray.from_arrays(b.columns, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(part), row], names=["part", "row"])
 
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __part long"
-    tagged = docs.mapInArrow(tag, typed)
-    rows = tagged.select(F.lit(TEXT).alias("kind"), F.col("__part").alias("part"), F.lit(None).cast("binary").alias("blob"), F.struct(*names).alias("row"))
+    typed = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
+    tagged = docs.mapInArrow(tag, f"part long, row struct<{typed}>")
+    rows = tagged.select(F.lit(TEXT).alias("kind"), "part", F.lit(None).cast("binary").alias("blob"), "row")
     for s in spans:
         rows = rows.unionByName(s, allowMissingColumns=True)
 
@@ -438,6 +470,7 @@ def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataF
                 held.append(s.column(3).filter(pa.array(is_text)))
         if part is not None:
             yield from close(blobs, held)
+        trimmed()
 
     def close(blobs, held):
         spans = _unpacked(blobs, SPAN)
@@ -447,16 +480,18 @@ def apply_spans(docs: DataFrame, finish, schema: str, buckets: int = 2) -> DataF
                 continue
             columns = {n: rows.field(i) for i, n in enumerate(names)}
             runs = []
-            for doc in columns["doc_id"].to_pylist():
+            for doc, text in zip(columns["doc_id"].to_pylist(), columns["text"], strict=True):
                 if doc is None:
                     runs.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                     continue
                 lo, hi = np.searchsorted(spans["doc"], [doc, doc + 1])
                 own = spans[lo:hi]
+                if len(own):
+                    own = own[own["tag"] == zlib.crc32((text.as_py() or "").encode())]
                 runs.append(merged(own["lo"], own["hi"]) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
             yield finish(columns, runs)
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def kept_bytes(text: bytes, runs: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -467,14 +502,14 @@ def kept_bytes(text: bytes, runs: tuple[np.ndarray, np.ndarray]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def removal_digests(docs: DataFrame, buckets: int = 2) -> DataFrame:
+def removal_digests(docs: DataFrame, passes: int = 2) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a 50-byte string that covers it also starts in a
-    document with a smaller doc_id.  A null text counts as empty; a doc_id
-    stands for one text, and rows that repeat it are treated alike; a null
-    doc_id takes no part, so nothing is removed; an empty table gives an
-    empty one; other columns are ignored.
+    document with a smaller doc_id.  A null text counts as empty; rows that repeat a
+    doc_id are no smaller one to each other, whatever their texts; a null
+    doc_id takes no part, so nothing is removed; a long text is read in parts that overlap; an empty table gives an
+    empty one; other columns are ignored, and kept by remove_repeats, whatever their names.
     """
 
     def finish(columns, runs):
@@ -491,10 +526,10 @@ def removal_digests(docs: DataFrame, buckets: int = 2) -> DataFrame:
         )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return apply_spans(docs.select("doc_id", "text"), finish, schema, buckets)
+    return apply_spans(docs.select("doc_id", "text"), finish, schema, passes)
 
 
-def remove_repeats(docs: DataFrame, buckets: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, passes: int = 2) -> DataFrame:
     """``docs`` with the repeated bytes taken out of text; a character that a
     removed run cuts goes with it.  Cases as in removal_digests."""
     names = docs.columns
@@ -507,4 +542,4 @@ def remove_repeats(docs: DataFrame, buckets: int = 2) -> DataFrame:
         )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return apply_spans(docs, finish, schema, buckets)
+    return apply_spans(docs, finish, schema, passes)

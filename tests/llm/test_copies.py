@@ -346,3 +346,33 @@ def test_distances_side_by_side():
     left = np.array([rng.randrange(60) for _ in range(300)])
     right = np.array([rng.randrange(60) for _ in range(300)])
     assert line_dedup.distances(texts, left, right).tolist() == [line_dedup.distance(texts[i], texts[j]) for i, j in zip(left, right, strict=True)]
+
+
+def test_passages_in_rows_that_share_a_doc_id(spark):
+    """Spans of a row are not applied to another text with the same doc_id."""
+    passage = "".join(random.Random(31).choice("abcdefgh ") for _ in range(90))
+    rows = [(1, "first " + passage), (5, passage + " of the one"), (5, "quite another text, as long as the passage is, that nobody else has, from end to end of it all"), (5, passage + " of the one")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.removal_digests(table(spark, rows)).collect())
+    assert got == sorted([(1, 96, 0), (5, 101, 90), (5, len(rows[2][1]), 0), (5, 101, 90)])
+
+
+def test_a_bucket_of_one_passage(spark, monkeypatch):
+    """Records beyond what a bucket holds are brought down to one of each content."""
+    rng = random.Random(32)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    rows = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randrange(80))) + passage) for i in range(40)]
+    want = {d: int(m.sum()) for d, m in covered([(d, t.encode()) for d, t in rows]).items()}
+    batches = [suffix_dedup.local_records([d], [t.encode()], 0, 1)[0] for d, t in rows]
+    held, spans = batches[0], []
+    for b in batches[1:]:
+        held, found = suffix_dedup.fewer(np.concatenate([held, b]))
+        spans.append(found)
+    assert len(held) < sum(map(len, batches)) / 2
+    spans = np.concatenate([*spans, suffix_dedup.repeats(held)])
+    got = {}
+    for d, t in rows:
+        m = np.zeros(len(t), bool)
+        for x in spans[spans["doc"] == d]:
+            m[x["lo"] : x["hi"]] = True
+        got[d] = int(m.sum())
+    assert got == want
