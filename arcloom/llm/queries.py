@@ -5,7 +5,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcloom.llm import bpe_automaton, exact_dedup, imatch, language_id, line_dedup, packing, simhash, suffix_dedup, token_counts, warc
+from arcloom.llm import (
+    bpe_automaton,
+    conversation_repair,
+    exact_dedup,
+    imatch,
+    language_id,
+    line_dedup,
+    packing,
+    prefix_trie,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    warc,
+)
 from arcloom.session import ship
 
 CAPACITY, END, TOKEN_LIMIT = 2048, 0, 4096
@@ -62,9 +75,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(conversations(spark, sf_dir))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversations(spark, sf_dir))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
