@@ -12,6 +12,7 @@ from arcloom.llm import (
     imatch,
     language_id,
     line_dedup,
+    main_text,
     packing,
     prefix_trie,
     simhash,
@@ -75,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/conversations.parquet")
 
@@ -92,4 +97,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op11_html_extraction": main_text.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
