@@ -42,14 +42,24 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 
 
 def url_key(url: str | None) -> str:
-    """Host labels reversed and joined by commas, then the path and query."""
-    parts = urlsplit((url or "").strip().lower() if "//" in (url or "") else "//" + (url or "").strip().lower())
+    """Host labels reversed and joined by commas, then the path and query.
+
+    A string that is no URL is its own host, its port included where that is no number.
+    """
+    whole = (url or "").strip().lower()
     try:
-        host, port = parts.hostname or "", parts.port
+        parts = urlsplit(whole if "//" in whole else "//" + whole)
+        host, port = parts.hostname or "", None
+        tail = (parts.path or "/") + ("?" + parts.query if parts.query else "")
     except ValueError:
-        host, port = parts.netloc, None
-    tail = (parts.path or "/") + ("?" + parts.query if parts.query else "")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + tail.replace("\n", "%0A").replace("\t", "%09")
+        host, port, tail = whole, None, "/"
+    else:
+        try:
+            port = parts.port
+        except ValueError:
+            host = parts.netloc
+    key = ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + tail
+    return key.replace("\n", "%0A").replace("\t", "%09")
 
 
 @cache

@@ -71,6 +71,24 @@ def test_warc_round_trip(spark):
     assert warc.url_key("http://www.Example.com:80/a?b") == "com,example,www:80)/a?b"
 
 
+STRANGE_URLS = ["http://[abc/", "http://[::1/x", "http://a.org:port/", "http://a.org:99999999/", "http://ex\u2100.org/", "http://bücher.example/straße", "//", "://",
+                "", " ", "http://", "a\tb\nc//[", "http://h/\u0000", "javascript:void(0)", "🤗://🤗", "http://user:pw@h.org/", "x" * 5000]
+
+
+def test_any_url_string(spark):
+    """A string that is no URL is a key like others: written, read back and found."""
+    keys = [warc.url_key(u) for u in STRANGE_URLS]
+    assert all("\t" not in k and "\n" not in k for k in keys)
+    assert warc.url_key("http://[abc/") == "http://[abc/)/" and warc.url_key("http://bücher.example/ä") == "example,bücher)/ä"
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(STRANGE_URLS)] + [(90, None, None)]
+    archive = warc.write_archive(pages(spark, rows))
+    assert sorted(r.page_id for r in archive.records().collect()) == [*range(len(STRANGE_URLS)), 90]
+    for i, u in enumerate(STRANGE_URLS[:2]):
+        assert i in {r.page_id for r in archive.lookup(spark.createDataFrame([(u,)], "url string")).collect()}
+    every = archive.lookup(pages(spark, rows).select("url"))
+    assert sorted(r.page_id for r in every.collect()) == [*range(len(STRANGE_URLS)), 90]
+
+
 def test_index_of_many_blocks(spark, monkeypatch):
     """One key with more captures than a block, between others, dealt over several files."""
     rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i % 50}.org/{i}", f"<p>{i}</p>") for i in range(3000)]
