@@ -84,15 +84,42 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, cache
     return docs.select("doc_id", "text").mapInArrow(cut_up, SCHEMA)
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS, large_over: float = 0.4) -> list[tuple[int, int, int, int, int]]:
+Run = tuple[int, int, int, int, int]
+
+
+def plan(counts: dict[int, int], capacity: int, groups: int = GROUPS) -> list[Run]:
     """Runs (length, first rank, number, first bin, offset): the documents of a
     length with ranks from ``first rank`` go one each to the bins from ``first bin``.
 
+    The grouping scheme at several numbers of groups and bounds between large and small, up
+    to a group for each length; its limit without large lengths is plain best fit by
+    decreasing length, so no plan has more bins than that.  The first that
+    reaches the bound from below, or else the one with fewest bins, is taken.
+    """
+    if not counts:
+        return []
+    least = max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    best, fewest = [], None
+    for number, large_over in ((groups, 0.4), (1.0, 1.0), (4 * groups, 0.35), (capacity * capacity, 0.35), (capacity * capacity, 0.5), (groups, 0.5)):
+        runs = scheme(counts, capacity, int(number), large_over)
+        bins = max(first + n for _, _, n, first, _ in runs)
+        if fewest is None or bins < fewest:
+            best, fewest = runs, bins
+        if bins == least:
+            break
+    return best
+
+
+def scheme(counts: dict[int, int], capacity: int, groups: int, large_over: float) -> list[Run]:
+    """One plan.
+
     1. Lengths over ``large_over`` of the capacity are dealt, longest first, into
        ``groups`` groups of equal cardinality and rounded up to their group's
        longest.
     2. Configurations of these few sizes: again and again the fullest one that
-       holds the largest size left, used as often as its sizes allow.
+       holds the largest size left, used as often as its sizes allow.  Over a third
+       of the capacity a configuration is one size or a pair, and to pair the largest with
+       the largest that fits leaves no pair unmade, so the rounded instance is solved at its best.
     3. Actual documents take the slots, longest first within their group.
     4. The rest go, longest first, each to the fullest bin that it fits;
        equal bins are handled together as runs.

@@ -142,7 +142,7 @@ def test_plans_place_everything_once(counts):
             assert offset == at
             at += length
         assert at <= 60
-    # about as few as plain best fit by decreasing length, for all the coarseness of five groups
+    # no more than plain best fit by decreasing length, for all the coarseness of five groups
     rooms: list[int] = []
     for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
         fitting = [room for room in rooms if room >= length]
@@ -151,4 +151,11 @@ def test_plans_place_everything_once(counts):
             rooms.append(min(fitting) - length)
         else:
             rooms.append(60 - length)
-    assert len(bins) <= 1.25 * len(rooms) + 1
+    assert len(bins) <= len(rooms)
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 97), ("sf0.01", 481)])
+def test_packing_of_the_given_texts(spark, sf, most):
+    """As few sequences as plain best fit by decreasing length, or as the bound from below says."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    assert packing.best_fit_pack(docs, BYTE).select("sequence_id").distinct().count() <= most
