@@ -303,8 +303,6 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4) -> DataFram
 #: bands of ROWS MinHash values each: texts with a similarity of 0.8 share a band
 #: with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, with 0.9 but for 3e-5
 BANDS, ROWS = 8, 3
-#: near copies are linked however many bits their SimHashes differ in
-NEAR = BITS
 _SPREAD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
