@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from arcloom.functions import semiring
 from arcloom.functions.text import tokenize
 from arcloom.lattice import with_fields
-from arcloom.operators import automata, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
+from arcloom.operators import automata, composition, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
 from arcloom.session import ship
 from arcloom.sources import derive, text_lattices
 
@@ -490,6 +490,46 @@ def n6(spark, d):
     return paths.summary(made).select("lattice_id", "paths").join(normalise.is_probabilistic(_open(made), 1e-6), "lattice_id")
 
 
+@query(
+    "n6_arc_weights",
+    LATTICE
+    + f"""SELECT lattice_id, CAST(ilabel AS INT) AS ilabel, olabel, {r('-ln(sum(through) / sum(sum(through)) OVER (PARTITION BY lattice_id))')} AS weight
+FROM post WHERE src = 0 GROUP BY lattice_id, ilabel, olabel""",
+)
+def n6_weights(spark, d):
+    """The arcs that leave the start, of which each stands for one that skips a position and one that does not."""
+    made = automata.determinize_and_normalize(lattice(spark, d))
+    first = F.filter("arcs", lambda a: a["src"] == F.col("start"))
+    return rounded(made.rows.select("lattice_id", F.inline(first)).select("lattice_id", "ilabel", "olabel", "weight"), "weight")
+
+
+def _third(spark, d) -> composition.Automaton:
+    """At most one label that 3 divides, at a tenth of it; after it an end, or an epsilon and an end."""
+    labels = lattice(spark, d).arcs.select("olabel").distinct().withColumnRenamed("olabel", "ilabel")
+    third = F.col("ilabel") % 3 == 0
+    to = F.when(third, F.array(F.struct(F.lit(0), F.lit(1)))).otherwise(F.array(F.struct(F.lit(0), F.lit(0)), F.struct(F.lit(1), F.lit(1))))
+    spoken = labels.select(F.inline(to.cast("array<struct<src:int,dst:int>>")), "ilabel", F.col("ilabel").alias("olabel"), F.when(third, F.col("ilabel") / 10).otherwise(0.0).alias("weight"))
+    silent = labels.limit(1).select(F.lit(1).alias("src"), F.lit(2).alias("dst"), F.lit(0).alias("ilabel"), F.lit(0).alias("olabel"), F.lit(0.25).alias("weight"))
+    states = labels.limit(1).select(F.inline(F.array(*[F.struct(F.lit(s).alias("state"), F.lit(f).alias("final"), F.lit(s == 0).alias("is_start")) for s, f in ((0, 0.0), (1, 0.5), (2, 0.0))])))
+    return composition.Automaton(spoken.unionByName(silent), states)
+
+
+@query(
+    "t6_compose",
+    EPSILONS
+    + f""", thirds AS (SELECT p.lattice_id, p.ids, p.w, count(*) FILTER (WHERE a.olabel <> 0 AND a.olabel % 3 = 0) AS n,
+       coalesce(sum(a.olabel) FILTER (WHERE a.olabel <> 0 AND a.olabel % 3 = 0), 0) / 10.0 AS extra
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY ALL)
+SELECT lattice_id, sum(CASE WHEN n = 0 THEN 1 ELSE 2 END)::DOUBLE AS n_paths,
+       {r('-ln(sum(exp(-w - extra) * CASE WHEN n = 0 THEN 1 ELSE exp(-0.5) + exp(-0.25) END))')} AS mass
+FROM thirds WHERE n <= 1 GROUP BY 1""",
+)
+def t6(spark, d):
+    """Lattices with epsilons, composed with an automaton that has one as well."""
+    made = paths.summary(composition.compose(epsilons(spark, d), _third(spark, d)))
+    return rounded(made.select("lattice_id", F.col("paths").alias("n_paths"), "mass"), "mass")
+
+
 def _open(lattices):
     """Only states with arcs: final weights are not part of what sums to 1."""
     from dataclasses import replace

@@ -1,23 +1,27 @@
 """Epsilon removal, determinisation, minimisation, and normalisation over the
 minimal automaton.
 
-Subset construction is sequential within a lattice, so these run a kernel per
-lattice in Arrow groups; a group is one lattice.
+Subset construction is sequential within a lattice, so these run a kernel over the rows of
+a collection, as Arrow batches.  Posteriors over an automaton are joins.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from arcloom.lattice import Lattices
+from arcloom.lattice import ARCS, Lattices, arc
+from arcloom.operators.composition import explore
 from arcloom.operators.filters import connect
-from arcloom.operators.normalise import normalize
+from arcloom.operators.normalise import arc_posteriors, normalize
 from arcloom.session import cut
 
-SCHEMA = "lattice_id long, kind string, src int, dst int, ilabel int, olabel int, weight double"
+ARROW_ARC = pa.struct(
+    [("dst", pa.int32()), ("src", pa.int32()), ("arc_id", pa.int64()), ("ilabel", pa.int32()), ("olabel", pa.int32()), ("weight", pa.float64()), ("features", pa.list_(pa.float64()))]
+)
 
 
 def _plus(a: float, b: float) -> float:
@@ -32,12 +36,11 @@ class _Machine:
         self.arcs, self.finals, self.start = arcs, finals, start
 
     @staticmethod
-    def of(part: pd.DataFrame) -> _Machine:
-        row = part.iloc[0]
-        arcs: list[list[tuple]] = [[] for _ in row.finals]
-        for a in row.arcs:
+    def of(row: dict) -> _Machine:
+        arcs: list[list[tuple]] = [[] for _ in row["finals"]]
+        for a in row["arcs"]:
             arcs[a["src"]].append(((a["ilabel"], a["olabel"]), a["dst"], a["weight"]))
-        return _Machine(arcs, list(row.finals), int(row.start) if len(row.finals) else 0)
+        return _Machine(arcs, list(row["finals"]), row["start"] or 0)
 
     def without_weights(self) -> _Machine:
         bare = [[(x, t, 0.0 if w < math.inf else w) for x, t, w in out] for out in self.arcs]
@@ -121,75 +124,71 @@ class _Machine:
         arcs = [[(x, last - t, w) for x, t, w in kept[last - i][0]] for i in range(len(kept))]
         return _Machine(arcs, [kept[last - i][1] for i in range(len(kept))], last - of[self.start] if order else 0)
 
-    def with_posteriors_of(self, plain: _Machine) -> _Machine:
-        """This deterministic machine, its states in topological order, weighted by the posteriors of ``plain``, a
-        normalised machine without epsilons: each arc gets the sum of the posteriors of the arcs
-        it stands for, and the arcs of a state are made to sum to 1.  Final weights take no part and stay."""
-        alpha = [math.inf] * len(plain.arcs)
-        if plain.arcs:
-            alpha[plain.start] = 0.0
-        for s, out in enumerate(plain.arcs):
-            for _, t, w in out:
-                alpha[t] = _plus(alpha[t], alpha[s] + w)
-        beta = list(plain.finals)
-        for s in reversed(range(len(plain.arcs))):
-            for _, t, w in plain.arcs[s]:
-                beta[s] = _plus(beta[s], w + beta[t])
-        stand_for: list[set[int]] = [set() for _ in self.arcs]
-        if self.arcs and plain.arcs:
-            stand_for[self.start].add(plain.start)
-        weighted = []
-        for s, out in enumerate(self.arcs):
-            sums = []
-            for x, t, _ in out:
-                total = math.inf
-                for b in stand_for[s]:
-                    for y, u, w in plain.arcs[b]:
-                        if y == x:
-                            total = _plus(total, alpha[b] + w + beta[u])
-                            stand_for[t].add(u)
-                sums.append(total)
-            norm = math.inf
-            for total in sums:
-                norm = _plus(norm, total)
-            weighted.append([(x, t, math.inf if total == math.inf else total - norm) for (x, t, _), total in zip(out, sums, strict=True)])
-        return _Machine(weighted, self.finals, self.start)
-
-    def rows(self, lattice_id) -> pd.DataFrame:
-        out = [(lattice_id, "arc", s, t, x[0], x[1], w) for s, a in enumerate(self.arcs) for x, t, w in a]
-        out += [(lattice_id, "start" if s == self.start else "state", s, None, None, None, f) for s, f in enumerate(self.finals)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"dst": "Int32", "ilabel": "Int32", "olabel": "Int32"})
-
-
-def posteriors_over(lattices: Lattices, automata: Lattices) -> Lattices:
-    """The posteriors of the lattices on given deterministic automata without weights, one for each
-    lattice_id: what ``determinize_and_normalize`` does with the minimal automaton of each lattice.
-    Labels that the lattice lacks get Zero; a lattice without an automaton is left out."""
-    shapes = automata.rows.select("lattice_id", F.struct("start", "finals", "arcs").alias("shape"))
-    rows = normalize(lattices).rows.join(shapes, "lattice_id")
-
-    def change(part: pd.DataFrame) -> _Machine:
-        shape = pd.DataFrame([dict(part.iloc[0]["shape"])])
-        return _Machine.of(shape).without_weights().with_posteriors_of(_Machine.of(part).without_epsilons())
-
-    return _per_lattice(Lattices(rows, lattices.symbols), change, lambda part: part)
+    def row(self) -> dict:
+        """start, finals and arcs as a collection's rows have them."""
+        placed = [(t, s, x, w) for s, out in enumerate(self.arcs) for x, t, w in out]
+        arcs = [{"dst": t, "src": s, "arc_id": i, "ilabel": x[0], "olabel": x[1], "weight": w, "features": None} for i, (t, s, x, w) in enumerate(placed)]
+        arcs.sort(key=lambda a: (a["dst"], a["src"], a["arc_id"]))
+        return {"start": self.start if self.finals else None, "finals": self.finals, "arcs": arcs}
 
 
-def _per_lattice(lattices: Lattices, change, read=_Machine.of) -> Lattices:
-    """``change`` maps what ``read`` makes of a row, a machine, to another, or to None where it gives up."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        made = change(read(part))
-        if made is None:
-            return pd.DataFrame({"lattice_id": [part.iloc[0].lattice_id], "kind": ["error"], "src": [0], "dst": pd.array([None], "Int32"), "ilabel": pd.array([None], "Int32"), "olabel": pd.array([None], "Int32"), "weight": [0.0]})
-        return made.rows(part.iloc[0].lattice_id)
-
-    # written once, as arcs, states and errors are read from it
-    rows = cut(lattices.rows.filter("start is not null").groupBy("lattice_id").applyInPandas(run, SCHEMA))
-    arcs = rows.filter("kind = 'arc'").select("lattice_id", "src", "dst", "ilabel", "olabel", "weight")
-    states = rows.filter("kind in ('state', 'start')").select("lattice_id", F.col("src").alias("state"), F.col("weight").alias("final"), (F.col("kind") == "start").alias("is_start"))
-    errors = rows.filter("kind = 'error'").select("lattice_id", F.lit("too many states").alias("error"))
-    return Lattices(Lattices.from_frames(arcs, states).rows, lattices.symbols, errors)
+def posteriors_over(lattices: Lattices, automata: Lattices, match: str = "pairs") -> Lattices:
+    """The posteriors of the lattices on given deterministic automata without weights, one for each
+    lattice_id: what ``determinize_and_normalize`` does with the minimal automaton of each lattice.
+    Labels that the lattice lacks get Zero; a lattice without an automaton is left out.
+
+    ``match`` says which arcs of the lattice an arc of the automaton stands for: those with both labels (``pairs``), or
+    those with its input label (``input``); for acceptors these are the same."""
+    plain = rm_epsilon(normalize(lattices))
+    return _weighted(automata, plain, match)
+
+
+def _weighted(shapes: Lattices, plain: Lattices, match: str = "pairs") -> Lattices:
+    """``shapes`` weighted by the posteriors of ``plain``, normalised lattices without epsilons.
+
+    Which lattice states a state of the automaton stands for is the reach of both starts through equal labels.  Each
+    arc that leaves one of them with the arc's label counts once for it; shares of what leaves a state sum to 1."""
+    labels = ["ilabel", "olabel"] if match == "pairs" else ["ilabel"]
+    shapes = Lattices(cut(shapes.rows), shapes.symbols, shapes.meta)
+    own = shapes.arcs.select("lattice_id", F.col("src").alias("q"), F.col("dst").alias("next_q"), *labels)
+    spoken = cut(
+        arc_posteriors(plain).select("lattice_id", F.col("src").alias("b"), F.col("dst").alias("next_b"), *labels, "arc_id", F.exp(-F.col("weight")).alias("p"))
+    )
+    starts = shapes.rows.select("lattice_id", F.col("start").alias("q")).join(plain.rows.select("lattice_id", F.col("start").alias("b")), "lattice_id")
+    starts = starts.filter("q IS NOT NULL AND b IS NOT NULL")
+    met = explore(starts, lambda now: now.join(own, ["lattice_id", "q"]).join(spoken, ["lattice_id", "b", *labels]), ["lattice_id", "q", "b"])
+    shares = met.groupBy("lattice_id", F.col("q").alias("src"), F.col("next_q").alias("dst"), *labels).agg(F.sum("p").alias("p"))
+    out = F.sum("p").over(Window.partitionBy("lattice_id", "src"))
+    shares = shares.withColumn("cost", F.when(F.col("p") > 0, F.log(out / F.col("p"))).otherwise(F.lit(math.inf)))
+    key = ["lattice_id", "src", "dst", *labels]
+    arcs = shapes.arcs.drop("weight").join(shares.select(*key, "cost"), key, "left")
+    one = arc(*[F.col(n) for n in ("dst", "src", "arc_id", "ilabel", "olabel")], F.coalesce("cost", F.lit(math.inf)))
+    arcs = arcs.groupBy("lattice_id").agg(F.sort_array(F.collect_list(one)).alias("arcs"))
+    rows = shapes.rows.select("lattice_id", "start", "finals").join(plain.rows.select("lattice_id"), "lattice_id", "left_semi")
+    rows = rows.join(arcs, "lattice_id", "left").select("lattice_id", "start", "finals", F.coalesce("arcs", F.array().cast(ARCS)).alias("arcs"))
+    return Lattices(rows, shapes.symbols, shapes.meta)
+
+
+def _per_lattice(lattices: Lattices, change) -> Lattices:
+    """``change`` maps each row, as a machine, to another, or to None where it gives up.  Rows stay where they are."""
+
+    def run(batches):
+        for b in batches:
+            out = {"lattice_id": b.column(0), "start": [], "finals": [], "arcs": [], "error": []}
+            for row in b.select(["start", "finals", "arcs"]).to_pylist():
+                made = change(_Machine.of(row))
+                for k, v in (made.row() if made else {"start": None, "finals": None, "arcs": None}).items():
+                    out[k].append(v)
+                out["error"].append(None if made else "too many states")
+            kinds = {"start": pa.int32(), "finals": pa.list_(pa.float64()), "arcs": pa.list_(ARROW_ARC), "error": pa.string()}
+            yield pa.RecordBatch.from_pydict({k: v if k == "lattice_id" else pa.array(v, kinds[k]) for k, v in out.items()})
+
+    kept = lattices.rows.filter("start is not null").select("lattice_id", "start", "finals", "arcs")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", error string"
+    # written once, as lattices and errors are read from it
+    rows = cut(kept.mapInArrow(run, schema))
+    errors = rows.filter("error is not null").select("lattice_id", "error")
+    return Lattices(rows.filter("error is null").drop("error"), lattices.symbols, errors)
 
 
 def rm_epsilon(lattices: Lattices) -> Lattices:
@@ -228,12 +227,9 @@ def determinize_and_normalize(lattices: Lattices, scale: float = 1.0, max_states
     of a state are made to sum to 1 (final weights are not part of the sum)."""
 
     def change(m: _Machine) -> _Machine | None:
-        plain = m.without_epsilons()
-        shape = plain.without_weights().determinized(max_states)
-        if shape is None:
-            return None
-        shape = shape.without_weights().minimized()
-        return shape.with_posteriors_of(plain)
+        shape = m.without_weights().determinized(max_states)
+        return shape and shape.without_weights().minimized()
 
     # normalised first, so that alpha and beta are those of a distribution
-    return _per_lattice(normalize(lattices, scale), change)
+    plain = rm_epsilon(normalize(lattices, scale))
+    return _weighted(_per_lattice(plain, change), plain)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions import semiring, text
 from arcloom.lattice import Lattices
-from arcloom.operators import automata, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
+from arcloom.operators import automata, composition, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
 from arcloom.plans.kernels import Shape, plan_kernel, shape
 from arcloom.sources import text_lattices
 
@@ -309,8 +309,9 @@ def test_determinization_has_no_cap_of_its_own(monkeypatch):
     assert machine.determinized(10_000) is None
     assert len(machine.determinized().arcs) == n + 2
     monkeypatch.setattr(automata, "_per_lattice", lambda _, change: change(machine))
-    for other in ("connect", "normalize"):
+    for other in ("connect", "normalize", "rm_epsilon"):
         monkeypatch.setattr(automata, other, lambda x, *_: x)
+    monkeypatch.setattr(automata, "_weighted", lambda shape, _: shape)
     for made in (automata.determinize(None), automata.determinize_weights_and_normalize(None), automata.determinize_and_normalize(None)):
         assert made is not None
 
@@ -352,6 +353,65 @@ def test_posteriors_over_a_given_automaton(spark, seqlab3):
     assert got == {(1, 0): 0.4, (1, 1): 0.6, (2, 0): 0.4, (2, 2): 0.6, (2, 5): 0.0}
 
 
+def test_posteriors_by_input_labels(spark):
+    """A transducer whose input label 1 has two outputs: an arc of the automaton stands for both by input labels."""
+    base = build(spark, [(0, 1, 1, 7, 0.25), (0, 1, 1, 8, 0.25), (0, 1, 2, 7, 0.5)], 1)
+    shape = build(spark, [(0, 1, 1, 7, 1.0), (0, 1, 2, 7, 1.0)], 1)
+    weights = lambda match: {(r.ilabel, r.olabel): round(math.exp(-r.weight), 6) for r in automata.posteriors_over(base, shape, match).arcs.collect()}
+    assert weights("pairs") == {(1, 7): 0.333333, (2, 7): 0.666667}
+    assert weights("input") == {(1, 7): 0.5, (2, 7): 0.5}
+
+
+def all_paths(lattices):
+    """(input labels, output labels) without epsilons -> cost of each path, of the first lattice."""
+    row = lattices.rows.first()
+    out, todo = [], [(row.start, 0.0, (), ())] if row and row.start is not None else []
+    while todo:
+        s, w, i, o = todo.pop()
+        if row.finals[s] < math.inf:
+            out.append((i, o, w + row.finals[s]))
+        for a in row.arcs:
+            if a.src == s:
+                todo.append((a.dst, w + a.weight, i + (a.ilabel,) * (a.ilabel != 0), o + (a.olabel,) * (a.olabel != 0)))
+    return sorted(out)
+
+
+def same_paths(found, want):
+    return [p[:2] for p in found] == [p[:2] for p in want] and all(abs(p[2] - q[2]) < 1e-9 for p, q in zip(found, want, strict=True))
+
+
+def composed_by_hand(left, right):
+    """Pairs of paths whose labels in the middle are equal."""
+    return sorted((i, o, w + v) for i, x, w in left for y, o, v in right if x == y)
+
+
+def test_composition(spark, monkeypatch):
+    """Epsilons on both sides, at the ends and in a row: each pair of paths once; a machine of its own for each lattice."""
+    left = build(spark, [(0, 1, 1, 5, 0.5), (0, 1, 2, 0, 0.5), (1, 2, 3, 0, 0.4), (1, 2, 4, 6, 0.6), (2, 3, 5, 5, 0.7), (2, 3, 0, 0, 0.3)], 3)
+    right = build(spark, [(0, 1, 0, 8, 0.9), (0, 1, 5, 7, 0.8), (1, 2, 6, 0, 0.7), (1, 2, 0, 9, 0.6), (2, 3, 5, 1, 0.5), (2, 3, 0, 0, 0.4), (0, 2, 5, 4, 0.3)], 3)
+    want = composed_by_hand(all_paths(left), all_paths(right))
+    made = composition.compose(left, composition.Automaton.like(right))
+    assert want and same_paths(all_paths(made), want)
+    arcs = right.arcs.select("src", "dst", "ilabel", "olabel", "weight")
+    shared = composition.Automaton(arcs, right.states.drop("lattice_id"))
+    assert same_paths(all_paths(composition.compose(left, shared)), want)
+    monkeypatch.setattr(composition, "FEW_ARCS", 0)
+    assert same_paths(all_paths(composition.compose(left, shared)), want)
+    none = composition.Automaton(arcs.filter("ilabel = 77"), right.states.drop("lattice_id"))
+    assert paths.summary(composition.compose(left, none)).count() == 0
+
+
+def test_composition_with_cycles_and_sigma(spark, eps_dag):
+    """Sigma counts labels as set_length does, in a loop of two states: an even number of labels."""
+    arcs = spark.createDataFrame([(0, 1, -2, -2, 0.0), (1, 0, -2, -2, 0.0)], "src int, dst int, ilabel int, olabel int, weight double")
+    states = spark.createDataFrame([(0, 0.0, True), (1, math.inf, False)], "state int, final double, is_start boolean")
+    made = composition.compose(eps_dag, composition.Automaton(arcs, states))
+    assert same_paths(all_paths(made), [p for p in all_paths(eps_dag) if len(p[1]) % 2 == 0])
+    silent = spark.createDataFrame([(0, 1, 0, 1, 0.0), (1, 0, 0, 1, 0.0)], "src int, dst int, ilabel int, olabel int, weight double")
+    with pytest.raises(ValueError):
+        composition.compose(eps_dag, composition.Automaton(silent, states))
+
+
 def test_prefix_taken_on(spark, eps_dag):
     prefixes = lambda *p: spark.createDataFrame([(1, list(p))], "lattice_id long, prefix array<int>")
     shown = lambda df: sorted((r.word, round(r.cost, 6), round(r.weight, 6), tuple(r.features)) for r in df.collect())
