@@ -31,10 +31,24 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0))
 
 
-def clashing(norm: DataFrame) -> list[int]:
-    """Identifiers that different chunks of column ``norm`` share."""
+def clashing(norm: DataFrame) -> DataFrame:
+    """id: identifiers that different chunks of column ``norm`` share."""
     distinct = norm.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(F.xxhash64("chunk").alias("id"), "chunk").distinct()
-    return [r.id for r in distinct.groupBy("id").count().filter("count > 1").select("id").limit(MOST_CLASHES + 1).collect()]
+    return cut(distinct.groupBy("id").count().filter("count > 1").select("id"))
+
+
+def _with_unsure(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``unsure``, the chunks of each text whose identifiers others share, which then belong to the recipe."""
+    clashes = clashing(rows)
+    few = [r.id for r in clashes.limit(MOST_CLASHES + 1).collect()]
+    if len(few) <= MOST_CLASHES:
+        own = F.filter(chunks(F.col("norm")), lambda c: F.xxhash64(c).isin(few)) if few else F.array().cast("array<string>")
+        return rows.withColumn("unsure", own)
+    # too many for a literal of the plan: joined, and gathered by text
+    parts = rows.select("text_sha256", "norm").distinct().select("text_sha256", F.posexplode(chunks(F.col("norm"))).alias("at", "chunk"))
+    parts = parts.withColumn("id", F.xxhash64("chunk")).join(clashes, "id", "left_semi")
+    unsure = parts.groupBy("text_sha256").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk"))), lambda p: p["chunk"]).alias("unsure"))
+    return rows.join(unsure, "text_sha256", "left").withColumn("unsure", F.coalesce("unsure", F.array().cast("array<string>")))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -48,22 +62,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     ignored.
     """
     rows = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n"), normalised(F.col("text")).alias("norm"))
-    clashes = clashing(rows)
-    if len(clashes) > MOST_CLASHES:
-        raise ValueError("too many chunks share an identifier by chance")
-    # of chunks whose identifier clashes the text itself belongs to the recipe
-    unsure = (
-        F.filter(chunks(F.col("norm")), lambda c: F.xxhash64(c).isin(clashes)) if clashes else F.array().cast("array<string>")
-    )
-    recipes = cut(
-        rows.select(
-            "doc_id",
-            "n",
-            F.transform(chunks(F.col("norm")), lambda c: F.xxhash64(c)).alias("recipe"),
-            unsure.alias("unsure"),
-            F.sha2("norm", 256).alias("text_sha256"),
-        )
-    )
+    rows = _with_unsure(rows.withColumn("text_sha256", F.sha2("norm", 256)))
+    recipe = F.transform(chunks(F.col("norm")), lambda c: F.xxhash64(c)).alias("recipe")
+    recipes = cut(rows.select("doc_id", "n", recipe, "unsure", "text_sha256"))
     groups = cut(
         recipes.groupBy("recipe", "unsure").agg(
             F.min(F.struct((-F.col("n")).alias("n"), "doc_id")).alias("best"), F.count("*").alias("group_size")

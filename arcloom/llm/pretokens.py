@@ -2,7 +2,8 @@
 
 A byte-pair tokenizer treats each pre-token by itself, and few distinct
 pre-tokens make up most of a text, so a worker keeps the ids of the pre-tokens
-it has met.  A cache is emptied when it reaches its bound.
+it has met.  A cache is emptied when it reaches its bound, and holds no long pre-token:
+a text without spaces is one.
 """
 
 from __future__ import annotations
@@ -14,14 +15,20 @@ import re
 _STRANGE = re.compile(r"[^\t\n\x0b\x0c\r\x20-\x7e\xa1-ſ‐-‧‰-⁞]")
 
 
+#: a pre-token of more characters is seldom met again; entries up to it bound a cache in bytes too
+LONGEST = 128
+
+
 class Cache(dict):
-    """pre-token -> value, made on a miss; emptied beyond ``bound`` entries."""
+    """pre-token -> value, made on a miss; emptied beyond ``bound`` entries, of LONGEST characters at most."""
 
     def __init__(self, make, bound: int):
         super().__init__()
         self.make, self.bound = make, bound
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.bound:
             self.clear()
         value = self[key] = self.make(key)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import small
-from arcloom.llm.pretokens import Cache
+from arcloom.llm.pretokens import LONGEST, Cache
 
 PRE_TOKEN = re.compile("▁*[^▁]+|▁+")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -75,7 +75,7 @@ def frequent_lengths(docs: DataFrame, model: str, sample: int, size: int) -> dic
             yield pa.RecordBatch.from_pydict({"w": found})
 
     top = (
-        some.mapInArrow(words, "w string").groupBy("w").count().filter("count > 1")
+        some.mapInArrow(words, "w string").filter(F.char_length("w") <= LONGEST).groupBy("w").count().filter("count > 1")
         .orderBy(F.desc("count"), "w").limit(size)
     )
     rare = _rare(model, 1)
@@ -90,7 +90,7 @@ def count_tokens(
     ``docs`` needs doc_id and text; other columns are not read.  A null text
     counts as empty (0 bytes, 0 tokens); repeated rows give repeated results;
     an empty table gives an empty one.  The broadcast table holds ``table_size``
-    entries at most, a worker's cache ``cache_size``.
+    entries at most, a worker's cache ``cache_size``, none of more than LONGEST characters.
     """
     sc = docs.sparkSession.sparkContext
     table = sc.broadcast(frequent_lengths(docs, model, sample, table_size))

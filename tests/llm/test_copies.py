@@ -118,7 +118,9 @@ def test_exact_copies(spark):
     assert exact_dedup.exact_dedup(table(spark, [])).count() == 0
 
 
-def test_exact_copies_when_identifiers_clash(spark, monkeypatch):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_exact_copies_when_identifiers_clash(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "MOST_CLASHES", most)
     real = exact_dedup.F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: real(exact_dedup.F.lit(1)))
     got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(table(spark, [(1, "ab"), (2, "cd"), (3, "a b"), (4, "cd")])).collect()}
