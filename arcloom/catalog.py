@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from arcloom.functions import semiring
 from arcloom.functions.text import tokenize
 from arcloom.lattice import with_fields
-from arcloom.operators import automata, composition, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
+from arcloom.operators import automata, composition, confusion, distance, edit_distance, filters, frames, labelling, normalise, paths, structure
 from arcloom.session import ship
-from arcloom.sources import derive, text_lattices
+from arcloom.sources import automata_files, derive, text_lattices
 
 DIGITS = 6
 #: for shares of whole quantities, of which some end in 5 at the seventh digit
@@ -139,6 +139,47 @@ def d6(spark, d):
     return rounded(paths.k_best(lattice(spark, d), 4).select("lattice_id", "rank", "cost"), "cost")
 
 
+def _shown_paths(found: DataFrame, first: int) -> DataFrame:
+    """Ranks to ``first`` with hyp and each score times its place; a path as cheap as a neighbour shows neither, as
+    engines may order the two differently."""
+    by_rank = Window.partitionBy("lattice_id").orderBy("rank")
+    alone = F.coalesce(F.col("cost") - F.lag("cost").over(by_rank) > 1e-7, F.lit(True)) & F.coalesce(F.lead("cost").over(by_rank) - F.col("cost") > 1e-7, F.lit(True))
+    places = F.aggregate(F.transform("scores", lambda s, i: s * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    shown = found.withColumn("alone", alone).filter(F.col("rank") <= first)
+    hyp = F.when(F.col("alone"), F.array_join(F.transform("hyp", lambda x: x.cast("string")), " ")).otherwise("")
+    return rounded(shown.select("lattice_id", "rank", "cost", hyp.alias("hyp"), F.when(F.col("alone"), places).otherwise(0.0).alias("places")), "cost", "places")
+
+
+_SHOWN = """, label AS (SELECT p.lattice_id, p.ids, p.w, {hyp} AS hyp, sum(a.weight * list_position(p.ids, a.arc_id)) AS places
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY p.lattice_id, p.ids, p.w),
+best AS (SELECT * FROM label {unique}),
+around AS (SELECT *, row_number() OVER by_cost AS rank, coalesce(w - lag(w) OVER by_cost > 1e-7, true) AND coalesce(lead(w) OVER by_cost - w > 1e-7, true) AS alone
+  FROM best WINDOW by_cost AS (PARTITION BY lattice_id ORDER BY w, ids))
+SELECT lattice_id, CAST(rank AS INT) AS rank, {w} AS cost, CASE WHEN alone THEN hyp ELSE '' END AS hyp, {places} AS places FROM around WHERE rank <= {first}"""
+_HYP = "string_agg(a.olabel::VARCHAR, ' ' ORDER BY list_position(p.ids, a.arc_id))"
+
+
+def _shown_sql(first: int, unique: str = "") -> str:
+    return LATTICE + _SHOWN.format(hyp=_HYP, unique=unique, w=r("w"), places=r("CASE WHEN alone THEN places ELSE 0 END"), first=first)
+
+
+@query("d4_shortest_path_labels", _shown_sql(1))
+def d4_labels(spark, d):
+    """Labels and scores of the best path, where the second is not as cheap."""
+    return _shown_paths(paths.k_best(lattice(spark, d), 2), 1)
+
+
+@query("d6_k_best_paths", _shown_sql(4))
+def d6_paths(spark, d):
+    return _shown_paths(paths.k_best(lattice(spark, d), 5), 4)
+
+
+@query("d6_k_best_unique", _shown_sql(4, "QUALIFY row_number() OVER (PARTITION BY lattice_id, hyp ORDER BY w, ids) = 1"))
+def d6_unique(spark, d):
+    """Of paths with the same labels, by skips or without, the best only."""
+    return _shown_paths(paths.k_best(lattice(spark, d), 5, unique=True), 4)
+
+
 @query("d7_path_count", LATTICE + "SELECT lattice_id, CAST(n AS DOUBLE) AS paths FROM mass")
 def d7(spark, d):
     return paths.path_count(lattice(spark, d))
@@ -238,6 +279,29 @@ def i5(spark, d):
     return rounded(normalise.mutual_information(normalise.normalize(sausage(spark, d))), "value")
 
 
+#: sums over prefixes of paths and the arcs that follow them, by the labels that either holds, of the normalised lattice
+_GIVEN = LATTICE + """, norm AS (SELECT a.lattice_id, a.arc_id, a.src, exp(-a.weight) * t.b / h.b AS p FROM arcs a
+  JOIN beta h ON h.lattice_id = a.lattice_id AND h.state = a.src JOIN beta t ON t.lattice_id = a.lattice_id AND t.state = a.dst),
+pairs AS (SELECT s.lattice_id, list_append(s.ids, n.arc_id) AS ids, exp(-s.w) * b.b / m.m * n.p * ln(n.p) AS e
+  FROM steps s JOIN beta b USING (lattice_id, state) JOIN mass m USING (lattice_id) JOIN norm n ON n.lattice_id = s.lattice_id AND n.src = s.state),
+whole AS (SELECT lattice_id, sum(e) AS t FROM pairs GROUP BY 1),
+held AS (SELECT lattice_id, e, unnest(ids) AS arc_id FROM pairs),
+by_label AS (SELECT lattice_id, ilabel, olabel, sum(e) AS e FROM held JOIN arcs USING (lattice_id, arc_id) GROUP BY 1, 2, 3),
+share AS (SELECT lattice_id, ilabel, olabel, sum(through) / any_value(m) AS p FROM post JOIN mass USING (lattice_id) GROUP BY 1, 2, 3),
+given AS (SELECT *, t - sum(e) OVER (PARTITION BY lattice_id, ilabel) + e AS h FROM by_label JOIN share USING (lattice_id, ilabel, olabel) JOIN whole USING (lattice_id))
+"""
+
+
+@query("i4_conditional_entropy_with_skips", _GIVEN + f"SELECT lattice_id, CAST(ilabel AS INT) AS ilabel, {r('sum(p * h)')} AS value FROM given GROUP BY 1, 2")
+def i4_skips(spark, d):
+    return rounded(normalise.conditional_entropy(normalise.normalize(lattice(spark, d))), "value")
+
+
+@query("i5_mutual_information_with_skips", _GIVEN + f"SELECT lattice_id, CAST(ilabel AS INT) AS ilabel, {r('sum(p * (h - ln(p)))')} AS value FROM given GROUP BY 1, 2")
+def i5_skips(spark, d):
+    return rounded(normalise.mutual_information(normalise.normalize(lattice(spark, d))), "value")
+
+
 @_measure("i6_conditional_expected_accuracy", "b_all - best + 1", SHARE_DIGITS)
 def i6(spark, d):
     return rounded(normalise.conditional_expected_accuracy(normalise.normalize(sausage(spark, d))), "value", digits=SHARE_DIGITS)
@@ -334,6 +398,28 @@ def k2(spark, d):
     return rounded(distance.frame_distances(base.arcs, base.states), "alpha")
 
 
+def _levelled(spark, d) -> frames.Levelled:
+    base = lattice(spark, d)
+    return frames.Levelled(base.arcs, base.states)
+
+
+@query("d1_frames_forward_backward", ORACLES["d1_forward_backward"])
+def d1_frames(spark, d):
+    """Both distances level by level, whatever the sizes."""
+    by_level = _levelled(spark, d)
+    return rounded(by_level.forward().join(by_level.backward(), ["lattice_id", "state"]), "alpha", "beta")
+
+
+@query("n1_frames_normalize", ORACLES["n1_normalize"])
+def n1_frames(spark, d):
+    return rounded(_levelled(spark, d).normalize()[0].select(*ARC_COLUMNS), "weight")
+
+
+@query("n2_frames_posteriors", ORACLES["n2_normalize_posteriors"])
+def n2_frames(spark, d):
+    return rounded(_levelled(spark, d).posteriors().select(*ARC_COLUMNS), "weight")
+
+
 @query("c2_confusion_network", LATTICE + f""", words AS (SELECT p.lattice_id, exp(-p.w) AS e, g.k AS position, list_extract(p.ids, g.k) AS arc_id
   FROM paths p, (SELECT unnest(range(1, 20)) AS k) g WHERE g.k <= len(p.ids)),
 cells AS (SELECT w.lattice_id, w.position, CAST(a.ilabel AS INT) AS label, sum(e) AS s FROM words w JOIN arcs a USING (lattice_id, arc_id) GROUP BY 1, 2, 3
@@ -377,6 +463,19 @@ def s5(spark, d):
     return _read_back(text_lattices.parse_thot(text_lattices.to_thot_text(_named(lattice(spark, d)))))
 
 
+@query("s8_o4_binary_round_trip", LATTICE + f"SELECT {_ARC}, {r('weight::FLOAT::DOUBLE')} AS weight FROM arcs")
+def s8_binary(spark, d):
+    """Written as binary files and decoded; costs of single precision."""
+    return _arcs(automata_files.parse_binary(automata_files.to_binary(lattice(spark, d))))
+
+
+@query("s8_arc_lines_round_trip", LATTICE + f"SELECT lattice_id, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, CAST(ilabel AS INT) AS ilabel, olabel, {r('weight')} AS weight FROM arcs")
+def s8_lines(spark, d):
+    """Written as lines and read from them, each line by itself."""
+    arcs, _ = automata_files.line_frames(text_lattices.arc_lines(lattice(spark, d)))
+    return rounded(arcs, "weight")
+
+
 @query("t1_split_symbols", LATTICE + f"""SELECT lattice_id, m.n AS paths, {r('-ln(m.m)')} AS mass, count(*) FILTER (WHERE true) AS n_arcs FROM (
   SELECT lattice_id, src, olabel, 0 AS k, -1 AS dst FROM arcs GROUP BY ALL UNION ALL SELECT lattice_id, src, olabel, 1 AS k, dst FROM arcs) JOIN mass m USING (lattice_id) GROUP BY ALL""")
 def t1(spark, d):
@@ -429,6 +528,50 @@ def o3(spark, d):
     return rounded(paths.summary(structure.add_start_end(lattice(spark, d), 98, 99)).drop("n_arcs"), "mass")
 
 
+def _plain_arcs(lattices) -> DataFrame:
+    return rounded(lattices.arcs.select("lattice_id", "src", "dst", "ilabel", "olabel", "weight"), "weight")
+
+
+_INTS = "CAST({} AS INT) AS {}"
+_ENDS = "lattice_id, " + _INTS.format("{src}", "src") + ", " + _INTS.format("{dst}", "dst")
+_LABELS = _INTS.format("ilabel", "ilabel") + f", olabel, {r('weight')} AS weight"
+
+
+@query(
+    "o3_add_start_end_arcs",
+    LATTICE
+    + f"SELECT {_ENDS.format(src='src + 1', dst='dst + 1')}, {_LABELS} FROM arcs UNION ALL SELECT lattice_id, 0, 1, 98, 98, 0.0 FROM fin"
+    + f" UNION ALL SELECT {_ENDS.format(src='state + 1', dst='state + 2')}, 99, 99, 0.0 FROM fin",
+)
+def o3_arcs(spark, d):
+    return _plain_arcs(structure.add_start_end(lattice(spark, d), 98, 99))
+
+
+@query(
+    "t2_reverse_arcs",
+    LATTICE
+    + f"SELECT {_ENDS.format(src='state + 1 - dst', dst='state + 1 - src')}, {_LABELS} FROM arcs JOIN fin USING (lattice_id) UNION ALL SELECT lattice_id, 0, 1, 0, 0, 0.0 FROM fin",
+)
+def t2_arcs(spark, d):
+    return _plain_arcs(structure.reverse(lattice(spark, d)))
+
+
+@query(
+    "t9_output_symbols_by_depth_even",
+    SAUSAGE + "SELECT lattice_id, CAST(src AS INT) AS position, count(DISTINCT olabel) AS n, sum(DISTINCT olabel)::DOUBLE AS total FROM arcs GROUP BY 1, 2",
+)
+def t9_even(spark, d):
+    """Of lattices whose paths are equally long."""
+    found = structure.output_symbols_by_depth(sausage(spark, d))
+    total = F.aggregate("labels", F.lit(0).cast("long"), lambda t, x: t + x)
+    return found.select("lattice_id", "position", F.size("labels").cast("long").alias("n"), total.cast("double").alias("total"))
+
+
+@query("t10_sequence_length_even", SAUSAGE + "SELECT lattice_id, CAST(state AS INT) AS length FROM fin")
+def t10_even(spark, d):
+    return paths.sequence_length(sausage(spark, d))
+
+
 @query("f3_constraints", LATTICE + f""", want AS (SELECT lattice_id, max(olabel) AS m FROM arcs WHERE src = 0 GROUP BY 1)
 SELECT p.lattice_id, count(*) AS paths, {r('-ln(sum(exp(-w)))')} AS mass FROM paths p JOIN want USING (lattice_id)
 WHERE NOT EXISTS (SELECT 1 FROM arcs a WHERE a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) AND a.ilabel = 1 AND a.olabel <> want.m)

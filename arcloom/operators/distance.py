@@ -1,9 +1,8 @@
 """Semiring distances: the kernel of most lattice operators.
 
 ``forward`` and ``backward`` are folds over a lattice's arcs in the order of
-their end states, for the many lattices that fit a row.  ``level_distances``
-takes lattices as relational frames instead, one join and aggregation per
-level, for lattices too large for that (see plans/kernels.py).
+their end states, for the many lattices that fit a row.  Lattices too large for
+that are taken as frames, one join and aggregation per level (operators/frames.py; see plans/kernels.py).
 """
 
 from __future__ import annotations
@@ -13,21 +12,34 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.functions.semiring import let, log_sum
+from arcloom.functions.semiring import entropy_term, let, log_sum
 from arcloom.lattice import Lattices, inlined
+from arcloom.operators.frames import Levelled
 from arcloom.plans.kernels import plan_kernel, shape
-from arcloom.session import cut
 
 
-def fold(arcs: Column, seeds: Column, semiring: str = "log") -> Column:
-    """Distances d with d[t] = seeds[t] + sum over arcs s -> t of d[s] times weight;
-    ``arcs`` are ordered by dst and lead to larger numbers.  The semiring ``count``
-    counts paths and reads no weights.
+def _total(n: Column) -> Column:
+    return F.aggregate(n, F.lit(0.0), lambda t, x: t + x)
+
+
+def _expected(d: Column, a: Column) -> Column:
+    """Of an expectation semiring: p ln p of the arc, and p of what follows it."""
+    return entropy_term(a["weight"], F.lit(0.0)) + F.exp(-a["weight"]) * d
+
+
+#: by name: the sum of an array, and what a distance becomes along an arc.  ``count`` counts paths and reads no weights;
+#: ``entropy`` sums p ln p over arcs, each weighted by the paths to it; ``label`` has the greatest input label, negated
+SEMIRINGS = {
+    "log": (log_sum, lambda d, a: d + a["weight"]),
+    "tropical": (F.array_min, lambda d, a: d + a["weight"]),
+    "count": (_total, lambda d, a: d),
+    "entropy": (_total, _expected),
+    "label": (F.array_min, lambda d, a: -a["ilabel"].cast("double")),
+}
 
-    One step for each state that arcs lead to, of all of its arcs, so the array of
-    distances grows by a copy for a state and not by one for an arc."""
-    total = {"log": log_sum, "tropical": F.array_min, "count": lambda n: F.aggregate(n, F.lit(0.0), lambda t, x: t + x)}[semiring]
-    times = (lambda d, a: d) if semiring == "count" else (lambda d, a: d + a["weight"])
+
+def by_end(arcs: Column) -> Column:
+    """The places lo..hi-1 of each run of arcs with one end state."""
 
     def runs(first: Column) -> Column:
         return F.transform(first, lambda lo, k: F.struct(lo.alias("lo"), F.coalesce(F.get(first, k + 1), F.size(arcs)).alias("hi")))
@@ -35,6 +47,16 @@ def fold(arcs: Column, seeds: Column, semiring: str = "log") -> Column:
     heads = F.filter(
         F.transform(arcs, lambda a, i: F.when((i == 0) | (F.get(arcs, i - 1)["dst"] != a["dst"]), i)), lambda i: i.isNotNull()
     )
+    return let(heads, runs)
+
+
+def fold(arcs: Column, seeds: Column, semiring: str = "log") -> Column:
+    """Distances d with d[t] = seeds[t] + sum over arcs s -> t of d[s] times weight;
+    ``arcs`` are ordered by dst and lead to larger numbers.  ``semiring`` is one of SEMIRINGS.
+
+    One step for each state that arcs lead to, of all of its arcs, so the array of
+    distances grows by a copy for a state and not by one for an arc."""
+    total, times = SEMIRINGS[semiring]
 
     def step(done: Column, run: Column) -> Column:
         state, have = F.get(arcs, run["lo"])["dst"], F.size(done)
@@ -45,7 +67,7 @@ def fold(arcs: Column, seeds: Column, semiring: str = "log") -> Column:
         )
         return F.concat(done, F.slice(seeds, have + 1, state - have), F.array(total(F.concat(costs, F.array(F.get(seeds, state))))))
 
-    done = F.aggregate(let(heads, runs), F.array().cast("array<double>"), step)
+    done = F.aggregate(by_end(arcs), F.array().cast("array<double>"), step)
     return let(done, lambda d: F.concat(d, F.slice(seeds, F.size(d) + 1, F.size(seeds))))
 
 
@@ -92,30 +114,9 @@ def mass(lattices: Lattices, semiring: str = "log") -> DataFrame:
     return lattices.rows.select("lattice_id", F.get(beta, F.col("start")).alias("mass"))
 
 
-def level_distances(arcs: DataFrame, states: DataFrame, levels: int, semiring: str = "log", cut=lambda df: df.checkpoint()) -> DataFrame:
-    """lattice_id, state, alpha for lattices given as frames, level by level.
-
-    ``states`` has lattice_id, state, level (longest path from the start) and
-    is_start.  Every level is a join of the states reached so far with the
-    arcs that end on it and an aggregation; the states done are written every
-    tenth level, so that plans stay short.
-    """
-    arcs = arcs.join(states.select("lattice_id", F.col("state").alias("dst"), F.col("level").alias("at")), ["lattice_id", "dst"])
-    done = states.filter("is_start").select("lattice_id", "state", F.lit(0.0).alias("alpha"))
-    for level in range(1, levels + 1):
-        steps = arcs.filter(F.col("at") == level).join(done.withColumnRenamed("state", "src"), ["lattice_id", "src"])
-        cost = F.col("alpha") + F.col("weight")
-        if semiring == "tropical":
-            reached = steps.groupBy("lattice_id", "dst").agg(F.min(cost).alias("alpha"))
-        else:
-            least = F.min(cost).over(_by_state())
-            reached = steps.select("lattice_id", "dst", cost.alias("c"), least.alias("m")).groupBy("lattice_id", "dst").agg(
-                (F.first("m") - F.log(F.sum(F.exp(F.col("m") - F.col("c"))))).alias("alpha")
-            )
-        done = done.union(reached.withColumnRenamed("dst", "state"))
-        if level % 10 == 0:
-            done = cut(done)
-    return done
+def level_distances(arcs: DataFrame, states: DataFrame, levels: int, semiring: str = "log") -> DataFrame:
+    """lattice_id, state, alpha of the states up to level ``levels``, for states that have their level."""
+    return Levelled(arcs, states.filter(F.col("level") <= levels)).forward(semiring)
 
 
 def frame_distances(arcs: DataFrame, states: DataFrame, semiring: str = "log") -> DataFrame:
@@ -124,29 +125,4 @@ def frame_distances(arcs: DataFrame, states: DataFrame, semiring: str = "log") -
     if plan_kernel(shape(arcs)) == "fold":
         found = distances(Lattices.from_frames(arcs, states), semiring).select("lattice_id", "state", "alpha")
         return found.filter(F.col("alpha") < math.inf)
-    levels = _levels(arcs, states)
-    last = levels.agg(F.max("level")).first()[0] or 0
-    return level_distances(arcs, levels, last, semiring, cut)
-
-
-def _levels(arcs: DataFrame, states: DataFrame) -> DataFrame:
-    """The states that the start reaches, with ``level``, the most arcs on a path to them: round by round
-    the states that arcs reach move on, until none does."""
-    links = cut(arcs.select("lattice_id", "src", "dst").distinct())
-    done = reached = cut(states.filter("is_start").select("lattice_id", "state", F.lit(0).alias("level")))
-    level = 0
-    while True:
-        level += 1
-        step = links.join(reached.withColumnRenamed("state", "src"), ["lattice_id", "src"])
-        reached = cut(step.select("lattice_id", F.col("dst").alias("state"), F.lit(level).alias("level")).distinct())
-        if not reached.head(1):
-            break
-        done = cut(done.unionByName(reached).groupBy("lattice_id", "state").agg(F.max("level").alias("level")))
-    starts = states.select("lattice_id", "state", "is_start")
-    return cut(done.join(starts, ["lattice_id", "state"]))
-
-
-def _by_state():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lattice_id", "dst")
+    return Levelled(arcs, states).forward(semiring)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arcloom.functions.semiring import entropy_term, let, log_plus, log_sum, plus, power_scale, without_weight
 from arcloom.functions.text import hamming
 from arcloom.lattice import Lattices, inlined, lattice, with_fields
-from arcloom.operators.distance import backward, forward
+from arcloom.operators.distance import backward, fold, forward
 from arcloom.operators.filters import connect
 from arcloom.operators.paths import best_logprob, position_probabilities, shortest_path
 
@@ -140,15 +140,73 @@ def _over_hypotheses(rows: DataFrame, value: Column) -> DataFrame:
     return rows.withColumn("v", F.col("p") * value).groupBy("lattice_id", F.col("l").alias("ilabel")).agg(F.sum("v").alias("value"))
 
 
+def _entropies_given_labels(lattices: Lattices) -> DataFrame:
+    """lattice_id, ilabel, entropy, surprise: by position, the mean signed entropy of the lattice given the label there,
+    and the sum of p ln p of its labels.
+
+    Where no path has two arcs of a position, one pass each way does: with a[s] the mass that reaches a state and G[s] the
+    sum of p ln p over what follows it (an expectation semiring), arc b is part of C(b) = a (p ln p + p G) of the whole
+    sum G[start], and the lattice whose arcs of position l other than m are taken out keeps G[start] less C of all arcs of l
+    plus C of those with m.  Work is linear in arcs.  Other lattices are masked, label by label, within their row.
+    """
+    n = F.size("finals")
+    none = F.transform("finals", lambda f: F.lit(math.inf))
+    known = F.struct(
+        forward(F.col("arcs"), F.col("start"), n).alias("alpha"),
+        backward(F.col("arcs"), F.col("finals")).alias("beta"),
+        let(F.transform("finals", lambda f: entropy_term(f, F.lit(0.0))), lambda e: backward(F.col("arcs"), e, "entropy")).alias("follows"),
+        let(none, lambda z: fold(F.col("arcs"), z, "label")).alias("label"),
+    )
+
+    def p_of(d: Column, a: Column) -> Column:
+        return F.exp(F.get(d["beta"], F.col("start")) - F.get(d["alpha"], a["src"]) - a["weight"] - F.get(d["beta"], a["dst"]))
+
+    def part(d: Column, a: Column) -> Column:
+        return F.struct(
+            a["ilabel"].alias("ilabel"),
+            a["olabel"].alias("olabel"),
+            p_of(d, a).alias("p"),
+            (entropy_term(a["weight"], F.get(d["alpha"], a["src"])) + F.exp(-F.get(d["alpha"], a["src"]) - a["weight"]) * F.get(d["follows"], a["dst"])).alias("part"),
+            F.get(d["follows"], F.col("start")).alias("whole"),
+            F.lit(None).cast("double").alias("masked"),
+        )
+
+    def masked(d: Column, k: Column) -> Column:
+        own = F.filter("arcs", lambda a: (a["ilabel"] == k["ilabel"]) & (a["olabel"] == k["olabel"]))
+        left = F.filter("arcs", lambda a: (a["ilabel"] != k["ilabel"]) | (a["olabel"] == k["olabel"]))
+        return F.struct(
+            k["ilabel"].alias("ilabel"),
+            k["olabel"].alias("olabel"),
+            F.aggregate(own, F.lit(0.0), lambda t, a: t + p_of(d, a)).alias("p"),
+            F.lit(0.0).alias("part"),
+            F.lit(0.0).alias("whole"),
+            neg_entropy_of(left, F.col("start"), F.col("finals")).alias("masked"),
+        )
+
+    def parts(d: Column) -> Column:
+        alive = F.filter("arcs", lambda a: a["weight"] < math.inf)
+        # labels that grow along every path: the greatest of the arcs into a state is below all that leave it
+        once = F.forall("arcs", lambda a: (a["ilabel"] > 0) & ((F.get(d["label"], a["src"]) == math.inf) | (a["ilabel"] > -F.get(d["label"], a["src"]))))
+        labels = F.array_distinct(F.transform(alive, lambda a: F.struct(a["ilabel"].alias("ilabel"), a["olabel"].alias("olabel"))))
+        return F.when(once, F.transform(alive, lambda a: part(d, a))).otherwise(F.transform(labels, lambda k: masked(d, k)))
+
+    found = inlined(lattices.rows, let(known, parts), "ilabel")
+    by_label = found.groupBy("lattice_id", "ilabel", "olabel").agg(F.sum("p").alias("p"), F.sum("part").alias("part"), F.max("whole").alias("whole"), F.max("masked").alias("masked"))
+    p = F.col("p")
+    linear = (F.max("whole") - F.sum("part")) * F.sum("p") + F.sum(p * F.col("part"))
+    return by_label.groupBy("lattice_id", "ilabel").agg(
+        F.coalesce(F.sum(p * F.col("masked")), linear).alias("entropy"), F.sum(F.when(p > 0, p * F.log(p)).otherwise(0.0)).alias("surprise")
+    )
+
+
 def conditional_entropy(lattices: Lattices) -> DataFrame:
     """lattice_id, ilabel, value: mean signed entropy of the lattice given the label
     at the position, masked lattices not renormalised."""
-    return _over_hypotheses(hypotheses(lattices), neg_entropy_of(F.col("arcs"), F.col("start"), F.col("finals")))
+    return _entropies_given_labels(lattices).select("lattice_id", "ilabel", F.col("entropy").alias("value"))
 
 
 def mutual_information(lattices: Lattices) -> DataFrame:
-    value = neg_entropy_of(F.col("arcs"), F.col("start"), F.col("finals")) - F.log("p")
-    return _over_hypotheses(hypotheses(lattices), value)
+    return _entropies_given_labels(lattices).select("lattice_id", "ilabel", (F.col("entropy") - F.col("surprise")).alias("value"))
 
 
 def conditional_expected_shortest_path(lattices: Lattices) -> DataFrame:

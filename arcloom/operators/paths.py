@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
 from arcloom.lattice import EPSILON, Lattices, inlined
-from arcloom.operators.distance import backward, forward
+from arcloom.operators.distance import backward, by_end, forward
 
-PATH = "array<struct<cost:double,ids:array<bigint>,hyp:array<int>,scores:array<double>>>"
+#: a path while it is searched: its cost, its arcs' ids, which settle ties, their places, and its labels where those count
+PATH = "array<struct<cost:double,ids:array<bigint>,at:array<int>,hyp:array<int>>>"
 
 
 def _k_best(arcs: Column, start: Column, finals: Column, k: int, unique: bool) -> Column:
-    """The k cheapest complete paths, ties by their arc ids from the start."""
+    """The k cheapest complete paths, ties by their arc ids from the start.
+
+    One step for each state that arcs lead to, of all of its arcs: a state keeps its k best, and labels and scores
+    are read from the arcs at the end."""
 
     def shortest(paths: Column) -> Column:
         ordered = F.sort_array(paths)
@@ -28,40 +32,53 @@ def _k_best(arcs: Column, start: Column, finals: Column, k: int, unique: bool) -
             )
         return F.slice(ordered, F.lit(1), F.lit(k))
 
-    def extended(paths: Column, a: Column) -> Column:
-        return F.transform(
+    def extended(paths: Column, a: Column, at: Column) -> Column:
+        longer = F.transform(
             paths,
             lambda p: F.struct(
                 (p["cost"] + a["weight"]).alias("cost"),
                 F.concat(p["ids"], F.array(a["arc_id"])).alias("ids"),
-                F.concat(p["hyp"], F.array(a["olabel"])).alias("hyp"),
-                F.concat(p["scores"], F.array(a["weight"])).alias("scores"),
+                F.concat(p["at"], F.array(at)).alias("at"),
+                (F.concat(p["hyp"], F.array(a["olabel"])) if unique else p["hyp"]).alias("hyp"),
             ),
         )
+        return F.filter(longer, lambda p: p["cost"] < math.inf)
 
-    nothing = F.struct(
-        F.lit(0.0).alias("cost"),
-        F.array().cast("array<bigint>").alias("ids"),
-        F.array().cast("array<int>").alias("hyp"),
-        F.array().cast("array<double>").alias("scores"),
-    )
+    ints = F.array().cast("array<int>")
+    nothing = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<bigint>").alias("ids"), ints.alias("at"), ints.alias("hyp")))
     none = F.array().cast(PATH)
-    seeds = F.transform(F.sequence(F.lit(0), F.size(finals) - 1), lambda s: F.when(s == start, F.array(nothing)).otherwise(none))
-
-    def step(done: Column, a: Column) -> Column:
-        reached = F.filter(extended(F.get(done, a["src"]), a), lambda p: p["cost"] < math.inf)
-        return F.transform(done, lambda paths, s: F.when(s == a["dst"], shortest(F.concat(paths, reached))).otherwise(paths))
-
-    done = F.aggregate(arcs, seeds, step)
-    ended = F.zip_with(
-        done,
-        finals,
-        lambda paths, final: F.transform(
-            F.when(final < math.inf, paths).otherwise(none),
-            lambda p: F.struct((p["cost"] + final).alias("cost"), p["ids"], p["hyp"], p["scores"]),
-        ),
-    )
-    return shortest(F.flatten(ended).cast(PATH))
+
+    def seed(state: Column) -> Column:
+        return F.when(state == start, nothing.cast(PATH)).otherwise(none)
+
+    def step(done: Column, run: Column) -> Column:
+        state, have = F.get(arcs, run["lo"])["dst"], F.size(done)
+        own = F.slice(arcs, run["lo"] + 1, run["hi"] - run["lo"])
+        reached = F.transform(own, lambda a, i: extended(F.coalesce(F.get(done, a["src"]), seed(a["src"])), a, run["lo"] + i))
+        between = F.when(state > have, F.transform(F.sequence(have, state - 1), seed)).otherwise(F.array().cast(f"array<{PATH}>"))
+        return F.concat(done, between, F.array(shortest(F.concat(F.flatten(reached), seed(state)))))
+
+    done = F.aggregate(by_end(arcs), F.array().cast(f"array<{PATH}>"), step)
+
+    def complete(d: Column) -> Column:
+        every = F.transform(
+            finals,
+            lambda final, s: F.transform(
+                F.when(final < math.inf, F.coalesce(F.get(d, s), seed(s))).otherwise(none),
+                lambda p: F.struct((p["cost"] + final).alias("cost"), p["ids"].alias("ids"), p["at"].alias("at"), p["hyp"].alias("hyp")),
+            ),
+        )
+        return F.transform(
+            shortest(F.flatten(every).cast(PATH)),
+            lambda p: F.struct(
+                p["cost"].alias("cost"),
+                p["ids"].alias("ids"),
+                F.transform(p["at"], lambda i: F.get(arcs, i)["olabel"]).alias("hyp"),
+                F.transform(p["at"], lambda i: F.get(arcs, i)["weight"]).alias("scores"),
+            ),
+        )
+
+    return let(done, complete)
 
 
 def k_best(lattices: Lattices, k: int, unique: bool = False, weight_threshold: float | None = None) -> DataFrame:

@@ -1,15 +1,17 @@
 """Literal lattices with values calculated by hand."""
 
 import math
+import struct
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from arcloom.functions import semiring, text
 from arcloom.lattice import Lattices
-from arcloom.operators import automata, composition, confusion, distance, edit_distance, filters, labelling, normalise, paths, structure
+from arcloom.operators import automata, composition, confusion, distance, edit_distance, filters, frames, labelling, normalise, paths, structure
 from arcloom.plans.kernels import Shape, plan_kernel, shape
-from arcloom.sources import text_lattices
+from arcloom.sources import automata_files, text_lattices
 
 
 def build(spark, arcs, final, lattice_id=1, finals=None):
@@ -334,6 +336,51 @@ def test_frames_by_levels_as_by_fold(spark, query3, eps_dag, monkeypatch):
         assert all(abs(levels[k] - folded[k]) < 1e-9 for k in folded)
 
 
+def test_lattice_of_a_million_arcs_as_frames(spark):
+    """Eleven levels of 316 states, each joined to all of the next: distances, posteriors and normalisation by levels."""
+    import numpy as np
+
+    wide, deep = 316, 11
+    arcs = spark.range(wide * wide * (deep - 1)).selectExpr(
+        "1L AS lattice_id", f"CAST(id DIV {wide} AS INT) AS src", f"CAST((id DIV {wide * wide} + 1) * {wide} + id % {wide} AS INT) AS dst",
+        "1 AS ilabel", "2 AS olabel", "(id % 97 + 1) / 10.0D AS weight", "id AS arc_id",
+    )
+    states = spark.range(wide * deep).selectExpr("1L AS lattice_id", "CAST(id AS INT) AS state", f"IF(id >= {wide * (deep - 1)}, id % 3, double('inf')) AS final", "id = 0 AS is_start")
+    assert plan_kernel(shape(arcs)) == "levels"
+    weight = (np.arange(wide * wide * (deep - 1)) % 97 + 1).reshape(deep - 1, wide, wide) / 10.0
+    add = lambda x, axis: (m := x.min(axis)) - np.log(np.exp(np.expand_dims(m, axis) - x).sum(axis))
+    alpha = [np.where(np.arange(wide) == 0, 0.0, 1e9)]
+    for w in weight:
+        alpha.append(add(alpha[-1][:, None] + w, 0))
+    beta = [np.arange(wide * (deep - 1), wide * deep) % 3 * 1.0]
+    for w in weight[::-1]:
+        beta.insert(0, add(w + beta[0][None, :], 1))
+    by_level = frames.Levelled(arcs, states)
+    got = {r.state: r.beta for r in by_level.backward().collect()}
+    reached = [0, *range(wide, wide * deep)]
+    assert sorted(got) == reached and all(abs(got[s] - beta[s // wide][s % wide]) < 1e-9 for s in reached)
+    assert abs(by_level.mass().first().mass - beta[0][0]) < 1e-9
+    post = by_level.posteriors()
+    cost = alpha[5][7] + weight[5][7][11] + beta[6][11] - beta[0][0]
+    assert abs(post.filter(f"src = {5 * wide + 7} AND dst = {6 * wide + 11}").first().weight - cost) < 1e-9
+    assert post.count() == wide + wide * wide * (deep - 2)
+    sums = by_level.normalize()[0].groupBy("src").agg(F.sum(F.exp(-F.col("weight"))).alias("p"))
+    assert sums.filter(F.abs(F.col("p") - 1) > 1e-9).count() == 0 and sums.count() == 1 + wide * (deep - 2)
+
+
+def test_entropies_given_labels_of_any_lattice(spark, eps_dag):
+    """Linear and masked ways against the measure of each masked lattice; a path with two arcs of a position, and epsilons."""
+    once = normalise.normalize(build(spark, [(0, 1, 1, 5, 0.4), (0, 2, 1, 5, 0.3), (0, 2, 1, 6, 0.3), (1, 2, 2, 5, 0.5), (1, 3, 2, 7, 0.5), (2, 3, 3, 8, 0.9), (2, 3, 3, 9, 0.1)], 3))
+    twice = normalise.normalize(build(spark, [(0, 1, 1, 5, 0.4), (0, 1, 1, 6, 0.6), (1, 2, 1, 5, 0.5), (1, 2, 2, 7, 0.5)], 2))
+    for made in (once, twice, eps_dag):
+        rows = normalise.hypotheses(made)
+        value = normalise.neg_entropy_of(F.col("arcs"), F.col("start"), F.col("finals"))
+        for measure, v in ((normalise.conditional_entropy, value), (normalise.mutual_information, value - F.log("p"))):
+            want = {r.ilabel: r.value for r in normalise._over_hypotheses(rows, v).collect()}
+            got = {r.ilabel: r.value for r in measure(made).collect()}
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_lattice_of_ten_thousand_states(spark):
     n = 10_000
     arcs = spark.range(n).selectExpr("1L AS lattice_id", "CAST(id AS INT) AS src", "CAST(id + 1 AS INT) AS dst", "explode(array(1, 2)) AS ilabel").selectExpr(
@@ -353,6 +400,32 @@ def test_posteriors_over_a_given_automaton(spark, seqlab3):
     assert got == {(1, 0): 0.4, (1, 1): 0.6, (2, 0): 0.4, (2, 2): 0.6, (2, 5): 0.0}
 
 
+def test_automata_files(spark, eps_dag, tmp_path):
+    """Binary and line forms: round trips with costs, states out of order, cycles and broken files named in meta."""
+    (tmp_path / "a.fst").write_bytes(automata_files.to_binary(eps_dag, "log64").first().data)
+    back = automata_files.read_binary(spark, str(tmp_path))
+    assert same_paths(all_paths(back), all_paths(eps_dag))
+    text = "\n".join(r.line for r in text_lattices.arc_lines(eps_dag).collect())
+    texts = spark.createDataFrame(
+        [(1, text), (2, "3 1 5 6 0.5\n1 2 7 7 0.25\n2 1.5\n0 2 9\n\n"), (3, "0 1 1\n1 0 1\n1"), (4, "x y z"), (5, ""), (6, None)], "lattice_id long, text string"
+    )
+    made = automata_files.parse_lines(texts)
+    one = lambda i: all_paths(replace(made, rows=made.rows.filter(f"lattice_id = {i}")))
+    assert same_paths(one(1), all_paths(eps_dag)) and same_paths(one(2), [((5, 7), (6, 7), 2.25)])
+    assert {r.lattice_id: r.error for r in made.meta.collect()}.keys() == {3, 4}
+    good = bytes(automata_files.to_binary(eps_dag).first().data)
+    table = struct.pack("<ii", automata_files.SYMBOLS_MAGIC, 1) + b"t" + struct.pack("<qqi", 2, 1, 1) + b"a" + struct.pack("<q", 1)
+    head = len(b"vector") + len(b"log") + 12
+    with_table = good[: head + 4] + struct.pack("<i", 1) + good[head + 8 : head + 40] + table + good[head + 40 :]
+    files = spark.createDataFrame([(1, good), (2, with_table), (3, good[:40]), (4, b"none"), (5, b""), (6, good[:-3])], "lattice_id long, data binary")
+    made = automata_files.parse_binary(files)
+    assert {r.lattice_id for r in made.meta.collect()} == {3, 4, 5, 6}
+    for i in (1, 2):
+        assert [(p[:2], round(p[2], 5)) for p in one(i)] == [(p[:2], round(p[2], 5)) for p in all_paths(eps_dag)]
+    arcs, states = automata_files.line_frames(text_lattices.arc_lines(eps_dag))
+    assert abs(frames.Levelled(arcs, states).mass().first().mass - distance.mass(eps_dag).first().mass) < 1e-9
+
+
 def test_posteriors_by_input_labels(spark):
     """A transducer whose input label 1 has two outputs: an arc of the automaton stands for both by input labels."""
     base = build(spark, [(0, 1, 1, 7, 0.25), (0, 1, 1, 8, 0.25), (0, 1, 2, 7, 0.5)], 1)
