@@ -4,8 +4,9 @@ Fingerprints within ``radius`` bits agree in all but ``radius`` of any more
 blocks that they are cut into, so they meet in a shard keyed by the blocks
 they agree in.  Each shard holds BK-trees, whose children are keyed by their
 integer Hamming distance to the parent; a search follows only the edges
-within the radius.  A shard beyond ``TREE`` fingerprints is split into several
-trees, and each of them is sent to every cell in which other fingerprints of
+within the radius.  A shard beyond ``TREE`` fingerprints is split by parts of the bits that
+its key leaves open, and what is still larger into several
+trees, each of which is sent to every cell in which other fingerprints of
 its shard search it.  What the trees find is kept as a spanning forest per
 cell, so that a group of copies gives as many links as it has members.
 """
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import components, cut, small, trimmed
+from arcloom.llm.common import components, cut, small, trimmed, written
 
 SEED = 42
 BITS = 64
@@ -201,15 +202,40 @@ def in_cells(rows: DataFrame, ident: str, *key: str, more: tuple[str, ...] = ())
     )
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """The mask with one of radius + 1 parts of its other bits each: fingerprints that agree under it and differ in
+    ``radius`` bits or fewer agree under one of these as well."""
+    other = [b for b in range(BITS) if not mask >> b & 1]
+    edges = [len(other) * i // (radius + 1) for i in range(radius + 2)]
+    return [_signed((mask & ((1 << BITS) - 1)) | sum(1 << b for b in other[lo:hi])) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _split_by_content(sharded: DataFrame, every: list[int], radius: int) -> DataFrame:
+    """Rows (fp, ..., shard, key), those of a key of more than TREE fingerprints under finer masks instead: radius + 1
+    rows for each, of keys that a part of the other bits tells apart."""
+    full = cut(sharded.groupBy("shard", "key").count().filter(F.col("count") > TREE).select("shard", "key", F.lit(True).alias("full")))
+    n = full.count()
+    if not n:
+        return sharded
+    more = [c for c in sharded.columns if c not in ("shard", "key")]
+    parts = F.array(*[F.array(*[F.lit(m) for m in finer(mask, radius)]) for mask in every])
+    one = lambda shard, key: F.struct(shard.cast("int").alias("shard"), key.alias("key"))
+    wide = radius + 2
+    split = F.transform(F.get(parts, F.col("shard")), lambda m, j: one(F.col("shard") * wide + j + 1, F.col("fp").bitwiseAND(m)))
+    rows = sharded.join(F.broadcast(full) if n <= FEW_FULL else full, ["shard", "key"], "left")
+    return rows.select(*more, F.inline(F.when(F.col("full"), split).otherwise(F.array(one(F.col("shard") * wide, F.col("key"))))))
+
+
 def cells(fps: DataFrame, radius: int, n: int, *more: str) -> DataFrame:
     """Rows (fp, shard, key, a, b) and the columns ``more``: fp with its cells.  All
     fingerprints within the radius share a cell, of about 2 * TREE rows."""
-    sharded = fps.select(
-        "fp",
-        *more,
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks_for(n, radius), radius)])).alias("shard", "key"),
-    )
-    return in_cells(sharded, "fp", "shard", "key", more=more)
+    every = masks(blocks_for(n, radius), radius)
+    sharded = fps.select("fp", *more, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in every])).alias("shard", "key"))
+    return in_cells(_split_by_content(sharded, every, radius), "fp", "shard", "key", more=more)
 
 
 def grouped(batches, key_columns: int):
@@ -400,21 +426,25 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
 
     texts = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     full = single.join(texts, "doc_id").select("doc_id", "bands", "text")
-    full = full.mapInArrow(sets, "doc_id long, bands array<long>, set binary").withColumn("own", F.col("bands"))
+    full = written(full.mapInArrow(sets, "doc_id long, bands array<long>, set binary"))
+    rows = full.select("doc_id", F.posexplode("bands").alias("shard", "key"))
+    met = cut(rows.join(rows.groupBy("shard", "key").count().filter("count > 1").drop("count"), ["shard", "key"]))
 
     def link(batches):
         for group in grouped(batches, 4):
             ids = np.concatenate([p[0] for p in group])
             data = [np.frombuffer(x, np.uint64) for p in group for x in p[1]]
             keys = np.array([k for p in group for k in p[2]])
-            shard = int(group[0][3][0])
+            known = np.concatenate([p[3] for p in group])
+            shard = int(group[0][4][0])
             order = np.argsort(ids, kind="stable")
-            data, keys = [data[at] for at in order], keys[order]
+            data, keys, known = [data[at] for at in order], keys[order], known[order]
             sizes, forest = np.array([len(x) for x in data]), Forest(len(order))
             for i in range(1, len(order)):
                 before = sizes[:i]
-                fits = (before >= least * sizes[i]) & (sizes[i] >= least * before)
-                fits &= ~(keys[:i, :shard] == keys[i, :shard]).any(1)  # those are for an earlier shard
+                fits = (before >= least * sizes[i]) & (sizes[i] >= least * before) & (known[:i] != known[i])
+                if shard >= 0:
+                    fits &= ~(keys[:i, :shard] == keys[i, :shard]).any(1)  # those are for an earlier shard
                 for j in np.flatnonzero(fits).tolist():
                     if forest.root(i) != forest.root(j) and similarity(data[i], data[j]) >= least:
                         forest.join(i, j)
@@ -424,8 +454,24 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
         trimmed()
 
-    rows = _band_cells(full, "set", "own").select("doc_id", "set", "own", F.col("shard").alias("s"), *key)
-    roots = components(dealt(rows).mapInArrow(link, "u long, v long"))
+    def linked(rows):
+        """Links among the documents of each cell (doc_id, root, s, shard, key, a, b)."""
+        sent = rows.join(full, "doc_id").select("doc_id", "set", "bands", "root", "s", *key)
+        return dealt(sent).mapInArrow(link, "u long, v long")
+
+    # near copies share most bands, so each document is first sent to two cells, to one part of a large one; after that
+    # only bands whose documents are of several groups are read, whole, and pairs of different groups compared
+    place = F.struct("shard", "key")
+    ends = met.groupBy("doc_id").agg(F.array_distinct(F.array(F.min(place), F.max(place))).alias("e")).select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.*")
+    counts = ends.groupBy("shard", "key").agg(F.ceil(F.count("*") / TREE).cast("int").alias("parts")).filter("parts > 1")
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    first = ends.join(counts, ["shard", "key"], "left").select("doc_id", F.col("doc_id").alias("root"), F.lit(-1).alias("s"), "shard", "key", part.alias("a"), part.alias("b"))
+    some = cut(components(linked(first)))
+    rooted = met.join(some.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    open_keys = rooted.groupBy("shard", "key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").drop("open")
+    rest = cut(rooted.join(open_keys, ["shard", "key"], "left_semi").select("doc_id", "root", "shard", "key"))
+    more = linked(in_cells(rest, "doc_id", "shard", "key", more=("root",)).withColumn("s", F.col("shard")))
+    roots = components(more.union(some.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     named = groups.join(roots, groups["first"] == roots["node"], "left").select("same", "n", F.coalesce("root", "first").alias("component_id"))
     named = cut(named.filter("n > 1").union(named.join(roots.select("root"), F.col("component_id") == F.col("root"), "left_semi")).distinct())
     return own.join(named, "same").select("doc_id", "component_id")

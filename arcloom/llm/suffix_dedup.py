@@ -344,6 +344,61 @@ def fewer(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return records[own], _spans(records[later], records["start"][later], records["n"][later])
 
 
+#: windows from this place of a row on hold the bytes after its anchor, those before it the bytes before
+MIDDLE = REACH // 2 + 1
+
+
+def _mixed(key: np.ndarray, rows: np.ndarray, salt: int) -> np.ndarray:
+    """A number for each key with bytes beside it."""
+    weights = np.array([pow(_P, i + 1 + salt, 1 << 64) | 1 for i in range(rows.shape[1])], np.uint64)
+    out = key * np.uint64(pow(_P, salt, 1 << 64) | 1)
+    for i in range(rows.shape[1]):
+        out += (rows[:, i].astype(np.uint64) + np.uint64(1)) * weights[i]
+        out ^= out >> np.uint64(29)
+    return out * _M
+
+
+def by_sides(records: np.ndarray) -> np.ndarray:
+    """Records of one anchor in many contexts, told apart by content: the windows that start in the first half of a
+    row by the bytes just before its anchor, which all of them hold, the others by those just after it."""
+    out = []
+    last = records["first"].astype(np.int64) + records["n"]
+    for lo, hi, beside in ((0, MIDDLE, slice(MIDDLE - 1, REACH)), (MIDDLE, ROW, slice(REACH + GRAM, MIDDLE + WINDOW))):
+        first, end = np.maximum(records["first"], lo), np.minimum(last, hi)
+        own = end > first
+        part = records[own].copy()
+        part["start"] += (first[own] - records["first"][own]).astype(np.uint32)
+        part["first"], part["n"] = first[own], (end - first)[own]
+        part["key"] = _mixed(part["key"], part["row"][:, beside], 1 + (lo > 0))
+        out.append(_bare(part))
+    return np.concatenate(out)
+
+
+def by_window(records: np.ndarray) -> np.ndarray:
+    """A record for each window, known by all of its bytes."""
+    owner, number = _spread(records["n"].astype(np.int64))
+    out = records[owner].copy()
+    out["start"] += number.astype(np.uint32)
+    out["first"] = records["first"].astype(np.int64)[owner] + number
+    out["n"] = 1
+    out = _bare(out)
+    out["key"] = _mixed(out["key"] ^ out["first"].astype(np.uint64), out["row"], 3)
+    return out
+
+
+def _bare(records: np.ndarray) -> np.ndarray:
+    """Without the bytes that none of a record's windows holds, so that equal windows have equal contents."""
+    at = np.arange(ROW)
+    first = records["first"].astype(np.int64)[:, None]
+    inside = (at >= first) & (at < first + records["n"][:, None] + WINDOW - 1)
+    records["row"] = np.where(inside, records["row"], 0)
+    return records
+
+
+#: how records go on that are too many for a task, round by round; after the last each content is one record
+FINER = (by_sides, by_window)
+
+
 def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
@@ -386,42 +441,68 @@ def repeated_spans(docs: DataFrame, passes: int, parts: int, doc_parts: int, tas
 
         return run
 
-    def compare(batches):
-        part, held, found, n, size = None, [], [], 0, 0
+    def compare(level):
+        finer = FINER[level] if level < len(FINER) else None
 
-        def spread():
-            spans = np.concatenate(found) if found else np.zeros(0, SPAN)
-            return _blobs([*_packed(SPANS, spans, _part(spans["doc"], doc_parts))])
+        def run(batches):
+            part, held, found, n, size, split = None, [], [], 0, 0, False
+
+            def spread():
+                spans = np.concatenate(found) if found else np.zeros(0, SPAN)
+                return _blobs([*_packed(SPANS, spans, _part(spans["doc"], doc_parts))])
+
+            def on(records):
+                records = finer(records)
+                return _blobs([*_packed(RECORDS, records, _part(records["key"] >> np.uint64(20), parts))])
+
+            for b in batches:
+                for k, p, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    if k == SPANS:
+                        yield _blobs([(k, p, blob)])
+                        continue
+                    if p != part:
+                        if held and split:
+                            yield on(np.concatenate(held))
+                        elif held:
+                            found.append(repeats(np.concatenate(held)))
+                            n += len(found[-1])
+                        held, size, split, part = [], 0, False, p
+                        if n > HELD_SPANS:
+                            yield spread()
+                            found, n = [], 0
+                    held.append(_unpacked([blob], RECORD))
+                    size += len(held[-1])
+                    if size > HELD_RECORDS:
+                        kept, spans = fewer(np.concatenate(held))
+                        found.append(spans)
+                        held, n, size = [kept], n + len(spans), len(kept) // 2
+                        if finer and (split or len(kept) > HELD_RECORDS):
+                            # not one content over and over: this bucket goes on, told apart by more than its anchors
+                            yield on(kept)
+                            held, size, split = [], 0, True
+            if held and split:
+                yield on(np.concatenate(held))
+            elif held:
+                found.append(repeats(np.concatenate(held)))
+            yield spread()
+            trimmed()
 
-        for b in batches:
-            for k, p, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if k == SPANS:
-                    yield _blobs([(k, p, blob)])
-                    continue
-                if held and p != part:
-                    found.append(repeats(np.concatenate(held)))
-                    held, n, size = [], n + len(found[-1]), 0
-                    if n > HELD_SPANS:
-                        yield spread()
-                        found, n = [], 0
-                part = p
-                held.append(_unpacked([blob], RECORD))
-                size += len(held[-1])
-                if size > HELD_RECORDS:
-                    kept, spans = fewer(np.concatenate(held))
-                    found.append(spans)
-                    held, n, size = [kept], n + len(spans), len(kept) // 2
-        if held:
-            found.append(repeats(np.concatenate(held)))
-        yield spread()
-        trimmed()
+        return run
+
+    def dealt(blobs):
+        return blobs.repartition(tasks, "kind", "part").sortWithinPartitions("kind", "part")
 
     out = []
     for bucket in range(passes):
-        sent = texts.mapInArrow(collect(bucket), BLOB).repartition(tasks, "kind", "part").sortWithinPartitions("kind", "part")
-        out.append(cut(sent.mapInArrow(compare, BLOB)))
+        sent = texts.mapInArrow(collect(bucket), BLOB)
+        for level in range(len(FINER) + 1):
+            made = cut(dealt(sent).mapInArrow(compare(level), BLOB))
+            out.append(made.filter(F.col("kind") == SPANS))
+            sent = made.filter(F.col("kind") == RECORDS)
+            release(docs.sparkSession)
+            if sent.isEmpty():
+                break
         del sent
-        release(docs.sparkSession)
     return out
 
 

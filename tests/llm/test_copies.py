@@ -235,6 +235,55 @@ def test_lines(spark):
     assert line_dedup.remove_lines(table(spark, [])).count() == 0
 
 
+def _covered_by(spans):
+    """doc -> bytes that spans of suffix_dedup cover."""
+    out = {}
+    for s in spans:
+        out.setdefault(int(s["doc"]), set()).update(range(int(s["lo"]), int(s["hi"])))
+    return out
+
+
+def _one_anchor_in_many_contexts(n):
+    """Texts around one string of twenty bytes whose hash is least of all, found by trial; a third of them repeat."""
+    rng = random.Random(23)
+    letters = b"abcdefghijklmnopqrstuvwxyz "
+    noise = lambda k: bytes(rng.choice(letters) for _ in range(k))
+    best = None
+    for _ in range(40):
+        text = np.frombuffer(noise(2000), np.uint8)
+        found = suffix_dedup.anchors(text, np.array([2000]), 0, 1)
+        row = found[np.argmin(found["key"])]
+        if best is None or row["key"] < best[0]:
+            best = row["key"], bytes(row["row"][suffix_dedup.REACH : suffix_dedup.REACH + suffix_dedup.GRAM])
+    texts = [noise(40) + best[1] + noise(40) for _ in range(n - n // 3)]
+    texts += [noise(rng.randrange(9)) + rng.choice(texts)[rng.randrange(25) :] + noise(5) for _ in range(n // 3)]
+    return texts
+
+
+def test_records_of_an_anchor_told_apart_by_content():
+    """Dealt by the bytes beside the anchor, or window by window, the same bytes are repeats; keys become small."""
+    texts = _one_anchor_in_many_contexts(900)
+    records, spans = suffix_dedup.local_records(list(range(len(texts))), texts, 0, 1)
+    want = _covered_by(suffix_dedup.repeats(records))
+    assert sum(map(len, want.values())) > 1000
+    sides = suffix_dedup.by_sides(records)
+    assert np.unique(records["key"], return_counts=True)[1].max() > 500 > 50 > np.unique(sides["key"], return_counts=True)[1].max()
+    for finer in (sides, suffix_dedup.by_window(sides)):
+        found = np.concatenate([suffix_dedup.repeats(finer[finer["key"] % 5 == k]) for k in range(5)])  # keys by themselves
+        assert _covered_by(found) == want
+
+
+@pytest.mark.parametrize("held", [300, 20])
+def test_repeats_of_a_hot_anchor(spark, monkeypatch, held):
+    """One anchor in far more contexts than a task may hold: records go on by content, twice where that must be."""
+    monkeypatch.setattr(suffix_dedup, "HELD_RECORDS", held)
+    texts = _one_anchor_in_many_contexts(1500)
+    rows = [(d, t.decode()) for d, t in enumerate(texts)]
+    masks = covered([(d, t) for d, t in enumerate(texts)])
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.removal_digests(table(spark, rows).repartition(6)).collect()}
+    assert got == {d: int(m.sum()) for d, m in masks.items()} and sum(got.values()) > 1000
+
+
 def test_segments_of_short_lines_are_complete():
     rng = random.Random(6)
     lines = ["".join(rng.choice("ab ") for _ in range(rng.randrange(1, 46))) for _ in range(500)]
