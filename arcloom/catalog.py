@@ -391,6 +391,45 @@ def t4(spark, d):
     return rounded(distance.mass(made).join(made.rows.select("lattice_id", left.alias("n_epsilons")), "lattice_id"), "mass")
 
 
+@query(
+    "t4_epsilon_arcs",
+    EPSILONS
+    + f""", silent(lattice_id, head, state, w) AS (SELECT lattice_id, src, dst, weight FROM arcs WHERE ilabel = 0 AND olabel = 0
+  UNION ALL SELECT s.lattice_id, s.head, a.dst, s.w + a.weight FROM silent s JOIN arcs a ON a.lattice_id = s.lattice_id AND a.src = s.state AND a.ilabel = 0 AND a.olabel = 0),
+loud AS (SELECT lattice_id, src, dst, ilabel, olabel, weight FROM arcs WHERE ilabel <> 0 OR olabel <> 0),
+led AS (SELECT * FROM loud UNION ALL SELECT s.lattice_id, s.head, l.dst, l.ilabel, l.olabel, s.w + l.weight FROM silent s JOIN loud l ON l.lattice_id = s.lattice_id AND l.src = s.state)
+SELECT lattice_id, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, CAST(ilabel AS INT) AS ilabel, CAST(olabel AS INT) AS olabel, {r('-ln(sum(exp(-weight)))')} AS weight
+FROM led GROUP BY ALL""",
+)
+def t4_arcs(spark, d):
+    """The arcs that take the place of epsilons, by doubling paths of epsilons."""
+    base = epsilons(spark, d)
+    return rounded(frames.rm_epsilon(base.arcs, base.states)[0], "weight")
+
+
+#: of each beginning of a label sequence the set of its endings: a state of the minimal automaton for each set
+_FUTURES = LATTICE + """, spelled AS (SELECT DISTINCT p.lattice_id, list(a.ilabel::VARCHAR || ':' || a.olabel ORDER BY list_position(p.ids, a.arc_id)) AS labels
+  FROM paths p JOIN arcs a ON a.lattice_id = p.lattice_id AND list_contains(p.ids, a.arc_id) GROUP BY p.lattice_id, p.ids),
+splits AS (SELECT lattice_id, labels, unnest(range(0, len(labels) + 1)) AS k FROM spelled),
+futures AS (SELECT lattice_id, array_to_string(labels[:k], ' ') AS lead, string_agg(DISTINCT array_to_string(labels[k + 1:], ' '), '|' ORDER BY array_to_string(labels[k + 1:], ' ')) AS ends
+  FROM splits GROUP BY 1, 2)
+SELECT lattice_id, count(DISTINCT ends) AS states FROM futures GROUP BY 1"""
+
+
+@query("t5_minimal_states", _FUTURES)
+def t5_states(spark, d):
+    """States of the minimal automaton of each lattice's label sequences."""
+    made = normalise.num_states(automata.determinize(normalise.remove_weights(lattice(spark, d))))
+    return made.select("lattice_id", F.col("states").cast("long").alias("states"))
+
+
+@query("t5_minimal_states_by_level", _FUTURES)
+def t5_levels(spark, d):
+    """The same, minimised level by level as frames."""
+    made = normalise.remove_weights(automata.determinize(normalise.remove_weights(lattice(spark, d)), minimal=False))
+    return frames.minimize(made.arcs, made.states)[1].groupBy("lattice_id").agg(F.count("*").alias("states"))
+
+
 @query("k2_frame_distances", LATTICE + f"SELECT lattice_id, CAST(state AS INT) AS state, {r('-ln(a)')} AS alpha FROM alpha")
 def k2(spark, d):
     """Forward distances of lattices given as frames, by the kernel that suits their sizes."""

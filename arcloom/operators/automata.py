@@ -107,6 +107,12 @@ class _Machine:
                 stack.pop()
         return out[::-1]
 
+    def numbered(self) -> _Machine:
+        """The same, its states in topological order."""
+        order = self.order()
+        at = {s: i for i, s in enumerate(order)}
+        return _Machine([[(x, at[t], w) for x, t, w in self.arcs[s]] for s in order], [self.finals[s] for s in order], 0)
+
     def minimized(self) -> _Machine:
         """States with equal futures made one, from the end; numbered topologically."""
         order = self.order()
@@ -195,13 +201,13 @@ def rm_epsilon(lattices: Lattices) -> Lattices:
     return connect(_per_lattice(connect(lattices), lambda m: m.without_epsilons()))
 
 
-def determinize(lattices: Lattices, max_states: int | None = None) -> Lattices:
-    """Deterministic over pairs of labels.  Lattices that would need more than
+def determinize(lattices: Lattices, max_states: int | None = None, minimal: bool = True) -> Lattices:
+    """Deterministic over pairs of labels, and minimal unless told otherwise.  Lattices that would need more than
     ``max_states`` states, if that is given, are left out and named in ``meta`` (lattice_id, error)."""
 
     def change(m: _Machine) -> _Machine | None:
         made = m.determinized(max_states)
-        return made and made.minimized()
+        return made and (made.minimized() if minimal else made.numbered())
 
     return _per_lattice(connect(lattices), change)
 

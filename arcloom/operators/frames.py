@@ -39,10 +39,15 @@ def levels(arcs: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def _sum_by_state(costs: DataFrame, semiring: str, spread: Column) -> DataFrame:
-    """lattice_id, state, cost: the costs of each state added up, in PARTS by ``spread`` and then as a whole, so that
-    a state which any number of arcs enter is no single task's work."""
+    """lattice_id, state, cost: the costs of each state added up."""
     if semiring == "tropical":
         return costs.groupBy("lattice_id", "state").agg(F.min("cost").alias("cost"))
+    return _log_sum(costs, ["lattice_id", "state"], spread)
+
+
+def _log_sum(costs: DataFrame, by: list[str], spread: Column) -> DataFrame:
+    """``by`` and cost: the costs of each key added up in the log semiring, in PARTS by ``spread`` and then as a whole,
+    so that a state which any number of arcs enter is no single task's work."""
 
     def add(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
         keys = list(keys)
@@ -52,7 +57,7 @@ def _sum_by_state(costs: DataFrame, semiring: str, spread: Column) -> DataFrame:
         )
 
     some = costs.filter(F.col("cost") < math.inf).withColumn("part", F.pmod(F.xxhash64(spread), F.lit(PARTS)))
-    return add(add(some, ("lattice_id", "state", "part")), ("lattice_id", "state"))
+    return add(add(some, [*by, "part"]), by)
 
 
 class Levelled:
@@ -137,3 +142,73 @@ class Levelled:
 
     def _arcs(self, arcs: DataFrame) -> DataFrame:
         return arcs.drop("src_level", "dst_level", "src_alpha", "src_beta", "dst_beta")
+
+
+def epsilon_closure(arcs: DataFrame) -> DataFrame:
+    """lattice_id, src, dst, cost: the sum over all paths of one epsilon arc or more, by doubling their length: the paths
+    of k arcs, followed by those of k or fewer, make all up to 2k."""
+    by = ["lattice_id", "src", "dst"]
+
+    def follow(first: DataFrame, then: DataFrame) -> DataFrame:
+        then = then.select("lattice_id", F.col("src").alias("mid"), F.col("dst"), F.col("cost").alias("more"))
+        met = first.withColumnRenamed("dst", "mid").join(then, ["lattice_id", "mid"])
+        return met.select("lattice_id", "src", "dst", (F.col("cost") + F.col("more")).alias("cost"), "mid")
+
+    silent = arcs.filter((F.col("ilabel") == 0) & (F.col("olabel") == 0)).select(*by, F.col("weight").alias("cost"))
+    exactly = upto = cut(_log_sum(silent, by, F.col("cost")))
+    while not exactly.isEmpty():
+        longer = follow(exactly, upto).unionByName(upto.withColumn("mid", F.col("src")))
+        exactly, upto = cut(_log_sum(follow(exactly, exactly), by, F.col("mid"))), cut(_log_sum(longer, by, F.col("mid")))
+    return upto
+
+
+def rm_epsilon(arcs: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arcs (lattice_id, src, dst, ilabel, olabel, weight) without epsilons and states with their new final costs; states keep
+    their numbers, those that only epsilons led to are there still."""
+    closure = cut(epsilon_closure(arcs))
+    loud = arcs.filter((F.col("ilabel") != 0) | (F.col("olabel") != 0)).select("lattice_id", "src", "dst", "ilabel", "olabel", F.col("weight").alias("cost"))
+    before = closure.select("lattice_id", F.col("dst").alias("src"), F.col("src").alias("from"), F.col("cost").alias("lead"))
+    led = loud.join(before, ["lattice_id", "src"]).select("lattice_id", F.col("from").alias("src"), "dst", "ilabel", "olabel", (F.col("cost") + F.col("lead")).alias("cost"))
+    made = _log_sum(loud.unionByName(led), ["lattice_id", "src", "dst", "ilabel", "olabel"], F.col("cost"))
+    ends = states.filter(F.col("final") < math.inf).select("lattice_id", "state", F.col("final").alias("cost"))
+    reach = closure.select("lattice_id", F.col("dst").alias("state"), F.col("src").alias("from"), F.col("cost").alias("lead"))
+    led = ends.join(reach, ["lattice_id", "state"]).select("lattice_id", F.col("from").alias("state"), (F.col("cost") + F.col("lead")).alias("cost"))
+    finals = _log_sum(ends.unionByName(led), ["lattice_id", "state"], F.col("cost")).withColumnRenamed("cost", "end")
+    new = states.drop("final").join(finals, ["lattice_id", "state"], "left").withColumn("final", F.coalesce("end", F.lit(math.inf))).drop("end")
+    return made.withColumnRenamed("cost", "weight"), new
+
+
+def minimize(arcs: DataFrame, states: DataFrame, digits: int = 9) -> tuple[DataFrame, DataFrame]:
+    """The minimal machine of deterministic lattices with pushed weights, level by level from the end: states of one
+    height whose final costs and arcs (labels, class that they lead to, weight, to ``digits`` digits) are equal are one
+    class, named by its smallest state."""
+    links = arcs.select("lattice_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    # heights: levels of the reversed arcs, from the states without arcs
+    stuck = states.join(arcs.select("lattice_id", F.col("src").alias("state")).distinct(), ["lattice_id", "state"], "left_anti")
+    tops = states.join(stuck.select("lattice_id", "state", F.lit(True).alias("top")), ["lattice_id", "state"], "left")
+    height = cut(levels(links, tops.select("lattice_id", "state", F.coalesce("top", F.lit(False)).alias("is_start"))))
+    at = states.join(height.select("lattice_id", "state", "level"), ["lattice_id", "state"])
+    at = cut(at.select("lattice_id", "state", F.round("final", digits).alias("final"), "level"))
+    one = F.struct("ilabel", "olabel", F.col("class").alias("to"), F.round("weight", digits).alias("w"))
+    classes = None
+    for level in range((at.agg(F.max("level")).first()[0] or 0) + 1):
+        here = at.filter(F.col("level") == level)
+        if classes is None:
+            futures = here.withColumn("out", F.array().cast("array<struct<ilabel:int,olabel:int,to:int,w:double>>"))
+        else:
+            out = arcs.join(here.select("lattice_id", F.col("state").alias("src"), "final"), ["lattice_id", "src"])
+            out = out.join(classes.withColumnRenamed("state", "dst"), ["lattice_id", "dst"])
+            futures = out.groupBy("lattice_id", F.col("src").alias("state"), "final").agg(F.sort_array(F.collect_list(one)).alias("out"))
+        named = futures.groupBy("lattice_id", "final", "out").agg(F.min("state").alias("class"), F.collect_list("state").alias("states"))
+        named = cut(named.select("lattice_id", F.explode("states").alias("state"), "class"))
+        classes = named if classes is None else classes.unionByName(named)
+    classes = cut(classes)
+    kept = classes.filter(F.col("state") == F.col("class")).drop("class")
+    ends = classes.select("lattice_id", F.col("state").alias("dst"), F.col("class").alias("to"))
+    out = arcs.join(kept.withColumnRenamed("state", "src"), ["lattice_id", "src"]).join(ends, ["lattice_id", "dst"])
+    start = states.filter("is_start").join(classes, ["lattice_id", "state"]).select("lattice_id", F.col("class").alias("state"), F.lit(True).alias("first"))
+    new = states.drop("is_start").join(kept, ["lattice_id", "state"]).join(start, ["lattice_id", "state"], "left")
+    return (
+        out.select("lattice_id", "src", F.col("to").alias("dst"), "ilabel", "olabel", "weight"),
+        new.select("lattice_id", "state", "final", F.coalesce("first", F.lit(False)).alias("is_start")),
+    )

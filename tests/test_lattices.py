@@ -368,6 +368,24 @@ def test_lattice_of_a_million_arcs_as_frames(spark):
     assert sums.filter(F.abs(F.col("p") - 1) > 1e-9).count() == 0 and sums.count() == 1 + wide * (deep - 2)
 
 
+def test_epsilon_closure_and_minimisation_of_frames(spark, eps_dag):
+    """A chain of epsilons of seven arcs with a way round, and machines whose states stand for several, as per lattice."""
+    chain = build(spark, [(s, s + 1, 0, 0, 0.5) for s in range(7)] + [(2, 5, 0, 0, 0.25), (7, 8, 1, 2, 0.75), (3, 8, 4, 4, 0.125)], 8)
+    for base in (chain, eps_dag):
+        arcs, states = frames.rm_epsilon(base.arcs, base.states)
+        assert not arcs.filter("ilabel = 0 AND olabel = 0").count()
+        want = automata.rm_epsilon(base)
+        made = filters.connect(Lattices.from_frames(arcs, states))
+        assert same_paths(all_paths(made), all_paths(want))
+    tree = build(spark, [(0, 1, 1, 1, 0.5), (0, 2, 2, 2, 0.5), (1, 3, 3, 3, 1.0), (2, 4, 3, 3, 1.0), (3, 5, 4, 4, 0.5), (4, 6, 4, 4, 0.5), (3, 5, 5, 5, 0.5), (4, 6, 5, 5, 0.5)], 6)
+    rows = tree.rows.withColumn("finals", F.transform("finals", lambda f, s: F.when((s == 5) | (s == 6), 0.0).otherwise(f)))
+    tree = replace(tree, rows=rows)
+    arcs, states = frames.minimize(tree.arcs, tree.states)
+    assert states.count() == 4 == normalise.num_states(automata.minimize(tree)).first().states
+    assert arcs.count() == 5 and states.filter("is_start").count() == 1
+    assert abs(frames.Levelled(arcs, states).mass().first().mass - distance.mass(tree).first().mass) < 1e-9
+
+
 def test_entropies_given_labels_of_any_lattice(spark, eps_dag):
     """Linear and masked ways against the measure of each masked lattice; a path with two arcs of a position, and epsilons."""
     once = normalise.normalize(build(spark, [(0, 1, 1, 5, 0.4), (0, 2, 1, 5, 0.3), (0, 2, 1, 6, 0.3), (1, 2, 2, 5, 0.5), (1, 3, 2, 7, 0.5), (2, 3, 3, 8, 0.9), (2, 3, 3, 9, 0.1)], 3))
