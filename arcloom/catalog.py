@@ -174,10 +174,10 @@ def d6_paths(spark, d):
     return _shown_paths(paths.k_best(lattice(spark, d), 5), 4)
 
 
-@query("d6_k_best_unique", _shown_sql(4, "QUALIFY row_number() OVER (PARTITION BY lattice_id, hyp ORDER BY w, ids) = 1"))
+@query("d6_k_best_unique", "SELECT lattice_id, rank, cost, hyp FROM (" + _shown_sql(4, "QUALIFY row_number() OVER (PARTITION BY lattice_id, hyp ORDER BY w, ids) = 1") + ")")
 def d6_unique(spark, d):
-    """Of paths with the same labels, by skips or without, the best only."""
-    return _shown_paths(paths.k_best(lattice(spark, d), 5, unique=True), 4)
+    """Of paths with the same labels, by skips or without, the best only; two of these may be as cheap, with other scores."""
+    return _shown_paths(paths.k_best(lattice(spark, d), 5, unique=True), 4).drop("places")
 
 
 @query("d7_path_count", LATTICE + "SELECT lattice_id, CAST(n AS DOUBLE) AS paths FROM mass")
