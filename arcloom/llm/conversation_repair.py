@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import shuffle_partitions, written
+from arcloom.llm.prefix_trie import CRC
 
 #: fixed values: what edits cost
 DELETE, REROLE, INSERT, TRUNCATED = 2, 1, 5, 5
@@ -149,13 +150,13 @@ def structure(conversations: DataFrame) -> DataFrame:
     )
     initial = F.substring("role", 1, 1)
     whole = Window.partitionBy("conv_id").orderBy(F.desc("live"), *_order())
-    seen = Window.partitionBy("conv_id", "live", "role", "text_id").orderBy(F.asc_nulls_first("turn"))
+    seen = Window.partitionBy("conv_id", "live", "role", "text_id").orderBy("place")
     rows = (
         rows.repartition(shuffle_partitions(rows.sparkSession), "conv_id")
-        .withColumn("again", F.row_number().over(seen) > 1)
         .withColumn("place", F.row_number().over(whole))
         .withColumn("pair", F.concat(F.lag(initial).over(whole), initial))
         .withColumn("turn_before", F.lag("turn").over(whole))
+        .withColumn("again", F.row_number().over(seen) > 1)
         .withColumn(
             "fault", F.when(~F.col("live"), None).when(F.col("blank"), "blank").when(F.col("again"), "duplicate").when(F.col("cut"), "truncated").otherwise("")
         )
@@ -269,3 +270,52 @@ def repair(conversations: DataFrame) -> DataFrame:
     )
     hashes = ordered.select("conv_id", "head", "role", "text", "audit").mapInArrow(_replay, "conv_id long, repaired_sha256 string")
     return found.join(hashes.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+
+
+_NEXT = "[2, 2, 3, 2][s + 1] + 1"
+#: rows inserted before what ``{0}`` has for each state
+_INSERTED = f"list_transform(range(4), lambda s: list_sort([{{0}}[s + 1], {{{{'c': {{0}}[{_NEXT}].c + 5, 'a': 'I' || {{0}}[{_NEXT}].a}}}}])[1])"
+
+#: whole audits are compared here, from each conversation's own last row
+ORACLE = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+   {CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+   unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+   left(role, 1) AS initial FROM hurt),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM ordered),
+lines AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair,
+   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM placed),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM lines GROUP BY conv_id),
+best(conv_id, i, v) AS (
+  SELECT conv_id, n + 1, [{{'c': 0, 'a': ''}}, {{'c': 10, 'a': 'II'}}, {{'c': 5, 'a': 'I'}}, {{'c': 0, 'a': ''}}] FROM lines WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, {_INSERTED.format("v3")} FROM (SELECT conv_id, i, {_INSERTED.format("v2")} AS v3 FROM (SELECT conv_id, i, {_INSERTED.format("v1")} AS v2 FROM (
+    SELECT r.conv_id, r.i, list_transform(range(4), lambda s: list_sort(list_filter([
+      {{'c': b.v[s + 1].c + 2, 'a': 'D' || b.v[s + 1].a}},
+      CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {{'c': b.v[{_NEXT}].c + 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'a': 'R' || b.v[{_NEXT}].a}} END,
+      CASE WHEN fault NOT IN ('blank', 'duplicate') AND ((s = 0 AND initial IN ('s', 'u')) OR (s IN (1, 3) AND initial = 'u') OR (s = 2 AND initial = 'a'))
+        THEN {{'c': b.v[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END,
+              'a': 'K' || b.v[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a}} END], lambda x: x IS NOT NULL))[1]) AS v1
+    FROM best b JOIN lines r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)))),
+plan AS (SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM best WHERE i = 1),
+replay(conv_id, audit, k, i, last, done) AS (
+  SELECT conv_id, audit, 0, 0::BIGINT, '', NULL::VARCHAR FROM plan
+  UNION ALL
+  SELECT conv_id, audit, k, i, CASE e WHEN 'D' THEN last WHEN 'K' THEN initial ELSE left(given, 1) END,
+    CASE e WHEN 'D' THEN done WHEN 'I' THEN concat_ws(chr(10), done, given || ':') WHEN 'K' THEN concat_ws(chr(10), done, role || ':' || text) ELSE concat_ws(chr(10), done, given || ':' || text) END
+  FROM (SELECT p.*, r.role, r.text, r.initial FROM (
+      SELECT conv_id, audit, k + 1 AS k, audit[k + 1] AS e, i + CASE audit[k + 1] WHEN 'I' THEN 0 ELSE 1 END AS i, last, done, CASE last WHEN 'u' THEN 'assistant' ELSE 'user' END AS given
+      FROM replay WHERE k < length(audit)) p
+    LEFT JOIN lines r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i AND p.e <> 'I')),
+ended AS (SELECT conv_id, sha256(coalesce(done, '')) AS repaired_sha256 FROM replay WHERE k = length(audit))
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN plan p ON p.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -97,4 +97,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op11_html_extraction": main_text.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+    return {"op5_exact_dedup": exact_dedup.ORACLE, "op7_warc": warc.ORACLE, "op11_html_extraction": main_text.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_structure_repair": conversation_repair.ORACLE}
