@@ -98,9 +98,20 @@ def connect(lattices: Lattices) -> Lattices:
 
     def kept(v: Column, k: Column) -> Column:
         some = let(placed(k, F.size(v["finals"])), lambda new: fewer(v, k, new))
-        return F.when(F.size(k) == F.size(v["finals"]), lattice(v["start"], v["finals"], v["arcs"])).otherwise(some)
+        return F.when(F.size(k) == F.size(v["finals"]), whole(v)).otherwise(some)
 
-    return lattices.derive(lambda v: let(alive(v), lambda k: kept(v, k)))
+    def whole(v: Column) -> Column:
+        return lattice(v["start"], v["finals"], v["arcs"])
+
+    def is_whole(v: Column) -> Column:
+        """Whether an arc leads to every state but the start, and one from every state that is not final: as arcs lead to
+        larger numbers, going back, or on, then ends in the start, or a final state.  No fold over the arcs is needed."""
+        n = F.size(v["finals"])
+        ends = F.filter(F.transform(v["finals"], lambda f, s: F.when(f < math.inf, s)), lambda s: s.isNotNull())
+        led_to = F.array_union(v["arcs"]["dst"], F.array(v["start"]))
+        return v["start"].isNotNull() & (F.size(led_to) == n) & (F.size(F.array_union(v["arcs"]["src"], ends)) == n)
+
+    return lattices.derive(lambda v: F.when(is_whole(v), whole(v)).otherwise(let(alive(v), lambda k: kept(v, k))))
 
 
 def _posterior_costs(v: Column, semiring: str = "log") -> Column:
