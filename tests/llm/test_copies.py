@@ -103,6 +103,23 @@ def test_near_copies(spark):
     assert simhash.keep_one(table(spark, [])).count() == 0
 
 
+def test_near_copies_meet_in_trees(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    rows = [(i, " ".join([*base[:300], f"new{i}", *base[301:]])) for i in range(8)] + [(20 + i, f"alone {i} " * 9) for i in range(3)]
+    rows += [(30, "one two three four five"), (31, "six seven eight nine ten")]
+    # no band proposes a document
+    monkeypatch.setattr(simhash, "_band_cells", lambda single, *more: simhash.shared_cells(single.selectExpr("doc_id", *more, "0 as shard", "doc_id as key"), "doc_id", *more))
+    single = simhash.sketches(table(spark, rows), 5)
+    pairs = simhash.near_pairs(single.select("doc_id", "fp"))
+    assert {d for r in pairs.collect() for d in r} >= set(range(8))
+    assert pairs.filter("doc_id >= 20 and other < 20").count() == 0
+    met = []
+    monkeypatch.setattr(simhash, "near_links", lambda *a, _own=simhash.near_links: met.append(a) or _own(*a))
+    kept = simhash.keep_one(table(spark, rows))
+    assert met and sorted(r.doc_id for r in kept.collect()) == [0, 20, 21, 22, 30, 31]
+
+
 def test_exact_copies(spark):
     rows = awkward() + [(40, "o n e"), (41, "x" * 5000 + ". y"), (42, "x" * 5000 + ".y")]
     got = sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(table(spark, rows)).collect())
