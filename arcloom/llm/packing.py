@@ -141,7 +141,9 @@ def scheme(counts: dict[int, int], capacity: int, groups: int, large_over: float
     per_group = max(1, -(-sum(counts[s] for s in large) // groups))
     grouped: list[list[list[int]]] = []  # group -> [length, left], longest first
     size, filled = [], per_group
-    for s in large:
+    if groups >= capacity:  # nothing is rounded up: a group for each length, not for each document
+        grouped, size = [[[s, counts[s]]] for s in large], list(large)
+    for s in large if groups < capacity else ():
         left = counts[s]
         while left:
             if filled == per_group:

@@ -159,3 +159,15 @@ def test_packing_of_the_given_texts(spark, sf, most):
     """As few sequences as plain best fit by decreasing length, or as the bound from below says."""
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     assert packing.best_fit_pack(docs, BYTE).select("sequence_id").distinct().count() <= most
+
+
+def test_a_group_for_each_length_and_not_for_each_document(monkeypatch):
+    from arcloom.llm import packing
+
+    calls = []
+    own = packing._fullest
+    monkeypatch.setattr(packing, "_fullest", lambda *a: calls.append(len(a[1])) or own(*a))
+    counts = {s: 500 + s % 7 for s in range(30, 100, 3)}
+    runs = packing.scheme(counts, 100, 100 * 100, 0.35)
+    assert sum(n for _, _, n, _, _ in runs) == sum(counts.values())
+    assert max(calls) <= len(counts) and len(calls) <= 4 * len(counts)
