@@ -466,9 +466,9 @@ cells AS (SELECT w.lattice_id, w.position, CAST(a.ilabel AS INT) AS label, sum(e
 shares AS (SELECT *, s / sum(s) OVER (PARTITION BY lattice_id, position) AS p, max(position) OVER (PARTITION BY lattice_id) AS last FROM cells)
 SELECT lattice_id, CAST(position - 1 AS INT) AS src, CAST(position AS INT) AS dst, label, CAST(last AS INT) AS states, {r('-ln(p)')} AS weight FROM shares WHERE label <> -1""")
 def c2(spark, d):
-    made = confusion.confusion_network(lattice(spark, d))
-    sizes = made.rows.select("lattice_id", F.size("finals").alias("states"))
-    return rounded(made.arcs.select("lattice_id", "src", "dst", F.col("ilabel").alias("label"), "weight").join(sizes, "lattice_id"), "weight")
+    made = confusion.confusion_network(lattice(spark, d)).rows
+    each = made.select("lattice_id", F.size("finals").alias("states"), F.inline_outer("arcs")).filter("dst is not null")
+    return rounded(each.select("lattice_id", "src", "dst", F.col("ilabel").alias("label"), "states", "weight"), "weight")
 
 
 def _named(lattices):

@@ -4,79 +4,54 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from arcloom.functions.semiring import let
-from arcloom.lattice import EPSILON, Lattices, inlined
-from arcloom.operators.distance import backward, forward
-from arcloom.operators.filters import connect, expand_positions
+from arcloom.lattice import ARCS, EPSILON, Lattices
+from arcloom.plans.batches import Batch, lists, rows_of, spread, with_values
 
 #: label of the end of a lattice
 END = -1
 
 
+def _cells(lattices: Batch) -> dict:
+    """The table of a batch."""
+    lattice, position, label, p = lattices.words(EPSILON, END)
+    return {"lattice": lattice, "position": position.astype(np.int32), "label": label.astype(np.int32), "p": p}
+
+
 def mbr_table(lattices: Lattices) -> DataFrame:
     """lattice_id, position (from 1), label, p: the probability that the position-th
     input label that is not epsilon is ``label`` or that the lattice ends there."""
-    most = F.greatest(F.size("finals") - 1, F.lit(0))
-    wide = most + 1
-    rows = lattices.rows.filter("start is not null").select(
-        "lattice_id",
-        "finals",
-        wide.alias("wide"),
-        backward(F.col("arcs"), F.col("finals")).alias("beta"),
-        let(
-            expand_positions(F.col("arcs"), most, "ilabel"),
-            lambda arcs: F.struct(arcs.alias("arcs"), forward(arcs, F.col("start") * wide, F.size("finals") * wide).alias("alpha")),
-        ).alias("e"),
-    )
-    words = F.transform(
-        F.filter("e.arcs", lambda a: a["ilabel"] != EPSILON),
-        lambda a: F.struct(
-            (a["dst"] % F.col("wide")).alias("position"),
-            a["ilabel"].alias("label"),
-            (F.get(F.col("e.alpha"), a["src"]) + a["weight"] + F.get(F.col("beta"), (a["dst"] / F.col("wide")).cast("int"))).alias("w"),
-        ),
-    )
-    ends = F.filter(
-        F.transform(
-            "e.alpha",
-            lambda d, s: F.when(
-                F.get(F.col("finals"), (s / F.col("wide")).cast("int")) < math.inf,
-                F.struct(
-                    (s % F.col("wide") + 1).alias("position"),
-                    F.lit(END).alias("label"),
-                    (d + F.get(F.col("beta"), (s / F.col("wide")).cast("int"))).alias("w"),
-                ),
-            ),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    cells = inlined(rows, F.concat(words, ends), "w").filter(F.col("w") < math.inf)
-    table = cells.groupBy("lattice_id", "position", "label").agg(F.sum(F.exp(-F.col("w"))).alias("p"))
-    return table.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("lattice_id", "position")))
+    return rows_of(lattices.rows.filter("start is not null"), _cells, "position int, label int, p double")
 
 
 def confusion_network(lattices: Lattices) -> Lattices:
     """The table as a lattice: state k follows the k-th word; arcs carry the word
-    posteriors, final weights those of the end."""
-    table = mbr_table(lattices)
-    arcs = table.filter(F.col("label") != END).select(
-        "lattice_id",
-        (F.col("position") - 1).alias("src"),
-        F.col("position").alias("dst"),
-        F.col("label").alias("ilabel"),
-        F.col("label").alias("olabel"),
-        (-F.log("p")).alias("weight"),
-    )
-    # every position up to the end, the last state final unless its own entry says otherwise
-    last = table.groupBy("lattice_id").agg(F.max("position").alias("last"))
-    states = last.select("lattice_id", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("state"))
-    ends = table.filter(F.col("label") == END).select("lattice_id", (F.col("position") - 1).alias("state"), (-F.log("p")).alias("end"))
-    states = states.join(ends, ["lattice_id", "state"], "left").select(
-        "lattice_id",
-        "state",
-        F.coalesce("end", F.when(F.col("state") == F.col("last"), F.lit(0.0)).otherwise(F.lit(math.inf))).alias("final"),
-    )
-    return connect(Lattices.from_frames(arcs, states))
+    posteriors, final weights those of the end.
+
+    The last position of the table has the end only, and every other one a word, so what
+    is made needs no trimming."""
+
+    def network(b: Batch) -> pa.Array:
+        lattice, position, label, p = b.words(EPSILON, END)
+        # states before each position up to the last, which is the end of a longest path
+        sizes = np.zeros(b.n, np.int64)
+        np.maximum.at(sizes, lattice, position)
+        first = np.cumsum(sizes) - sizes
+        finals = np.full(int(sizes.sum()), math.inf)
+        end, cost = label == END, -np.log(p)
+        finals[first[lattice[end]] + position[end] - 1] = cost[end]
+        lattice, position, label, cost = lattice[~end], position[~end], label[~end], cost[~end]
+        count = np.bincount(lattice, minlength=b.n)
+        word = pa.array(label.astype(np.int32))
+        fields = [pa.array(position.astype(np.int32)), pa.array((position - 1).astype(np.int32)), pa.array(spread(np.zeros(b.n, np.int64), count)), word, word]
+        fields += [pa.array(cost), pa.nulls(len(cost), pa.list_(pa.float64()))]
+        arcs = pa.StructArray.from_arrays(fields, names=["dst", "src", "arc_id", "ilabel", "olabel", "weight", "features"])
+        start = pa.array(np.zeros(b.n, np.int32), mask=sizes == 0)
+        return pa.StructArray.from_arrays([start, lists(pa.array(finals), sizes), lists(arcs, count)], names=["start", "finals", "arcs"])
+
+    rows = lattices.rows.filter("start is not null").select("lattice_id", "start", "finals", "arcs")
+    made = with_values(rows, network, "network", f"struct<start:int,finals:array<double>,arcs:{ARCS}>")
+    return Lattices(made.select("lattice_id", "network.start", "network.finals", "network.arcs").filter("start is not null"))

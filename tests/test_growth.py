@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 from test_lattices import build
 
-from arcloom.operators import filters, structure
+from arcloom.operators import confusion, distance, filters, paths, structure
 from arcloom.sources import derive
 
 
@@ -39,3 +39,28 @@ def test_tasks_follow_the_lines(spark, monkeypatch):
     rows = derive.order_lattice(spark, SMALL).rows
     # as many tasks as the lines ask for, whatever the shuffled bytes are and the session's own number
     assert rows.rdd.getNumPartitions() == lines // 500 + 1 > 4
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_consensus_and_positions_stay_where_their_rows_are(spark):
+    two = build(spark, [(0, 1, 1, 1, 0.5), (0, 2, 2, 2, 0.5), (1, 2, 3, 3, 1.0)], 2)
+    base = _exchanges(two.rows)
+    for made in (confusion.mbr_table(two), confusion.confusion_network(two).rows, structure.output_symbols_by_depth(two), paths.position_probabilities(two)):
+        assert _exchanges(made) == base
+    # paths of one and of two words: the end is the second word's alternative, and no third state is left
+    net = confusion.confusion_network(two).rows.first()
+    assert (len(net.finals), net.start, sorted((a.src, a.dst, a.ilabel) for a in net.arcs)) == (3, 0, [(0, 1, 1), (0, 1, 2), (1, 2, 3)])
+
+
+def test_batch_distances_are_those_of_the_fold(spark):
+    chain = [(s, s + 1, 1, 1 + s % 3, 0.9) for s in range(40)] + [(s, s + 2, 1, 2, 0.1) for s in range(39)]
+    made = build(spark, chain, 40)
+    got = {r.arc_id: r.p for r in paths.arcs_with_posterior(made).collect()}
+    alpha = {(r.lattice_id, r.state): (r.alpha, r.beta) for r in distance.distances(made).collect()}
+    for a in made.arcs.collect():
+        total = alpha[a.lattice_id, 0][1]
+        assert math.isclose(got[a.arc_id], math.exp(total - alpha[a.lattice_id, a.src][0] - a.weight - alpha[a.lattice_id, a.dst][1]), rel_tol=1e-9)
+    assert [r.length for r in paths.sequence_length(made).collect()] == [-1]
