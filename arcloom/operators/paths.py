@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
 from arcloom.lattice import EPSILON, Lattices, inlined
-from arcloom.operators.distance import backward, by_end, forward
+from arcloom.operators.distance import backward, by_end
+from arcloom.plans.batches import Batch, rows_of, summed, with_values
 
 #: a path while it is searched: its cost, its arcs' ids, which settle ties, their places, and its labels where those count
 PATH = "array<struct<cost:double,ids:array<bigint>,at:array<int>,hyp:array<int>>>"
@@ -134,53 +137,38 @@ def summary(lattices: Lattices) -> DataFrame:
     return inlined(lattices.rows, F.filter(F.array(found), lambda x: x["paths"] > 0), "states")
 
 
-def depths(arcs: Column, start: Column, n: Column) -> Column:
-    """Array by state: the least number of arcs from the start (+inf: not reached)."""
-    unit = F.transform(arcs, lambda a: F.struct(a["dst"].alias("dst"), a["src"].alias("src"), F.lit(1.0).alias("weight")))
-    return let(unit, lambda u: forward(u, start, n, "tropical"))
-
-
-def most_depths(arcs: Column, start: Column, n: Column) -> Column:
-    """Array by state: the greatest number of arcs from the start (-inf: not reached)."""
-    back = F.transform(arcs, lambda a: F.struct(a["dst"].alias("dst"), a["src"].alias("src"), F.lit(-1.0).alias("weight")))
-    return F.transform(let(back, lambda u: forward(u, start, n, "tropical")), lambda d: -d)
+def _shares(b: Batch) -> dict:
+    """The arcs of ``arcs_with_posterior``, and their outputs."""
+    keep = b.weight < math.inf
+    depth = b.depths()[b.src[keep]]
+    position = pa.array(np.where(depth < math.inf, depth, 0).astype(np.int32), mask=depth == math.inf)
+    named = {n: b.fields[n].filter(pa.array(keep)) for n in ("src", "dst", "arc_id", "ilabel", "olabel")}
+    return {"lattice": b.of[keep], "position": position, **named, "p": b.posteriors()[keep]}
 
 
 def arcs_with_posterior(lattices: Lattices) -> DataFrame:
     """One row per arc of non-Zero weight: lattice_id, position (arcs from the start), the
     arc's fields, and p, the probability that a path takes it."""
-    n = F.size("finals")
-    shares = let(
-        F.struct(
-            forward(F.col("arcs"), F.col("start"), n).alias("alpha"),
-            backward(F.col("arcs"), F.col("finals")).alias("beta"),
-            depths(F.col("arcs"), F.col("start"), n).alias("depth"),
-        ),
-        lambda d: F.transform(
-            F.filter("arcs", lambda a: a["weight"] < math.inf),
-            lambda a: F.struct(
-                F.get(d["depth"], a["src"]).cast("int").alias("position"),
-                a["src"].alias("src"),
-                a["dst"].alias("dst"),
-                a["arc_id"].alias("arc_id"),
-                a["ilabel"].alias("ilabel"),
-                a["olabel"].alias("olabel"),
-                F.exp(F.get(d["beta"], F.col("start")) - F.get(d["alpha"], a["src"]) - a["weight"] - F.get(d["beta"], a["dst"])).alias("p"),
-            ),
-        ),
-    )
-    return inlined(lattices.rows, shares, "arc_id")
+    return rows_of(lattices.rows, _shares, "position int, src int, dst int, arc_id bigint, ilabel int, olabel int, p double")
+
+
+def _marginals(b: Batch, by: np.ndarray) -> dict:
+    """The posteriors of a batch's arcs, summed within each lattice by ``by`` and output label."""
+    keep = b.weight < math.inf
+    lattice, key, label, p = summed((b.of[keep], by[keep], b.olabel[keep]), b.posteriors()[keep])
+    return {"lattice": lattice, "key": key.astype(np.int32), "olabel": label.astype(np.int32), "p": p}
 
 
 def position_posteriors(lattices: Lattices) -> DataFrame:
     """lattice_id, position, olabel, p: by distance from the start; meant for
     lattices whose paths to a state are equally long (see sequence_length)."""
-    return arcs_with_posterior(lattices).groupBy("lattice_id", "position", "olabel").agg(F.sum("p").alias("p"))
+    found = rows_of(lattices.rows, lambda b: _marginals(b, np.where((d := b.depths()) < math.inf, d, -1)[b.src]), "key int, olabel int, p double")
+    return found.select("lattice_id", F.when(F.col("key") >= 0, F.col("key")).alias("position"), "olabel", "p")
 
 
 def position_probabilities(lattices: Lattices) -> DataFrame:
     """lattice_id, ilabel, olabel, p: marginals of the output labels by input label."""
-    return arcs_with_posterior(lattices).groupBy("lattice_id", "ilabel", "olabel").agg(F.sum("p").alias("p"))
+    return rows_of(lattices.rows, lambda b: _marginals(b, b.ilabel), "key int, olabel int, p double").withColumnRenamed("key", "ilabel")
 
 
 def shortest_hamming_path(lattices: Lattices) -> DataFrame:
@@ -201,24 +189,12 @@ def shortest_hamming_path(lattices: Lattices) -> DataFrame:
     )
 
 
+def with_length(rows: DataFrame) -> DataFrame:
+    """The rows with a column length, as ``sequence_length`` has it."""
+    return with_values(rows, lambda b: pa.array(b.lengths()), "length", "int")
+
+
 def sequence_length(lattices: Lattices) -> DataFrame:
     """lattice_id, length: the common length of all paths, or -1 if paths to a state
     or to the end differ in length or a label is negative."""
-    n = F.size("finals")
-    shape = let(
-        F.struct(
-            depths(F.col("arcs"), F.col("start"), n).alias("least"), most_depths(F.col("arcs"), F.col("start"), n).alias("most")
-        ),
-        lambda d: let(
-            F.array_distinct(F.filter(F.zip_with(d["least"], "finals", lambda x, f: F.when(f < math.inf, x)), lambda x: x < math.inf)),
-            lambda ends: F.when(
-                F.forall(F.zip_with(d["least"], d["most"], lambda x, y: (x == math.inf) | (x == y)), lambda s: s)
-                & F.forall("arcs", lambda a: (a["ilabel"] >= EPSILON) & (a["olabel"] >= EPSILON))
-                & (F.size(ends) == 1),
-                F.get(ends, F.lit(0)).cast("int"),
-            ).otherwise(F.lit(-1)),
-        ),
-    )
-    return lattices.rows.select("lattice_id", shape.alias("length"))
-
-
+    return with_length(lattices.rows.select("lattice_id", "start", "finals", "arcs")).select("lattice_id", "length")
