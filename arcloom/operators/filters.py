@@ -70,6 +70,11 @@ def rm_arc(lattices: Lattices, keep: Predicate) -> Lattices:
 def connect(lattices: Lattices) -> Lattices:
     """States that the start reaches and that reach a final state, numbered anew;
     a lattice without a path has no states and no start."""
+    return lattices.derive(trimmed)
+
+
+def trimmed(lattice_struct: Column) -> Column:
+    """What ``connect`` makes of a struct of start, finals and arcs."""
 
     def alive(v: Column) -> Column:
         free = F.transform(v["arcs"], lambda a: F.struct(a["dst"].alias("dst"), a["src"].alias("src"), F.lit(0.0).alias("weight")))
@@ -111,7 +116,7 @@ def connect(lattices: Lattices) -> Lattices:
         led_to = F.array_union(v["arcs"]["dst"], F.array(v["start"]))
         return v["start"].isNotNull() & (F.size(led_to) == n) & (F.size(F.array_union(v["arcs"]["src"], ends)) == n)
 
-    return lattices.derive(lambda v: F.when(is_whole(v), whole(v)).otherwise(let(alive(v), lambda k: kept(v, k))))
+    return let(lattice_struct, lambda v: F.when(is_whole(v), whole(v)).otherwise(let(alive(v), lambda k: kept(v, k))))
 
 
 def _posterior_costs(v: Column, semiring: str = "log") -> Column:

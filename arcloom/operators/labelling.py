@@ -4,30 +4,37 @@ A simulation runs in rounds.  In each round every sample with labels left is
 masked by the answers so far, its best labels and their scores are computed by
 the batch operators, and one position of it is asked.  What a sample is asked
 depends on its own answers only, so all samples go in step, a round is a few
-joins, and the number of rounds is the length of the longest sample.  The order
+passes over their rows, and the number of rounds is the length of the longest sample.  The order
 in which a system would ask across samples is a sort: a pool that always takes
 the least score takes the steps of each sample by the largest score so far.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
 from arcloom.functions.text import hamming
-from arcloom.lattice import Lattices, inlined
+from arcloom.lattice import KEYS, Lattices, inlined, lattice
 from arcloom.operators import normalise, paths
 from arcloom.operators.automata import determinize_and_normalize
-from arcloom.operators.filters import constrained, prune_arcs, rm_arc
+from arcloom.operators.filters import prune_arcs, trimmed
 from arcloom.operators.structure import encode_symbols
 from arcloom.operators.structure import reverse as reversed_lattices
+from arcloom.plans.batches import Batch, lists, runs, summed, with_values
 from arcloom.session import cut
 from arcloom.sources.text_lattices import read_htk
 
 
+SHOWN = "array<struct<position:int,hyp:int,score:double>>"
+
+
 @dataclass(frozen=True)
 class Method:
     """``system`` traversal, local or global; ``recompute`` random, sequential, greedy,
@@ -127,6 +134,18 @@ def greedy_path(arcs: Column, start: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), first, step)["path"]
 
 
+def _likeliest(b: Batch) -> pa.Array:
+    """By lattice, of each position the likeliest label, of equals the lowest, in order of position."""
+    keep = (b.weight < math.inf) & (b.ilabel > 0)
+    lattice, position, label, p = summed((b.of[keep], b.ilabel[keep], b.olabel[keep]), b.posteriors()[keep])
+    order = np.lexsort((label, -p, position, lattice))
+    best = order[runs(lattice[order], position[order])]
+    with np.errstate(divide="ignore"):
+        score = pa.array(np.log(p[best]), mask=~(p[best] > 0))
+    fields = [pa.array(position[best].astype(np.int32)), pa.array(label[best].astype(np.int32)), score]
+    return lists(pa.StructArray.from_arrays(fields, names=["position", "hyp", "score"]), np.bincount(lattice[best], minlength=b.n))
+
+
 def best_labels(lattices: Lattices, method: Method, seed: int = 0) -> DataFrame:
     """lattice_id, position (input label), hyp, score: the labels a system would show now."""
     if method.recompute == "greedy":
@@ -134,16 +153,35 @@ def best_labels(lattices: Lattices, method: Method, seed: int = 0) -> DataFrame:
         steps = greedy_path(F.col("arcs"), F.col("start"), F.size("finals"))
         return inlined(walked.rows, steps, "position").filter("position > 0")
     if method.recompute == "hamming":
-        p = paths.position_probabilities(lattices).filter("ilabel > 0")
-        best = p.groupBy("lattice_id", F.col("ilabel").alias("position")).agg(F.max(F.struct("p", (-F.col("olabel")).alias("o"))).alias("b"))
-        return best.select("lattice_id", "position", (-F.col("b.o")).alias("hyp"), F.log("b.p").alias("score"))
+        return inlined(with_values(lattices.rows, _likeliest, "shown", SHOWN), F.col("shown"), "position")
     found = paths.shortest_path(lattices)
     rows = found.select("lattice_id", F.posexplode(F.arrays_zip("hyp", "scores")).alias("at", "s"))
     score = F.col("s.scores") if method.recompute == "viterbi" else -F.col("s.scores") if method.recompute == "sequential" else F.log(_chance("at", seed))
     return rows.select("lattice_id", (F.col("at") + 1).alias("position"), F.col("s.hyp").alias("hyp"), score.alias("score"))
 
 
-def _chance(at: str, seed: int) -> Column:
+def _shown(masked: DataFrame, method: Method, seed: int) -> DataFrame:
+    """The rows that have a path, with their best labels and scores as an array ``shown``, ordered by position.
+
+    What a lattice's row tells by itself is added to it where it is; other measures are joined."""
+    if method.recompute == "hamming":
+        rows = with_values(masked, _likeliest, "shown", SHOWN).filter("start is not null")
+        if method.label in ("identity", "random"):
+            sign = -1.0 if method.flipped else 1.0
+            score = (lambda s: F.log(_chance(s["position"], seed))) if method.label == "random" else (lambda s: sign * s["score"])
+            return rows.withColumn("shown", F.transform("shown", lambda s: F.struct(s["position"].alias("position"), s["hyp"].alias("hyp"), score(s).alias("score"))))
+        rows = cut(rows)
+        found = inlined(rows, F.col("shown"), "position")
+    else:
+        rows = cut(masked)
+        rows = rows.filter("start is not null")
+        found = best_labels(Lattices(rows.select(*KEYS)), method, seed)
+    pool = label_scores(Lattices(rows.select(*KEYS)), found, method, seed)
+    per = pool.groupBy("lattice_id").agg(F.sort_array(F.collect_list(F.struct("position", "hyp", "score"))).alias("shown"))
+    return rows.drop("shown").join(per, "lattice_id")
+
+
+def _chance(at: str | Column, seed: int) -> Column:
     """A number in (0, 1) drawn by the sample and position."""
     return (F.pmod(F.xxhash64("lattice_id", at, F.lit(seed)), F.lit(1_000_003)) + 1) / 1_000_005
 
@@ -225,49 +263,45 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
     none of all shows an error; with ``by_sample`` each until it shows none itself.
     """
     how = METHODS[method] if isinstance(method, str) else method
-    good = paths.sequence_length(lattices).filter("length > 0")
-    rows = lattices.rows.join(good, "lattice_id").join(references, "lattice_id").filter("length = size(ref)")
-    base = replace(lattices, rows=rows.select("lattice_id", "start", "finals", "arcs"))
+    rows = paths.with_length(lattices.rows.select(*KEYS)).filter("length > 0")
+    rows = rows.join(references.select("lattice_id", "ref"), "lattice_id").filter("length = size(ref)")
     if how.normalized and how.recompute == "greedy":
-        base = determinize_and_normalize(base)
-    base = replace(base, rows=cut(base.rows))
-    refs = cut(rows.select("lattice_id", "ref"))
-    rounds = refs.agg(F.max(F.size("ref"))).first()[0] or 0
-    answers = refs.select("lattice_id", F.array().cast("array<struct<position:int,match:int,exclude:array<int>>>").alias("constraints"))
-    first_scores = cut(sample_scores(base, how.sample if how.system == "local" else "position", seed))
+        rows = cut(rows)
+        made = determinize_and_normalize(replace(lattices, rows=rows.select(*KEYS)))
+        rows = made.rows.join(rows.select("lattice_id", "ref"), "lattice_id")
+    asked = F.array().cast("array<int>").alias("asked")
+    rows = rows.select(*KEYS, "ref", asked, F.lit(None).cast("int").alias("position"), F.col("lattice_id").cast("double").alias("sample_score"))
+    rows = cut(rows)
+    if how.system == "local" and how.sample != "position":
+        own = sample_scores(replace(lattices, rows=rows.select(*KEYS)), how.sample, seed)
+        rows = cut(rows.drop("sample_score").join(own, "lattice_id"))
+    rounds = rows.agg(F.max(F.size("ref"))).first()[0] or 0
     log = None
+    key = {"score": lambda s: s["score"], "label": lambda s: s["position"].cast("double"), "label_desc": lambda s: -s["position"].cast("double")}[how.order]
     for number in range(rounds):
-        masked = rm_arc(replace(base, rows=base.rows.join(answers, "lattice_id")), constrained())
-        masked = replace(masked, rows=cut(masked.rows.filter("start is not null")))
-        shown = best_labels(masked, how, seed + number)
-        pool = cut(label_scores(masked, shown, how, seed + number))
-        per = pool.groupBy("lattice_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("position", F.struct("hyp", "score").alias("v")))).alias("shown"),
-            F.transform(F.sort_array(F.collect_list(F.struct("position", "hyp"))), lambda s: s["hyp"]).alias("hyps"),
-        )
-        state = per.join(refs, "lattice_id").join(answers, "lattice_id").withColumn("errors", hamming(F.col("hyps"), F.col("ref")))
-        asked = F.transform("constraints", lambda c: c["position"] + 1)
-        left = F.filter(F.map_keys("shown"), lambda p: ~F.array_contains(asked, p))
-        key = {"score": lambda p: F.element_at("shown", p)["score"], "label": lambda p: p.cast("double"), "label_desc": lambda p: -p.cast("double")}[how.order]
-        pick = F.array_min(F.transform(left, lambda p: F.struct(key(p).alias("k"), p.alias("p"))))["p"]
-        state = state.filter("errors > 0" if by_sample else "true").withColumn("position", pick).filter("position is not null")
+        # masked by the last answer; those before it have been heard
+        right = F.get("ref", F.col("position") - 1)
+        heard = F.filter("arcs", lambda a: F.coalesce((a["ilabel"] != F.col("position")) | (a["olabel"] == right), F.lit(True)))
+        masked = rows.select("lattice_id", "ref", "asked", "sample_score", trimmed(lattice(F.col("start"), F.col("finals"), heard)).alias("new"))
+        masked = masked.select("lattice_id", "new.start", "new.finals", "new.arcs", "ref", "asked", "sample_score")
+        state = _shown(masked, how, seed + number)
         if how.update and how.system == "local":
-            state = state.join(sample_scores(masked, how.sample, seed), "lattice_id", "left")
-        else:
-            state = state.join(first_scores, "lattice_id")
-        v = F.element_at("shown", F.col("position"))
-        state = cut(
-            state.select(
-                "lattice_id", F.lit(number).alias("round"), "position", v["hyp"].alias("hyp"), F.get("ref", F.col("position") - 1).alias("ref"),
-                v["score"].alias("score"), "errors", "sample_score", "constraints",
-            )
-        )
-        asked_now = state.withColumn("corrected", F.col("hyp") != F.col("ref")).drop("constraints")
+            state = state.drop("sample_score").join(sample_scores(Lattices(state.select(*KEYS)), how.sample, seed), "lattice_id", "left")
+        left = F.filter("shown", lambda s: ~F.array_contains("asked", s["position"]))
+        pick = F.array_min(F.transform(left, lambda s: F.struct(key(s).alias("k"), s["position"].alias("p"))))["p"]
+        state = state.withColumns({"errors": hamming(F.transform("shown", lambda s: s["hyp"]), F.col("ref")), "position": pick})
+        state = state.filter("errors > 0" if by_sample else "true").filter("position is not null")
+        v = F.get(F.filter("shown", lambda s: s["position"] == F.col("position")), F.lit(0))
+        state = state.select(*KEYS, "ref", F.concat("asked", F.array("position")).alias("asked"), "position", "sample_score", v["hyp"].alias("hyp"), v["score"].alias("score"), "errors")
+        state = cut(state)
+        ref = F.get("ref", F.col("position") - 1)
+        asked_now = state.select("lattice_id", F.lit(number).alias("round"), "position", "hyp", ref.alias("ref"), "score", "errors", "sample_score", (F.col("hyp") != ref).alias("corrected"))
         log = asked_now if log is None else log.union(asked_now)
-        answer = F.struct((F.col("position") - 1).alias("position"), F.col("ref").alias("match"), F.array().cast("array<int>").alias("exclude"))
-        answers = cut(state.select("lattice_id", F.concat("constraints", F.array(answer)).alias("constraints")))
+        rows = state.select(*KEYS, "ref", "asked", "position", "sample_score")
     if log is None:
-        return refs.select("lattice_id", *[F.lit(None).cast("double").alias(c) for c in ("round", "position", "hyp", "ref", "score", "errors", "corrected", "order_1", "order_2")]).limit(0)
+        return rows.select("lattice_id", *[F.lit(None).cast("double").alias(c) for c in ("round", "position", "hyp", "ref", "score", "errors", "corrected", "order_1", "order_2")]).limit(0)
+    # the rounds' rows hold lattices too: read once
+    log = cut(log)
     if how.system == "traversal":
         first, second = F.col("round").cast("double"), F.col("lattice_id").cast("double")
     elif how.system == "local":

@@ -27,7 +27,7 @@ def label_rates(lattices: Lattices, time: str, window: str = "10 minutes", late:
     """window, olabel, expected: how often each label is expected per window of the
     lattices' timestamp column ``time``; rows later than ``late`` are left out."""
     stamped = Lattices(
-        lattices.rows.withWatermark(time, late).select(F.struct("lattice_id", time).alias("lattice_id"), "start", "finals", "arcs", F.col(time).alias("at"))
+        lattices.rows.select(F.struct("lattice_id", time).alias("lattice_id"), "start", "finals", "arcs", F.col(time).alias("at"))
     )
-    p = arcs_with_posterior(stamped).select(F.col(f"lattice_id.{time}").alias("at"), "olabel", "p")
+    p = arcs_with_posterior(stamped).select(F.col(f"lattice_id.{time}").alias("at"), "olabel", "p").withWatermark("at", late)
     return p.groupBy(F.window("at", window), "olabel").agg(F.sum("p").alias("expected"))

@@ -5,9 +5,10 @@ import os
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 from test_lattices import build
 
-from arcloom.operators import confusion, distance, filters, paths, structure
+from arcloom.operators import confusion, distance, filters, labelling, paths, structure
 from arcloom.sources import derive
 
 
@@ -64,3 +65,13 @@ def test_batch_distances_are_those_of_the_fold(spark):
         total = alpha[a.lattice_id, 0][1]
         assert math.isclose(got[a.arc_id], math.exp(total - alpha[a.lattice_id, a.src][0] - a.weight - alpha[a.lattice_id, a.dst][1]), rel_tol=1e-9)
     assert [r.length for r in paths.sequence_length(made).collect()] == [-1]
+
+
+def test_a_round_of_a_simulation_needs_no_exchange(spark):
+    pair = build(spark, [(0, 1, 1, 1, 0.4), (0, 1, 1, 2, 0.6), (1, 2, 2, 3, 0.5), (1, 2, 2, 4, 0.5)], 2)
+    held = spark.createDataFrame(pair.rows.withColumn("note", F.lit("kept")).collect(), pair.rows.withColumn("note", F.lit("")).schema)
+    made = labelling._shown(held, labelling.METHODS["sequential-hamming"], 0)
+    assert _exchanges(made) == 0
+    row = made.first()
+    # of equally likely labels the lowest; other columns stay
+    assert [(s.position, s.hyp) for s in row.shown] == [(1, 2), (2, 3)] and row.note == "kept"
