@@ -6,12 +6,15 @@ import math
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
-from arcloom.lattice import ARCS, EPSILON, Lattices, lattice, numbered, with_fields
+from arcloom.lattice import ARCS, EPSILON, KEYS, Lattices, lattice, with_fields
 from arcloom.operators.distance import backward, forward
+from arcloom.plans.batches import Batch, collection, fold, spread, with_values
 
 Predicate = Callable[[Column], Column]
 
@@ -183,17 +186,46 @@ def expand_positions(arcs: Column, most: Column, label: str) -> Column:
 
 
 def set_length(lattices: Lattices, n: int) -> Lattices:
-    """Paths with exactly n output labels other than epsilon."""
-    wide = n + 1
-
-    def counted(v: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(v["finals"]) * wide - 1)
-        finals = F.transform(
-            places, lambda s: F.when(s % wide == n, F.get(v["finals"], (s / wide).cast("int"))).otherwise(F.lit(math.inf))
-        )
-        return lattice(v["start"] * wide, finals, numbered(expand_positions(v["arcs"], F.lit(n), "olabel")))
-
-    return connect(lattices.derive(counted))
+    """Paths with exactly n output labels other than epsilon.
+
+    A state is split by how many labels paths to it have, up to n; of these states and their arcs those
+    on a path are kept, numbered in the order of the old ones."""
+
+    def counted(b: Batch) -> pa.Array:
+        spoken = (b.olabel != EPSILON).astype(np.int64)
+        low, high = b.reads(spoken)
+        wide = np.maximum(np.minimum(high, n) - low + 1, 0)
+        base = np.cumsum(wide) - wide
+        arc, read = np.repeat(np.arange(len(b.src)), wide[b.src]), spread(low[b.src], wide[b.src])
+        within = read + spoken[arc] <= n
+        arc, read = arc[within], read[within]
+        src = base[b.src[arc]] + read - low[b.src[arc]]
+        dst = base[b.dst[arc]] + read + spoken[arc] - low[b.dst[arc]]
+        old = np.repeat(np.arange(len(wide)), wide)
+        finals = np.where(spread(low, wide) == n, b.finals[old], math.inf)
+        seeds = np.full(len(old), math.inf)
+        seeds[base[b.start[b.begun]]] = 0.0
+        reached = fold(seeds, src, dst, b.at_dst[arc], 0.0, "tropical") < math.inf
+        ends = fold(np.where(finals < math.inf, 0.0, math.inf), dst, src, -b.at_src[arc], 0.0, "tropical") < math.inf
+        alive = reached & ends
+        of = b.of_state[old]
+        states = np.bincount(of[alive], minlength=b.n)
+        new = np.cumsum(alive) - 1 - (np.cumsum(states) - states)[of]
+        on = alive[src] & alive[dst]
+        arc, src, dst = arc[on], new[src[on]], new[dst[on]]
+        count = np.bincount(b.of[arc], minlength=b.n)
+        order = np.lexsort((arc, dst, src, b.of[arc]))
+        arc, src, dst = arc[order], src[order], dst[order]
+        number = spread(np.zeros(b.n, np.int64), count)
+        order = np.lexsort((number, src, dst, b.of[arc]))
+        at = pa.array(arc[order])
+        own = {k: b.fields[k].take(at) for k in ("ilabel", "olabel", "weight", "features")}
+        arcs = {"dst": dst[order].astype(np.int32), "src": src[order].astype(np.int32), "arc_id": number[order], **own}
+        return collection(finals[alive], states, arcs, count)
+
+    rows = lattices.rows.select(*KEYS)
+    made = with_values(rows, counted, "made", f"struct<start:int,finals:array<double>,arcs:{ARCS}>")
+    return replace(lattices, rows=made.select("lattice_id", "made.start", "made.finals", "made.arcs"))
 
 
 def rm_prefix(lattices: Lattices, k: int) -> tuple[Lattices, DataFrame]:

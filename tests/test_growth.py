@@ -75,3 +75,13 @@ def test_a_round_of_a_simulation_needs_no_exchange(spark):
     row = made.first()
     # of equally likely labels the lowest; other columns stay
     assert [(s.position, s.hyp) for s in row.shown] == [(1, 2), (2, 3)] and row.note == "kept"
+
+
+def test_paths_of_a_length_are_kept_without_a_fold_in_the_row(spark):
+    made = build(spark, [(0, 1, 1, 1, 0.5), (0, 2, 2, 2, 0.5), (1, 2, 3, 3, 1.0), (2, 3, 4, 0, 1.0)], 3)
+    for n, arcs in ((1, [(0, 1, 2), (1, 2, 0)]), (2, [(0, 1, 1), (1, 2, 3), (2, 3, 0)]), (3, [])):
+        kept = filters.set_length(made, n)
+        assert "aggregate(" not in kept.rows._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+        row = kept.rows.first()
+        assert [(a.src, a.dst, a.olabel) for a in row.arcs] == arcs and row.start == (0 if arcs else None)
+        assert [r.paths for r in paths.summary(kept).collect()] == [1] * bool(arcs)
