@@ -2,21 +2,22 @@
 minimal automaton.
 
 Subset construction is sequential within a lattice, so these run a kernel over the rows of
-a collection, as Arrow batches.  Posteriors over an automaton are joins.
+a collection, as Arrow batches.  Epsilons are removed, and posteriors over an automaton found, for all lattices of a batch at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from arcloom.lattice import ARCS, Lattices, arc
-from arcloom.operators.composition import explore
+from arcloom.lattice import KEYS, Lattices
 from arcloom.operators.filters import connect
-from arcloom.operators.normalise import arc_posteriors, normalize
+from arcloom.operators.normalise import normalize
+from arcloom.plans.batches import Batch, changed, collection, fold, kept, log_summed, matched, runs, sent, spread
 from arcloom.session import cut
 
 ARROW_ARC = pa.struct(
@@ -36,11 +37,17 @@ class _Machine:
         self.arcs, self.finals, self.start = arcs, finals, start
 
     @staticmethod
-    def of(row: dict) -> _Machine:
-        arcs: list[list[tuple]] = [[] for _ in row["finals"]]
-        for a in row["arcs"]:
-            arcs[a["src"]].append(((a["ilabel"], a["olabel"]), a["dst"], a["weight"]))
-        return _Machine(arcs, list(row["finals"]), row["start"] or 0)
+    def each(b: Batch) -> Iterator[_Machine]:
+        """The lattices of a batch."""
+        labels = list(zip(b.ilabel.tolist(), b.olabel.tolist(), strict=True))
+        src, dst, weight, finals = b.at_src.tolist(), b.at_dst.tolist(), b.weight.tolist(), b.finals.tolist()
+        state = arc = 0
+        for n, m, start in zip(b.sizes.tolist(), b.arc_sizes.tolist(), (b.start - b.first).tolist(), strict=True):
+            arcs: list[list[tuple]] = [[] for _ in range(n)]
+            for k in range(arc, arc + m):
+                arcs[src[k]].append((labels[k], dst[k], weight[k]))
+            yield _Machine(arcs, finals[state : state + n], max(start, 0))
+            state, arc = state + n, arc + m
 
     def without_weights(self) -> _Machine:
         bare = [[(x, t, 0.0 if w < math.inf else w) for x, t, w in out] for out in self.arcs]
@@ -130,12 +137,20 @@ class _Machine:
         arcs = [[(x, last - t, w) for x, t, w in kept[last - i][0]] for i in range(len(kept))]
         return _Machine(arcs, [kept[last - i][1] for i in range(len(kept))], last - of[self.start] if order else 0)
 
-    def row(self) -> dict:
-        """start, finals and arcs as a collection's rows have them."""
-        placed = [(t, s, x, w) for s, out in enumerate(self.arcs) for x, t, w in out]
-        arcs = [{"dst": t, "src": s, "arc_id": i, "ilabel": x[0], "olabel": x[1], "weight": w, "features": None} for i, (t, s, x, w) in enumerate(placed)]
-        arcs.sort(key=lambda a: (a["dst"], a["src"], a["arc_id"]))
-        return {"start": self.start if self.finals else None, "finals": self.finals, "arcs": arcs}
+
+def _collected(machines: list[_Machine]) -> pa.Array:
+    """Machines as ``collection`` has lattices; arcs are numbered by the states that they leave."""
+    arcs = [(i, t, s, x[0], x[1], w) for i, m in enumerate(machines) for s, out in enumerate(m.arcs) for x, t, w in out]
+    of, dst, src, ilabel, olabel, weight = (np.array(v) for v in zip(*arcs, strict=True)) if arcs else np.zeros((6, 0))
+    of, dst, src = (v.astype(np.int64) for v in (of, dst, src))
+    count = np.bincount(of, minlength=len(machines))
+    number = spread(np.zeros(len(machines), np.int64), count)
+    at = np.lexsort((number, src, dst, of))
+    fields = {"dst": dst, "src": src, "arc_id": number, "ilabel": ilabel, "olabel": olabel}
+    made = {k: v[at].astype(np.int64 if k == "arc_id" else np.int32) for k, v in fields.items()}
+    made |= {"weight": weight[at].astype(float), "features": pa.nulls(len(at), pa.list_(pa.float64()))}
+    finals = np.array([f for m in machines for f in m.finals], dtype=float)
+    return collection(finals, np.array([len(m.finals) for m in machines], np.int64), made, count, np.array([m.start for m in machines]))
 
 
 def posteriors_over(lattices: Lattices, automata: Lattices, match: str = "pairs") -> Lattices:
@@ -153,52 +168,98 @@ def _weighted(shapes: Lattices, plain: Lattices, match: str = "pairs") -> Lattic
     """``shapes`` weighted by the posteriors of ``plain``, normalised lattices without epsilons.
 
     Which lattice states a state of the automaton stands for is the reach of both starts through equal labels.  Each
-    arc that leaves one of them with the arc's label counts once for it; shares of what leaves a state sum to 1."""
-    labels = ["ilabel", "olabel"] if match == "pairs" else ["ilabel"]
-    shapes = Lattices(cut(shapes.rows), shapes.symbols, shapes.meta)
-    own = shapes.arcs.select("lattice_id", F.col("src").alias("q"), F.col("dst").alias("next_q"), *labels)
-    spoken = cut(
-        arc_posteriors(plain).select("lattice_id", F.col("src").alias("b"), F.col("dst").alias("next_b"), *labels, "arc_id", F.exp(-F.col("weight")).alias("p"))
-    )
-    starts = shapes.rows.select("lattice_id", F.col("start").alias("q")).join(plain.rows.select("lattice_id", F.col("start").alias("b")), "lattice_id")
-    starts = starts.filter("q IS NOT NULL AND b IS NOT NULL")
-    met = explore(starts, lambda now: now.join(own, ["lattice_id", "q"]).join(spoken, ["lattice_id", "b", *labels]), ["lattice_id", "q", "b"])
-    shares = met.groupBy("lattice_id", F.col("q").alias("src"), F.col("next_q").alias("dst"), *labels).agg(F.sum("p").alias("p"))
-    out = F.sum("p").over(Window.partitionBy("lattice_id", "src"))
-    shares = shares.withColumn("cost", F.when(F.col("p") > 0, F.log(out / F.col("p"))).otherwise(F.lit(math.inf)))
-    key = ["lattice_id", "src", "dst", *labels]
-    arcs = shapes.arcs.drop("weight").join(shares.select(*key, "cost"), key, "left")
-    one = arc(*[F.col(n) for n in ("dst", "src", "arc_id", "ilabel", "olabel")], F.coalesce("cost", F.lit(math.inf)))
-    arcs = arcs.groupBy("lattice_id").agg(F.sort_array(F.collect_list(one)).alias("arcs"))
-    rows = shapes.rows.select("lattice_id", "start", "finals").join(plain.rows.select("lattice_id"), "lattice_id", "left_semi")
-    rows = rows.join(arcs, "lattice_id", "left").select("lattice_id", "start", "finals", F.coalesce("arcs", F.array().cast(ARCS)).alias("arcs"))
-    return Lattices(rows, shapes.symbols, shapes.meta)
+    arc that leaves one of them with the arc's label counts once for it; shares of what leaves a state sum to 1.
+    Pairs of states are followed within a batch of lattices, each pair once."""
+
+    def weighted(b: Batch, spoken: Batch) -> pa.Array:
+        both = [np.concatenate(v).astype(np.int64) for v in ((b.ilabel, spoken.ilabel), (b.olabel, spoken.olabel))]
+        _, label = np.unique(both[0] if match == "input" else (both[0] << 32) + both[1], return_inverse=True)
+        own, heard = label[: len(b.src)], label[len(b.src) :]
+        labels = int(label.max(initial=0)) + 1
+        alpha, beta = spoken.forward(), spoken.backward()
+        p = np.exp(-(alpha[spoken.src] + spoken.weight + beta[spoken.dst]))
+        # arcs of the automaton by the state that they leave, the lattice's by that and their label
+        by_state = np.argsort(b.src, kind="stable")
+        key = spoken.src * labels + heard
+        by_label = np.argsort(key, kind="stable")
+        key = key[by_label]
+        # arcs between the same states with the same labels have one share
+        order = np.lexsort((own, b.dst, b.src))
+        heads = runs(b.src[order], b.dst[order], own[order])
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+        shares, met = np.zeros(len(heads)), np.zeros(len(heads), bool)
+        begun = b.begun & spoken.begun
+        width = len(spoken.finals) + 1
+        seen = now = np.unique(b.start[begun] * width + spoken.start[begun])
+        while len(now):
+            q, at = now // width, now % width
+            pair, arc = matched(q, b.src[by_state])
+            arc = by_state[arc]
+            step, one = matched(at[pair] * labels + own[arc], key)
+            arc, one = arc[step], by_label[one]
+            met[group[arc]] = True
+            shares += np.bincount(group[arc], p[one], len(heads))
+            now = np.setdiff1d(b.dst[arc] * width + spoken.dst[one], seen)
+            seen = np.union1d(seen, now)
+        out = np.bincount(b.src[order][heads], shares, len(b.finals))[b.src]
+        share = shares[group]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cost = np.where(met[group] & (share > 0), np.log(out / share), math.inf)
+        fields = {n: b.fields[n] for n in ("dst", "src", "arc_id", "ilabel", "olabel")}
+        made = fields | {"weight": cost, "features": pa.nulls(len(cost), pa.list_(pa.float64()))}
+        return collection(b.finals, b.sizes, made, b.arc_sizes, b.start - b.first)
+
+    return Lattices(changed(shapes.rows, weighted, plain.rows), shapes.symbols, shapes.meta)
 
 
 def _per_lattice(lattices: Lattices, change) -> Lattices:
     """``change`` maps each row, as a machine, to another, or to None where it gives up.  Rows stay where they are."""
 
     def run(batches):
+        none = _Machine([], [])
         for b in batches:
-            out = {"lattice_id": b.column(0), "start": [], "finals": [], "arcs": [], "error": []}
-            for row in b.select(["start", "finals", "arcs"]).to_pylist():
-                made = change(_Machine.of(row))
-                for k, v in (made.row() if made else {"start": None, "finals": None, "arcs": None}).items():
-                    out[k].append(v)
-                out["error"].append(None if made else "too many states")
-            kinds = {"start": pa.int32(), "finals": pa.list_(pa.float64()), "arcs": pa.list_(ARROW_ARC), "error": pa.string()}
-            yield pa.RecordBatch.from_pydict({k: v if k == "lattice_id" else pa.array(v, kinds[k]) for k, v in out.items()})
-
-    kept = lattices.rows.filter("start is not null").select("lattice_id", "start", "finals", "arcs")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", error string"
+            made = [change(m) for m in _Machine.each(Batch(b))]
+            lost = pa.array([None if m else "too many states" for m in made], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *_collected([m or none for m in made]).flatten(), lost], names=[*KEYS, "error"])
+
+    begun = lattices.rows.filter("start is not null").select(*KEYS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in begun.schema) + ", error string"
     # written once, as lattices and errors are read from it
-    rows = cut(kept.mapInArrow(run, schema))
+    rows = cut(sent(begun).mapInArrow(run, schema))
     errors = rows.filter("error is not null").select("lattice_id", "error")
     return Lattices(rows.filter("error is null").drop("error"), lattices.symbols, errors)
 
 
+def _silenced(b: Batch) -> pa.Array:
+    """Epsilon arcs folded into what follows them, and what lies on no path left out: from the last states to the first, the
+    k-th of every lattice at once, each taking over the arcs of the states that its epsilons lead to."""
+    silent = (b.ilabel == 0) & (b.olabel == 0)
+    loud = np.flatnonzero(~silent)
+    finals = fold(b.finals, b.dst[silent], b.src[silent], -b.at_src[silent], b.weight[silent])
+    arcs = log_summed((b.src[loud], b.dst[loud], b.ilabel[loud], b.olabel[loud]), b.weight[loud])
+    states = np.arange(len(b.finals))
+    first = np.searchsorted(arcs[0], states)
+    count = np.searchsorted(arcs[0], states, "right") - first
+    quiet = np.flatnonzero(silent)
+    quiet = quiet[np.argsort(-b.at_src[quiet], kind="stable")]
+    for at in np.split(quiet, runs(b.at_src[quiet])[1:]) if len(quiet) else ():
+        to, own = b.dst[at], np.unique(b.src[at])
+        arc = np.concatenate([spread(first[to], count[to]), spread(first[own], count[own])])
+        lead = np.concatenate([np.repeat(b.weight[at], count[to]), np.zeros(int(count[own].sum()))])
+        src = np.concatenate([np.repeat(b.src[at], count[to]), np.repeat(own, count[own])])
+        more = log_summed((src, *[v[arc] for v in arcs[1:4]]), arcs[4][arc] + lead)
+        first[own] = len(arcs[0]) + np.searchsorted(more[0], own)
+        count[own] = np.searchsorted(more[0], own, "right") - np.searchsorted(more[0], own)
+        arcs = tuple(np.concatenate(v) for v in zip(arcs, more, strict=True))
+    at = spread(first, count)
+    names = {"src": arcs[0], "dst": arcs[1], "ilabel": arcs[2].astype(np.int32), "olabel": arcs[3].astype(np.int32), "weight": arcs[4]}
+    return kept(b.n, b.of_state, b.local, finals, b.start[b.begun], {k: v[at] for k, v in names.items()})
+
+
 def rm_epsilon(lattices: Lattices) -> Lattices:
-    return connect(_per_lattice(connect(lattices), lambda m: m.without_epsilons()))
+    # written once, as callers read it more often
+    return Lattices(cut(changed(lattices.rows.filter("start is not null"), _silenced)), lattices.symbols)
 
 
 def determinize(lattices: Lattices, max_states: int | None = None, minimal: bool = True) -> Lattices:

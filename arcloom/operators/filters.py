@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.semiring import let
-from arcloom.lattice import ARCS, EPSILON, KEYS, Lattices, lattice, with_fields
+from arcloom.lattice import ARCS, EPSILON, Lattices, lattice, with_fields
 from arcloom.operators.distance import backward, forward
-from arcloom.plans.batches import Batch, collection, fold, spread, with_values
+from arcloom.plans.batches import Batch, changed, kept, spread
 
 Predicate = Callable[[Column], Column]
 
@@ -203,29 +203,12 @@ def set_length(lattices: Lattices, n: int) -> Lattices:
         dst = base[b.dst[arc]] + read + spoken[arc] - low[b.dst[arc]]
         old = np.repeat(np.arange(len(wide)), wide)
         finals = np.where(spread(low, wide) == n, b.finals[old], math.inf)
-        seeds = np.full(len(old), math.inf)
-        seeds[base[b.start[b.begun]]] = 0.0
-        reached = fold(seeds, src, dst, b.at_dst[arc], 0.0, "tropical") < math.inf
-        ends = fold(np.where(finals < math.inf, 0.0, math.inf), dst, src, -b.at_src[arc], 0.0, "tropical") < math.inf
-        alive = reached & ends
-        of = b.of_state[old]
-        states = np.bincount(of[alive], minlength=b.n)
-        new = np.cumsum(alive) - 1 - (np.cumsum(states) - states)[of]
-        on = alive[src] & alive[dst]
-        arc, src, dst = arc[on], new[src[on]], new[dst[on]]
-        count = np.bincount(b.of[arc], minlength=b.n)
-        order = np.lexsort((arc, dst, src, b.of[arc]))
-        arc, src, dst = arc[order], src[order], dst[order]
-        number = spread(np.zeros(b.n, np.int64), count)
-        order = np.lexsort((number, src, dst, b.of[arc]))
-        at = pa.array(arc[order])
-        own = {k: b.fields[k].take(at) for k in ("ilabel", "olabel", "weight", "features")}
-        arcs = {"dst": dst[order].astype(np.int32), "src": src[order].astype(np.int32), "arc_id": number[order], **own}
-        return collection(finals[alive], states, arcs, count)
-
-    rows = lattices.rows.select(*KEYS)
-    made = with_values(rows, counted, "made", f"struct<start:int,finals:array<double>,arcs:{ARCS}>")
-    return replace(lattices, rows=made.select("lattice_id", "made.start", "made.finals", "made.arcs"))
+        own = {k: b.fields[k].take(pa.array(arc)) for k in ("ilabel", "olabel", "weight", "features")}
+        # a start is read before any label, so it is split into one state; none where that is over n
+        starts = base[b.start[b.begun]]
+        return kept(b.n, b.of_state[old], b.local[old], finals, starts, {"src": src, "dst": dst, **own})
+
+    return replace(lattices, rows=changed(lattices.rows, counted))
 
 
 def rm_prefix(lattices: Lattices, k: int) -> tuple[Lattices, DataFrame]:

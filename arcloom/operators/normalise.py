@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from arcloom.functions.semiring import entropy_term, let, log_plus, log_sum, plu
 from arcloom.functions.text import hamming
 from arcloom.lattice import Lattices, inlined, lattice, with_fields
 from arcloom.operators.distance import backward, fold, forward
-from arcloom.operators.filters import connect
 from arcloom.operators.paths import best_logprob, position_probabilities, shortest_path
+from arcloom.plans.batches import Batch, changed, connected
 
 
 def scale_weights(lattices: Lattices, k: float) -> Lattices:
@@ -29,16 +31,14 @@ def remove_weights(lattices: Lattices) -> Lattices:
 
 def normalize(lattices: Lattices, scale: float = 1.0) -> Lattices:
     """Weights pushed so that what leaves each state, its final weight included, sums to 1."""
-    trimmed = connect(lattices if scale == 1.0 else scale_weights(lattices, scale))
+    scaled = lattices if scale == 1.0 else scale_weights(lattices, scale)
 
-    def pushed(v: Column, b: Column) -> Column:
-        return lattice(
-            v["start"],
-            F.zip_with(v["finals"], b, lambda f, x: f - x),
-            F.transform(v["arcs"], lambda a: with_fields(a, weight=a["weight"] + F.get(b, a["dst"]) - F.get(b, a["src"]))),
-        )
+    def pushed(b: Batch) -> pa.Array:
+        beta = b.backward()
+        with np.errstate(invalid="ignore"):
+            return connected(b, b.finals - beta, b.weight + beta[b.dst] - beta[b.src])
 
-    return trimmed.derive(lambda v: let(backward(v["arcs"], v["finals"]), lambda b: pushed(v, b)))
+    return replace(scaled, rows=changed(scaled.rows, pushed))
 
 
 def arc_posteriors(lattices: Lattices) -> DataFrame:

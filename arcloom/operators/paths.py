@@ -124,17 +124,16 @@ def path_count(lattices: Lattices) -> DataFrame:
 
 def summary(lattices: Lattices) -> DataFrame:
     """lattice_id, states, n_arcs, mass, paths of the lattices that have a path."""
-    found = let(
-        F.struct("start", "finals", "arcs"),
-        lambda v: F.struct(
-            F.size(v["finals"]).alias("states"),
-            F.size(v["arcs"]).alias("n_arcs"),
-            F.get(backward(v["arcs"], v["finals"]), v["start"]).alias("mass"),
-            F.get(path_counts(v["arcs"], v["finals"]), v["start"]).cast("long").alias("paths"),
-        ),
-    )
-    # a filter behind the projection would have it computed twice
-    return inlined(lattices.rows, F.filter(F.array(found), lambda x: x["paths"] > 0), "states")
+
+    def found(b: Batch) -> dict:
+        paths = b.backward(0.0, "count", np.where(b.finals < math.inf, 1.0, 0.0))
+        paths = np.where(b.begun, paths[b.start] if len(paths) else 0.0, 0.0)
+        at = np.flatnonzero(paths > 0)
+        sizes = {"states": b.sizes[at].astype(np.int32), "n_arcs": b.arc_sizes[at].astype(np.int32)}
+        return {"lattice": at, **sizes, "mass": b.at_start(b.backward())[at], "paths": paths[at]}
+
+    made = rows_of(lattices.rows, found, "states int, n_arcs int, mass double, paths double")
+    return made.withColumn("paths", F.col("paths").cast("long"))
 
 
 def _shares(b: Batch) -> dict:

@@ -8,7 +8,9 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from test_lattices import build
 
-from arcloom.operators import confusion, distance, filters, labelling, paths, structure
+from arcloom.lattice import Lattices
+from arcloom.operators import automata, confusion, distance, filters, labelling, normalise, paths, structure
+from arcloom.plans import batches
 from arcloom.sources import derive
 
 
@@ -85,3 +87,24 @@ def test_paths_of_a_length_are_kept_without_a_fold_in_the_row(spark):
         row = kept.rows.first()
         assert [(a.src, a.dst, a.olabel) for a in row.arcs] == arcs and row.start == (0 if arcs else None)
         assert [r.paths for r in paths.summary(kept).collect()] == [1] * bool(arcs)
+
+
+def test_posteriors_over_an_automaton_take_one_join(spark):
+    base = build(spark, [(0, 1, 1, 1, 0.25), (0, 2, 1, 1, 0.25), (0, 2, 2, 2, 0.5), (1, 2, 3, 3, 1.0)], 2)
+    made = automata.posteriors_over(base, automata.determinize(normalise.remove_weights(base))).rows
+    # pairs of states are followed within a batch, not by a join for each round
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1
+    # the label 1 leads to both states, of which one has an arc
+    assert {a.ilabel: round(math.exp(-a.weight), 6) for a in made.first().arcs} == {1: 0.5, 2: 0.5, 3: 1.0}
+
+
+def test_batches_have_no_null_lists_within_structs(spark):
+    """Spark's writer goes over all of these for each row, in the square of a batch's rows."""
+    made = build(spark, [(0, 1, 1, 1, 0.4), (0, 1, 2, 2, 0.6), (1, 2, 3, 3, 1.0)], 2)
+    one = F.transform("arcs", lambda a: a.withField("features", F.when(a["ilabel"] == 2, F.array(F.lit(7.0)))))
+    for rows, features in ((made.rows, [None, None, None]), (made.rows.withColumn("arcs", one), [None, [7.0], None])):
+        given = batches.sent(rows)
+        assert "features" not in given.schema["arcs"].dataType.elementType.fieldNames()
+        for back in (normalise.normalize(Lattices(rows)).rows, paths.with_length(rows)):
+            assert [a.features for a in back.first().arcs] == features
