@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.lattice import ARCS, Lattices
+from arcloom.lattice import ARCS, KEYS, Lattices
+from arcloom.plans.batches import sent
 
 # fixed values of the binary form
 MAGIC, SYMBOLS_MAGIC, VERSION = 2125659606, 2125658996, 2
@@ -134,7 +135,7 @@ def to_binary(lattices: Lattices, arc_type: str = "log") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(r, arc_type) for r in b.to_pylist()], pa.binary())], names=["lattice_id", "data"])
 
-    return lattices.rows.select("lattice_id", "start", "finals", "arcs").mapInArrow(run, "lattice_id long, data binary")
+    return sent(lattices.rows.select(*KEYS)).mapInArrow(run, "lattice_id long, data binary")
 
 
 def _collection(ids: DataFrame, read) -> Lattices:

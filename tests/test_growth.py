@@ -11,7 +11,7 @@ from test_lattices import build
 from arcloom.lattice import Lattices
 from arcloom.operators import automata, composition, confusion, distance, filters, labelling, normalise, paths, structure
 from arcloom.plans import batches
-from arcloom.sources import derive
+from arcloom.sources import automata_files, derive
 
 
 def test_states_are_numbered_in_batches_of_lattices(spark):
@@ -118,3 +118,11 @@ def test_composition_with_one_automaton_needs_no_exchange(spark):
     assert _exchanges(made) == _exchanges(base.rows)
     row = made.first()
     assert [(a.src, a.dst, a.olabel) for a in row.arcs] == [(0, 1, 6), (0, 2, 7), (1, 3, 7), (2, 3, 8)] and row.finals[3] == 0.0
+
+
+def test_binary_files_are_written_from_rows_without_null_lists(spark):
+    made = build(spark, [(0, 1, 1, 1, 0.4), (0, 1, 2, 2, 0.6)], 1)
+    written = automata_files.to_binary(made)
+    plan = written._jdf.queryExecution().analyzed().toString()
+    assert "features" in plan.split("MapInArrow")[1].split("\n")[0]
+    assert automata_files.parse_binary(written).arcs.count() == 2
