@@ -444,9 +444,8 @@ def _levelled(spark, d) -> frames.Levelled:
 
 @query("d1_frames_forward_backward", ORACLES["d1_forward_backward"])
 def d1_frames(spark, d):
-    """Both distances level by level, whatever the sizes."""
-    by_level = _levelled(spark, d)
-    return rounded(by_level.forward().join(by_level.backward(), ["lattice_id", "state"]), "alpha", "beta")
+    """Both distances of lattices given as frames, level by level."""
+    return rounded(_levelled(spark, d).distances(), "alpha", "beta")
 
 
 @query("n1_frames_normalize", ORACLES["n1_normalize"])

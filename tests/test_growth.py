@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_lattices import build
 
 from arcloom.lattice import Lattices
-from arcloom.operators import automata, composition, confusion, distance, filters, labelling, normalise, paths, structure
+from arcloom.operators import automata, composition, confusion, distance, filters, frames, labelling, normalise, paths, structure
 from arcloom.plans import batches
 from arcloom.sources import automata_files, derive
 
@@ -141,3 +141,25 @@ def test_words_are_split_by_batch_with_one_join(spark):
     assert [(r.label, r.symbol) for r in made.symbols.filter("side = 'o'").orderBy("label").collect()] == [(1, "3"), (2, "ab"), (3, "c"), (4, "d")]
     assert [(a.src, a.dst, a.ilabel) for a in row.arcs] == [(0, 1, 2), (1, 2, 3), (1, 2, 4), (2, 3, 0), (2, 3, 1)]
     assert (row.start, row.finals) == (0, [math.inf] * 3 + [0.0])
+
+
+def test_levels_of_small_lattices_are_gone_through_at_once(spark):
+    """A small lattice and one of too many arcs: rows for the first, joins by level for the other only."""
+    small = [(1, 0, 1, 1, 1, 0.5, 0, [2.0]), (1, 0, 2, 2, 2, 1.0, 1, None), (1, 1, 2, 3, 3, 0.25, 2, None), (1, 3, 2, 4, 4, 0.0, 3, None)]
+    kind = "lattice_id long, src int, dst int, ilabel int, olabel int, weight double, arc_id long, features array<double>"
+    arcs, states = spark.createDataFrame(small, kind), spark.createDataFrame([(1, s, math.inf if s < 2 else 0.0, s == 0) for s in range(4)], "lattice_id long, state int, final double, is_start boolean")
+    wide = spark.range(frames.FOLD_ARCS + 1).selectExpr("2L AS lattice_id", "0 AS src", "1 AS dst", "CAST(id AS INT) AS ilabel", "7 AS olabel", "1.0D AS weight", "id AS arc_id", "CAST(null AS array<double>) AS features")
+    ends = spark.createDataFrame([(2, 0, math.inf, True), (2, 1, 0.0, False)], states.schema)
+    got = frames.Levelled(arcs, states)
+    both = frames.Levelled(arcs.unionByName(wide), states.unionByName(ends))
+    want = frames._Large(arcs, states)
+    close = lambda a, b: a.keys() == b.keys() and all(math.isclose(a[k], b[k], abs_tol=1e-9) for k in b)
+    for name in ("forward", "backward", "mass"):
+        key = lambda f: {tuple(r[:-1]): r[-1] for r in f.collect() if r.lattice_id == 1}
+        assert close(key(getattr(got, name)()), key(getattr(want, name)())) and close(key(getattr(both, name)()), key(getattr(want, name)()))
+    assert got.large is None and both.large is not None
+    for made, other in ((got.posteriors(), want.posteriors()), (got.posteriors(False), want.posteriors(False)), (got.normalize()[0], want.normalize()[0])):
+        assert made.columns == arcs.columns
+        key = lambda f: {(r.arc_id, r.src, r.dst, r.ilabel, tuple(r.features or ())): r.weight for r in f.collect()}
+        assert close(key(made), key(other)) and len(key(made)) == 3
+    assert both.posteriors().groupBy("lattice_id").count().collect() and both.mass().filter("lattice_id = 2").count() == 1
