@@ -421,6 +421,76 @@ def test_lines_of_hot_keys_in_parts(spark, monkeypatch, tree):
     assert [i for i, n in got.items() if not n] == [0, 40]
 
 
+def _short_lines():
+    rng = random.Random(23)
+    lines = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(2, 50))) for _ in range(150)]
+    for line in lines[:150]:
+        near = list(line)
+        for _ in range(rng.randrange(1, 10)):
+            at = rng.randrange(len(near) + 1)
+            near[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        lines.append("".join(near))
+    return sorted({n for x in lines if (n := line_dedup.normalised(x))})
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_short_lines_are_compared_with_all(across):
+    lines = _short_lines()
+    ids, sides = [line_dedup.digest(x) for x in lines], [k % 2 if across else 0 for k in range(len(lines))]
+    want, got = Sets(), Sets()
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            told = min(len(a), len(b)) < line_dedup.SHORT or len(a) == len(b)
+            if told and (not across or sides[i] != sides[j]) and line_dedup.similar(a, b, 0.8):
+                want.join(ids[i], ids[j])
+    for i, j in line_dedup.similar_short(ids, lines, sides, 0.8):
+        got.join(i, j)
+    assert [got.root(i) for i in ids] == [want.root(i) for i in ids]
+    assert len({want.root(i) for i in ids}) < len(ids) - 50
+
+
+def test_short_lines_in_blocks_and_by_segments(spark, monkeypatch):
+    """The same groups, whatever the blocks, with segments instead, and with parts of keys that are sent on as they are read."""
+    lines = _short_lines()
+    more = [f"{x} and what makes a longer line of it {n} with words of its own" for n, x in enumerate(lines[::7])]
+    docs = table(spark, [(i, "\n".join(part)) for i, part in enumerate((lines[::2], lines[1::2], more, more[::3]))])
+    # a short line asks nothing of the keys that lines meet by, which all short lines share with many that are unlike
+    made = line_dedup.line_table(docs, 0.8)
+    assert made.filter("length(short) < 40").selectExpr("sum(size(keys_0) + size(keys_1) + size(keys_2) + size(keys_3))").first()[0] == 0
+    got = []
+    for changed in ({"BLOCK": 16}, {"MANY_SHORT": 0, "DEALT": 20}):
+        for name, value in changed.items():
+            monkeypatch.setattr(line_dedup, name, value)
+        got.append(sum(r.n_dropped for r in line_dedup.line_digests(docs).collect()))
+    # segments miss pairs of longer lines only
+    assert got[0] >= got[1] > 50
+
+
+def test_distance_that_is_given_up_early():
+    rng = random.Random(29)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(60, 260)))
+        b = list(a)
+        for _ in range(rng.randrange(len(a))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = rng.choice(["", "x", "yz"])
+        b = "".join(b)
+        whole = line_dedup.distance(a, b, near=False)
+        for limit in (whole - 1, whole, whole // 2, 0.2 * len(a)):
+            got = line_dedup.distance(a, b, limit, near=False)
+            assert got == whole if whole <= limit else got > limit
+
+
+def test_a_discarded_table_leaves_no_files(spark):
+    import os
+
+    made = common.written(spark.range(10))
+    place = made.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(place)
+    common.discard(made)
+    assert not os.path.exists(place)
+
+
 def test_few_edits_and_sets_of_lines(monkeypatch):
     rng = random.Random(12)
     lines = []
