@@ -5,26 +5,17 @@ from __future__ import annotations
 import ctypes
 import gc
 import time
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.session import cut, shared_dir
+from arcloom.session import cut, shared_dir, written
 
 __all__ = ["components", "cut", "discard", "fresh", "release", "shared_dir", "shuffle_partitions", "small", "trimmed", "written"]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, read back: like ``cut``, but
-    compressed, and a reader takes only the columns that it needs."""
-    place = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that ``written`` made, which nothing reads any more."""
     spark = table.sparkSession

@@ -3,14 +3,16 @@
 A simulation runs in rounds.  In each round every sample with labels left is
 masked by the answers so far, its best labels and their scores are computed by
 the batch operators, and one position of it is asked.  What a sample is asked
-depends on its own answers only, so all samples go in step, a round is a few
-passes over their rows, and the number of rounds is the length of the longest sample.  The order
+depends on its own answers only, so all samples go in step, and the number of rounds is the length of the longest sample.
+Methods that show the likeliest labels and ask by what a lattice tells by itself go through all rounds of a batch of
+samples in one pass over the rows (IN_ONE_PASS); with others a round is a few passes over them.  The order
 in which a system would ask across samples is a sort: a pool that always takes
 the least score takes the steps of each sample by the largest score so far.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 from dataclasses import dataclass, replace
 
@@ -27,8 +29,8 @@ from arcloom.operators.automata import determinize_and_normalize
 from arcloom.operators.filters import prune_arcs, trimmed
 from arcloom.operators.structure import encode_symbols
 from arcloom.operators.structure import reverse as reversed_lattices
-from arcloom.plans.batches import Batch, lists, runs, summed, with_values
-from arcloom.session import cut
+from arcloom.plans.batches import Batch, lists, parts, runs, sent, summed, with_values
+from arcloom.session import cut, written
 from arcloom.sources.text_lattices import read_htk
 
 
@@ -134,16 +136,175 @@ def greedy_path(arcs: Column, start: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), first, step)["path"]
 
 
-def _likeliest(b: Batch) -> pa.Array:
-    """By lattice, of each position the likeliest label, of equals the lowest, in order of position."""
+def _likely(b: Batch) -> tuple[np.ndarray, ...]:
+    """lattice, position, label, p: of each position the likeliest label, of equals the lowest, in order."""
     keep = (b.weight < math.inf) & (b.ilabel > 0)
     lattice, position, label, p = summed((b.of[keep], b.ilabel[keep], b.olabel[keep]), b.posteriors()[keep])
     order = np.lexsort((label, -p, position, lattice))
     best = order[runs(lattice[order], position[order])]
+    return lattice[best], position[best], label[best], p[best]
+
+
+def _likeliest(b: Batch) -> pa.Array:
+    """By lattice, of each position the likeliest label, of equals the lowest, in order of position."""
+    lattice, position, label, p = _likely(b)
     with np.errstate(divide="ignore"):
-        score = pa.array(np.log(p[best]), mask=~(p[best] > 0))
-    fields = [pa.array(position[best].astype(np.int32)), pa.array(label[best].astype(np.int32)), score]
-    return lists(pa.StructArray.from_arrays(fields, names=["position", "hyp", "score"]), np.bincount(lattice[best], minlength=b.n))
+        score = pa.array(np.log(p), mask=~(p > 0))
+    fields = [pa.array(position.astype(np.int32)), pa.array(label.astype(np.int32)), score]
+    return lists(pa.StructArray.from_arrays(fields, names=["position", "hyp", "score"]), np.bincount(lattice, minlength=b.n))
+
+
+#: what labels are asked by in one pass over the rows
+IN_ONE_PASS = ("identity", "entropy", "mutual_information")
+
+
+def _with_arcs(b: Batch, keep: np.ndarray) -> Batch:
+    out = copy.copy(b)
+    for n in ("of", "at_src", "at_dst", "src", "dst", "ilabel", "olabel", "weight"):
+        setattr(out, n, getattr(b, n)[keep])
+    return out
+
+
+def _on_paths(b: Batch) -> Batch:
+    """The batch without arcs that no path takes, as ``trimmed`` leaves them out; lattices without a path are not begun."""
+    reached = b.forward(0.0, "tropical")
+    ends = b.backward(0.0, "tropical", np.where(b.finals < math.inf, 0.0, math.inf))
+    out = _with_arcs(b, (reached[b.src] < math.inf) & (ends[b.dst] < math.inf))
+    out.begun = b.begun & (b.at_start(ends) < math.inf)
+    out.start = np.where(out.begun, b.start, -1)
+    return out
+
+
+def _term(cost: np.ndarray, forward: np.ndarray | float) -> np.ndarray:
+    """As ``entropy_term``."""
+    member = np.isfinite(cost)
+    cost = np.where(member, cost, 0.0)
+    return np.where(member, -cost * np.exp(-cost - forward), 0.0)
+
+
+def _given_labels(b: Batch) -> tuple[np.ndarray, ...]:
+    """lattice, position, entropy, surprise, as ``normalise._entropies_given_labels`` has them."""
+    alpha, p = b.forward(), b.posteriors()
+    follows = _term(b.finals, 0.0)
+    order = np.argsort(-b.at_src, kind="stable")
+    bounds = np.append(runs(b.at_src[order]), len(order))
+    own, step = _term(b.weight, 0.0), np.exp(-b.weight)
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        at = order[lo:hi]
+        follows += np.bincount(b.src[at], own[at] + step[at] * follows[b.dst[at]], minlength=len(follows))
+    keep = b.weight < math.inf
+    part = _term(b.weight, alpha[b.src]) + np.exp(-alpha[b.src] - b.weight) * follows[b.dst]
+    labels = (b.of[keep], b.ilabel[keep], b.olabel[keep])
+    lattice, position, label, p_label = summed(labels, p[keep])
+    part = summed(labels, part[keep])[-1]
+    slots = runs(lattice, position)
+    add = lambda v: np.add.reduceat(v, slots) if len(slots) else v
+    whole = b.at_start(follows)[lattice[slots]]
+    entropy = (whole - add(part)) * add(p_label) + add(p_label * part)
+    # where a path may have two arcs of a position the lattice is masked, label by label
+    greatest = np.full(len(b.finals), -math.inf)
+    np.maximum.at(greatest, b.dst, b.ilabel)
+    twice = np.bincount(b.of[(b.ilabel <= 0) | (b.ilabel <= greatest[b.src])], minlength=b.n) > 0
+    if twice.any():
+        number = np.arange(len(lattice)) - np.searchsorted(lattice, lattice)
+        value = np.zeros(len(lattice))
+        for k in range(int(number[twice[lattice]].max(initial=-1)) + 1):
+            at = np.flatnonzero((number == k) & twice[lattice])
+            masked_at, masked_to = np.full(b.n, -(1 << 40)), np.zeros(b.n, np.int64)
+            masked_at[lattice[at]], masked_to[lattice[at]] = position[at], label[at]
+            left = _with_arcs(b, (b.ilabel != masked_at[b.of]) | (b.olabel == masked_to[b.of]))
+            mass = left.forward()
+            total = np.bincount(left.of, _term(left.weight, mass[left.src]), minlength=b.n) + np.bincount(b.of_state, _term(b.finals, mass), minlength=b.n)
+            value[at] = total[lattice[at]]
+        entropy = np.where(twice[lattice[slots]], add(p_label * value), entropy)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = add(np.where(p_label > 0, p_label * np.log(p_label), 0.0))
+    return lattice[slots], position[slots], entropy, surprise
+
+
+def _code(lattice: np.ndarray, position: np.ndarray) -> np.ndarray:
+    return (lattice.astype(np.int64) << 32) + position
+
+
+def _questions(b: Batch, refs: pa.ListArray, how: Method, by_sample: bool) -> dict[str, np.ndarray | pa.Array]:
+    """The questions of all rounds of a batch of samples: lattice (its place), round, position, hyp, ref, score, errors, corrected, labels."""
+    counts = np.diff(refs.offsets.to_numpy())
+    flat = refs.flatten()
+    known, ref = flat.is_valid().to_numpy(zero_copy_only=False), flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(counts) - counts
+    sign = -1.0 if how.flipped else 1.0
+    asked, out, number = np.zeros(0, np.int64), [], 0
+
+    def right(lattice: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The right labels, and whether there is one."""
+        inside = (place >= 0) & (place < counts[lattice])
+        at = np.where(inside, first[lattice] + place, 0)
+        return (ref[at], inside & known[at]) if len(ref) else (np.zeros(len(lattice), np.int64), np.zeros(len(lattice), bool))
+
+    b = _on_paths(b)
+    while True:
+        lattice, position, hyp, p = _likely(b)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.where(p > 0, sign * np.log(p), np.nan)
+        null = ~(p > 0)
+        if how.label != "identity":
+            of, at, entropy, surprise = _given_labels(b)
+            value = entropy - surprise if how.label == "mutual_information" else entropy
+            place = np.searchsorted(_code(of, at), _code(lattice, position))
+            score, null = -sign * value[place], np.zeros(len(lattice), bool)
+        shown = np.bincount(lattice, minlength=b.n)
+        label, there = right(lattice, np.arange(len(lattice)) - (np.cumsum(shown) - shown)[lattice])
+        errors = np.maximum(shown, counts) - np.bincount(lattice[there & (label == hyp)], minlength=b.n)
+        left = np.flatnonzero(~np.isin(_code(lattice, position), asked) & ((errors[lattice] > 0) | (not by_sample)))
+        key = {"score": np.where(null, -math.inf, score), "label": position, "label_desc": -position}[how.order][left]
+        order = left[np.lexsort((position[left], key, lattice[left]))]
+        pick = order[runs(lattice[order])]
+        if not len(pick):
+            break
+        lattice, position, hyp = lattice[pick], position[pick], hyp[pick]
+        label, there = right(lattice, position.astype(np.int64) - 1)
+        out.append((lattice, np.full(len(pick), number), position, hyp, label, ~there, score[pick], null[pick], errors[lattice]))
+        asked = np.append(asked, _code(lattice, position))
+        answered, answer, told = np.full(b.n, -(1 << 40)), np.zeros(b.n, np.int64), np.zeros(b.n, bool)
+        answered[lattice], answer[lattice], told[lattice] = position, label, there
+        goes_on = np.zeros(b.n, bool)
+        goes_on[lattice] = True
+        heard = (b.ilabel != answered[b.of]) | (b.olabel == answer[b.of]) | ~told[b.of]
+        b = _with_arcs(b, heard & goes_on[b.of])
+        b.begun = b.begun & goes_on
+        b.start = np.where(b.begun, b.start, -1)
+        b = _on_paths(b)
+        number += 1
+    lattice, number, position, hyp, label, unknown, score, null, errors = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, bool), np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64)]
+    return {
+        "lattice": lattice,
+        "round": pa.array(number.astype(np.int32)),
+        "position": pa.array(position.astype(np.int32)),
+        "hyp": pa.array(hyp.astype(np.int32)),
+        "ref": pa.array(label.astype(np.int32), mask=unknown),
+        "score": pa.array(score, pa.float64(), mask=null),
+        "errors": pa.array(errors.astype(np.int32)),
+        "corrected": pa.array(hyp != label, mask=unknown),
+        "labels": pa.array(counts[lattice].astype(np.int32)),
+    }
+
+
+def _in_one_pass(rows: DataFrame, how: Method, by_sample: bool) -> DataFrame:
+    """The log of a simulation, of samples with ``ref`` and ``sample_score``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch):
+                own = dict(zip(part.schema.names, part.columns, strict=True))
+                made = _questions(Batch(part), own["ref"], how, by_sample)
+                at = pa.array(made.pop("lattice"), pa.int64())
+                yield pa.RecordBatch.from_arrays([own["lattice_id"].take(at), own["sample_score"].take(at), *made.values()], names=["lattice_id", "sample_score", *made])
+
+    kind = rows.schema["lattice_id"].dataType.simpleString()
+    columns = "sample_score double, round int, position int, hyp int, ref int, score double, errors int, corrected boolean, labels int"
+    log = written(sent(rows.select(*KEYS, "ref", "sample_score")).mapInArrow(run, f"lattice_id {kind}, {columns}"))
+    rounds = log.agg(F.max("labels")).first()[0] or 0
+    return log.filter(F.col("round") < rounds).drop("labels")
 
 
 def best_labels(lattices: Lattices, method: Method, seed: int = 0) -> DataFrame:
@@ -235,7 +396,7 @@ def _until_right(log: DataFrame) -> DataFrame:
     change = F.coalesce(F.lead("errors").over(by_sample), F.lit(0)) - F.col("errors")
     total = log.filter("round = 0").agg(F.coalesce(F.sum("errors"), F.lit(0))).first()[0]
     keys = ["order_1", "order_2", "lattice_id", "round"]
-    dealt = cut(log.withColumn("change", change).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    dealt = written(log.withColumn("change", change).repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
     within = Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     running = dealt.withColumn("sum", F.sum("change").over(within))
     at, before = total, {}
@@ -271,12 +432,15 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
         rows = made.rows.join(rows.select("lattice_id", "ref"), "lattice_id")
     asked = F.array().cast("array<int>").alias("asked")
     rows = rows.select(*KEYS, "ref", asked, F.lit(None).cast("int").alias("position"), F.col("lattice_id").cast("double").alias("sample_score"))
-    rows = cut(rows)
+    at_once = how.recompute == "hamming" and how.label in IN_ONE_PASS and not (how.update and how.system == "local")
+    scored = how.system == "local" and how.sample != "position"
+    if scored or not at_once:
+        rows = cut(rows)
     if how.system == "local" and how.sample != "position":
         own = sample_scores(replace(lattices, rows=rows.select(*KEYS)), how.sample, seed)
         rows = cut(rows.drop("sample_score").join(own, "lattice_id"))
-    rounds = rows.agg(F.max(F.size("ref"))).first()[0] or 0
-    log = None
+    log = _in_one_pass(rows, how, by_sample) if at_once else None
+    rounds = 0 if at_once else rows.agg(F.max(F.size("ref"))).first()[0] or 0
     key = {"score": lambda s: s["score"], "label": lambda s: s["position"].cast("double"), "label_desc": lambda s: -s["position"].cast("double")}[how.order]
     for number in range(rounds):
         # masked by the last answer; those before it have been heard
@@ -300,8 +464,9 @@ def simulate(lattices: Lattices, references: DataFrame, method: str | Method, se
         rows = state.select(*KEYS, "ref", "asked", "position", "sample_score")
     if log is None:
         return rows.select("lattice_id", *[F.lit(None).cast("double").alias(c) for c in ("round", "position", "hyp", "ref", "score", "errors", "corrected", "order_1", "order_2")]).limit(0)
-    # the rounds' rows hold lattices too: read once
-    log = cut(log)
+    if not at_once:
+        # the rounds' rows hold lattices too: read once
+        log = written(log)
     if how.system == "traversal":
         first, second = F.col("round").cast("double"), F.col("lattice_id").cast("double")
     elif how.system == "local":
@@ -360,7 +525,7 @@ def progress(questions: DataFrame, references: DataFrame) -> DataFrame:
         (F.when(F.col("after") > 0, 1).otherwise(0) - F.when(F.col("errors") > 0, 1).otherwise(0)).alias("wrong_samples"), "errors", "after",
     )
     names = ["asked", "corrected", "label_errors", "wrong_samples"]
-    dealt = cut(changed.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
+    dealt = written(changed.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
     start = questions.filter("round = 0").agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("label_errors"), F.count_if(F.col("errors") > 0).alias("wrong_samples")).first()
     before, so_far = {}, {"asked": 0, "corrected": 0, **start.asDict()}
     for r in dealt.groupBy("range").agg(*[F.sum(n).alias(n) for n in names]).orderBy("range").collect():

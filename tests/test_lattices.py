@@ -305,6 +305,34 @@ def test_simulation_asks_until_the_corpus_is_right(seqlab3, spark):
     assert labelling.simulate(base, right, "sequential-hamming").count() == 0
 
 
+@pytest.mark.parametrize("method, by_sample", [("sequential-hamming", False), ("active-label-mutual-information-global", True)])
+def test_all_rounds_of_a_batch_in_one_pass(spark, monkeypatch, method, by_sample):
+    """The questions of a simulation that goes round by round, here of lattices of which paths have two arcs of a position;
+    no round's lattices are written."""
+    from conftest import SMALL
+
+    from arcloom.lattice import with_fields
+    from arcloom.sources import derive
+
+    base = derive.order_sausage(spark, SMALL)
+    base = replace(base, rows=base.rows.filter("lattice_id % 40 = 0"))
+    refs = base.arcs.groupBy("lattice_id", "src").agg(F.max("olabel").alias("m")).groupBy("lattice_id")
+    refs = refs.agg(F.transform(F.array_sort(F.collect_list(F.struct("src", "m"))), lambda x: x["m"]).alias("ref"))
+    base = base.map_arcs(lambda a: with_fields(a, ilabel=((a["ilabel"] + 1) / 2).cast("int")))
+
+    def rows():
+        names = ("lattice_id", "round", "position", "hyp", "ref", "corrected", "errors")
+        found = labelling.simulate(base, refs, method, by_sample=by_sample).collect()
+        return sorted((*(r[n] for n in names), *(round(r[n], 7) for n in ("score", "order_1", "order_2"))) for r in found)
+
+    by_round = labelling.cut
+    monkeypatch.setattr(labelling, "cut", None)
+    got = rows()
+    monkeypatch.setattr(labelling, "cut", by_round)
+    monkeypatch.setattr(labelling, "IN_ONE_PASS", ())
+    assert got == rows() and len(got) > 20
+
+
 def test_determinization_has_no_cap_of_its_own(monkeypatch):
     n = 10_001
     machine = automata._Machine([[((1, k), k, 0.0) for k in range(1, n + 1)], *[[((2, 1), n + 1, 0.0)] for _ in range(n)], []], [math.inf] * (n + 1) + [0.0])
