@@ -333,6 +333,15 @@ def test_all_rounds_of_a_batch_in_one_pass(spark, monkeypatch, method, by_sample
     assert got == rows() and len(got) > 20
 
 
+def test_read_text_lattices_are_not_kept_as_uncompressed_rows(spark, monkeypatch):
+    """What reading goes through more than once is written as Parquet, half the disk of a checkpoint's rows or less."""
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", None)
+    text = "VERSION=1.0\nN=3 L=2\nI=0\nI=1\nI=2\nJ=0 S=0 E=1 W=a l=-1.0\nJ=1 S=1 E=2 W=b l=-2.0\n"
+    made = text_lattices.parse_htk(spark.createDataFrame([(1, text), (2, text.replace("W=b", "W=c"))], "lattice_id long, text string"))
+    got = made.arcs.join(made.symbols.filter("side = 'i'"), [made.arcs.lattice_id == made.symbols.lattice_id, F.col("ilabel") == F.col("label")])
+    assert sorted((r.src, r.dst, r.symbol, r.weight) for r in got.collect()) == [(0, 1, "a", 1.0), (0, 1, "a", 1.0), (1, 2, "b", 2.0), (1, 2, "c", 2.0)]
+
+
 def test_determinization_has_no_cap_of_its_own(monkeypatch):
     n = 10_001
     machine = automata._Machine([[((1, k), k, 0.0) for k in range(1, n + 1)], *[[((2, 1), n + 1, 0.0)] for _ in range(n)], []], [math.inf] * (n + 1) + [0.0])
